@@ -51,3 +51,11 @@ def n_words(text: Column) -> Column:
 def words_of(text: str | None) -> list[bytes]:
     """Words of text in lower case (A-Z only), as UTF-8. bytes.split() breaks at the six white-space bytes."""
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+
+
+def splittable(df: DataFrame) -> DataFrame:
+    """df dealt anew, so that a join with it shuffles both sides and adaptive execution may split a hot key.
+
+    The result of a grouping is already dealt by its keys; joined as it is, a hot key of the other side stays in one task.
+    """
+    return df.hint("rebalance")
