@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trekmill.llm import bpe, lines, mixing, quality, secrets, simhash
+from trekmill.llm import bpe, ctph, langid, licenses, lines, mixing, ngram, quality, secrets, simhash
 from trekmill.llm.common import cut, table
 
 
@@ -36,6 +36,36 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op5_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text edited with the next one's, and their likeness."""
+    return ctph.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _part(by: int, at: int) -> Column:
+    """Whether crc32 of doc_id as text leaves the remainder `at`; so, too, for rows without doc_id, which nothing is learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % by == at, F.lit(True))
+
+
+def op6_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by a model of six documents of seven."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _part(7, 2))
+    model = ngram.train(docs.where("not held_out").select("text"))
+    return ngram.score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from labelled documents of two parts of three."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", _part(3, 1))
+    model = langid.train(docs.where("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,7 +80,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_mixing, op9_secrets, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_mixing, op5_ctph, op6_ngram, op7_licenses, op8_langid, op9_secrets, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
