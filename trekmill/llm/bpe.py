@@ -11,15 +11,17 @@ import base64
 import hashlib
 import heapq
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 #: White space as the pattern's \s has it.
 SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -37,9 +39,9 @@ IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, JOINED, WANT2, WANT1, CUT = range(8
 
 _BLOCK = 256
 #: Characters that are pre-tokenised at once; texts are joined up to this.
-_CHUNK = 1 << 19
+_CHUNK = 1 << 18
 #: Slices whose ids a worker keeps; beyond, the table is begun anew.
-_CACHED = 1 << 19
+_CACHED = 1 << 17
 #: Slices with more bytes than this are merged with a heap and are not kept.
 _LONG = 64
 
@@ -217,16 +219,17 @@ class Encoder:
                 self.known[piece] = ids
         return ids
 
-    def encode_all(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[list[int], list[int]]]:
         """For each text its ids, and the byte offset of each slice's end."""
-        at = 0
-        while at < len(texts):
-            size, to = 0, at
-            while to < len(texts) and (to == at or size + len(texts[to]) <= _CHUNK):
-                size += len(texts[to])
-                to += 1
-            yield from self._encode_chunk(texts[at:to])
-            at = to
+        held, size = [], 0
+        for text in texts:
+            if held and size + len(text) > _CHUNK:
+                yield from self._encode_chunk(held)
+                held, size = [], 0
+            held.append(text)
+            size += len(text)
+        if held:
+            yield from self._encode_chunk(held)
 
     def _encode_chunk(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -266,31 +269,55 @@ _ENCODED = StructType([StructField("ids", ArrayType(IntegerType())), StructField
 _DIGEST = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+#: Texts of a batch that are in Python's hands at once.
+_TEXTS = 256
+
+
+def _lists(values: array, sizes: list[int]) -> pa.ListArray:
+    """Rows of whole numbers from one buffer; no number becomes an object of its own."""
+    return pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32), np.frombuffer(values, np.int32))
+
+
+def _texts(batch: pa.Array) -> Iterator[str]:
+    for at in range(0, len(batch), _TEXTS):
+        for t in batch.slice(at, _TEXTS).to_pylist():
+            yield t or ""
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """docs with `ids` and `slice_ends` (byte offsets at which the pre-tokeniser's slices end).
 
     path: a rank file that workers can read. Special tokens are not recognised. Null text is as empty: no ids. Columns
-    with these names are replaced; rows are neither dropped nor merged.
+    with these names are replaced; rows are neither dropped nor merged. A worker holds a batch's ids as packed integers.
+    With `decoded` there is also what `decode` gives for the ids, without a second pass of them through the workers.
     """
+    fields = _ENCODED.names + ["decoded"] * decoded
 
-    @pandas_udf(_ENCODED)
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @arrow_udf(StructType(_ENCODED.fields + [StructField("decoded", BinaryType())] * decoded))
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path)
         for batch in texts:
-            yield pd.DataFrame(list(own.encode_all([t or "" for t in batch])), columns=["ids", "slice_ends"])
+            ids, ends, n_ids, n_ends, again = array("i"), array("i"), [], [], []
+            for i, e in own.encode_all(_texts(batch)):
+                ids.extend(i)
+                ends.extend(e)
+                n_ids.append(len(i))
+                n_ends.append(len(e))
+                if decoded:
+                    again.append(own.decode(i))
+            yield pa.StructArray.from_arrays([_lists(ids, n_ids), _lists(ends, n_ends), *[pa.array(again, pa.binary())] * decoded], fields)
 
-    return docs.withColumn("_e", run(F.col(text_col))).withColumns({"ids": F.col("_e.ids"), "slice_ends": F.col("_e.slice_ends")}).drop("_e")
+    return docs.withColumn("_e", run(F.col(text_col))).withColumns({c: F.col(f"_e.{c}") for c in fields}).drop("_e")
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """docs with `decoded` (binary) from ids. Null ids: empty. An id that the vocabulary lacks fails the job."""
-    from pyspark.sql.types import BinaryType
 
-    @pandas_udf(BinaryType())
-    def run(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf(BinaryType())
+    def run(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path)
         for batch in ids:
-            yield pd.Series([own.decode(() if x is None else x.tolist()) for x in batch], dtype=object)
+            yield pa.array([own.decode(row.values.to_pylist() if row.is_valid else ()) for row in batch], pa.binary())
 
     return docs.withColumn("decoded", run(F.col(ids_col)))
 
