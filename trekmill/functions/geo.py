@@ -62,6 +62,25 @@ def tile_id(x: Column, y: Column, zoom: int) -> Column:
     return F.aggregate(bits, start, step, lambda s: s.d) + (4**zoom - 1) // 3
 
 
+def tile_of(tile: Column, most_zoom: int = 26) -> Column:
+    """struct<z, x, y> of a tile's number: the inverse of tile_id."""
+    firsts = F.array(*(F.lit((4**z - 1) // 3).cast("long") for z in range(most_zoom + 1)))
+    z = F.size(F.filter(firsts, lambda f: f <= tile)) - 1
+    start = F.struct((tile - F.get(firsts, z)).alias("d"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+
+    def step(s: Column, bit: Column) -> Column:
+        side = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+        rx = F.floor(s.d / 2) % 2
+        ry = (s.d % 2).bitwiseXOR(rx)
+        flip = (ry == 0) & (rx == 1)
+        fx, fy = F.when(flip, side - 1 - s.x).otherwise(s.x), F.when(flip, side - 1 - s.y).otherwise(s.y)
+        x, y = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
+        return F.struct(F.floor(s.d / 4).alias("d"), (x + side * rx).alias("x"), (y + side * ry).alias("y"))
+
+    bits = F.filter(F.sequence(F.lit(0), F.lit(most_zoom)), lambda b: b < z)
+    return F.aggregate(bits, start, step, lambda s: F.struct(z.alias("z"), s.x.alias("x"), s.y.alias("y")))
+
+
 def boxes_meet(a_west: Column, a_south: Column, a_east: Column, a_north: Column, b_west: Column, b_south: Column, b_east: Column, b_north: Column) -> Column:
     """Whether two boxes meet; one whose west is east of its east spans the antimeridian."""
     plain = (a_west <= b_east) & (b_west <= a_east)

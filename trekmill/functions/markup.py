@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -164,6 +165,8 @@ def _text_udf(f):
 
 
 html_to_text, wiki_to_text, opening_text = _text_udf(html_text), _text_udf(wiki_text), _text_udf(opening_ranges)
+#: Letters and marks composed; null stays null.
+composed = _text_udf(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
 @pandas_udf(BinaryType())

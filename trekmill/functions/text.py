@@ -102,3 +102,79 @@ def repair_mojibake(text: Column) -> Column:
     again = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
     suspect = text.rlike("[ÃÂ][\u0080-¿]")
     return F.when(suspect & F.try_validate_utf8(F.encode(text, "ISO-8859-1").cast("string")).isNotNull(), again).otherwise(text)
+
+
+def in_language(texts: Column, lang: str, fallback: str = "en") -> Column:
+    """Of array<struct<lang,text>> the first text in a language, else in the fallback, else null."""
+    first = lambda code: F.get(F.filter(texts, lambda t: t.lang == code), F.lit(0)).text
+    return F.coalesce(first(lang), first(fallback))
+
+
+def quake_title(title: Column) -> Column:
+    """struct<magnitude, km, bearing, place> of "M 4.5 - 12 km NNE of Town"; null parts if it isn't of this form."""
+    pattern = r"^M (\d+(?:\.\d+)?) - (\d+) km ([NESW]{1,3}) of (.+)$"
+    part = lambda i: F.nullif(F.regexp_extract(title, pattern, i), F.lit(""))
+    return F.struct(part(1).alias("magnitude"), part(2).cast("int").alias("km"), part(3).alias("bearing"), part(4).alias("place"))
+
+
+def url_path(title: Column) -> Column:
+    """A page's title as part of an address: spaces as underscores, the rest percent-encoded but for /, ( and )."""
+    out = F.url_encode(F.replace(title, F.lit(" "), F.lit("_")))
+    for code, char in (("%2F", "/"), ("%28", "("), ("%29", ")"), ("%2C", ","), ("%3A", ":"), ("+", "%20")):
+        out = F.replace(out, F.lit(code), F.lit(char))
+    return out
+
+
+def paragraphs(text: Column, least: int) -> Column:
+    """array of chunks: neighbouring paragraphs are joined until a chunk has `least` characters; the rest is the last."""
+    parts = F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda p: p != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(s: Column, p: Column) -> Column:
+        grown = F.when(s["open"] == "", p).otherwise(F.concat(s["open"], F.lit("\n"), p))
+        full = F.length(grown) >= least
+        return F.struct(F.when(full, F.concat(s.done, F.array(grown))).otherwise(s.done).alias("done"), F.when(full, F.lit("")).otherwise(grown).alias("open"))
+
+    return F.aggregate(parts, start, step, lambda s: F.when(s["open"] == "", s.done).otherwise(F.concat(s.done, F.array(s["open"]))))
+
+
+def without_dangling_intro(text: Column) -> Column:
+    """text without a last line that ends in a colon and so announces what is no longer there."""
+    return F.regexp_replace(text, r"(?:^|\n)[^\n]*:\s*$", "")
+
+
+def mentions(text: Column, name: Column) -> Column:
+    """Whether the words of a name stand one after the other in a text, both folded."""
+    return F.contains(F.concat(F.lit(" "), search_key(text), F.lit(" ")), F.concat(F.lit(" "), search_key(name), F.lit(" ")))
+
+
+def share_in_context(text: Column, context: Column, least: int = 5) -> Column:
+    """Share of a text's distinct words of `least` letters or more that its context has; null without such words."""
+    long = lambda t: F.array_distinct(F.filter(terms(t), lambda w: F.length(w) >= least))
+    own = long(text)
+    return F.size(F.array_intersect(own, long(context))) / F.nullif(F.size(own), F.lit(0))
+
+
+def intent(text: Column, groups: dict[str, list[str]]) -> Column:
+    """array of the groups, in order, of which a text has a word that begins with one of the group's prefixes."""
+    words = terms(text)
+    starts = lambda prefixes: F.exists(words, lambda w: F.array_max(F.array(*(w.startswith(p) for p in prefixes))))
+    return F.array_compact(F.array(*(F.when(starts(prefixes), name) for name, prefixes in groups.items())))
+
+
+def pack_paragraphs(text: Column, words: Column, budget: int) -> Column:
+    """The paragraphs of a text that fit a budget: those with most of the asked words first, shown in their own order.
+
+    A text that fits is kept whole; if no paragraph fits, the text is cut at a sentence.
+    """
+    parts = F.split(text, "\n")
+    scored = F.transform(parts, lambda p, i: F.struct((-F.size(F.array_intersect(terms(p), words))).alias("rank"), i.alias("at"), p.alias("p")))
+    start = F.struct(F.lit(0).alias("used"), F.filter(scored, lambda x: F.lit(False)).alias("kept"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = s.used + F.length(x.p) + 1 <= budget
+        return F.struct(F.when(fits, s.used + F.length(x.p) + 1).otherwise(s.used).alias("used"), F.when(fits, F.concat(s.kept, F.array(x))).otherwise(s.kept).alias("kept"))
+
+    kept = F.aggregate(F.array_sort(scored), start, step, lambda s: F.transform(s.kept, lambda x: F.struct(x["at"].alias("at"), x.p.alias("p"))))
+    packed = F.array_join(F.transform(F.array_sort(kept), lambda x: x.p), "\n")
+    return F.when(F.length(text) <= budget, text).when(packed != "", packed).otherwise(cut_at_sentence(text, budget))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trekmill.operators.lineage import cut
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an order; the order should be total."""
@@ -38,10 +40,28 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, same, how).drop(*(f"_r_{k}" for k in keys))
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with row numbers from 1 in an order, without one task that holds all rows.
+
+    Rows are dealt by ranges of the order and kept in the shared folder, so that the ranges stay as they are; the driver
+    learns the number of rows of each range.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = sorted((r._range, r["count"]) for r in dealt.groupBy("_range").count().collect())
+    before, firsts = 0, []
+    for part, n in counts:
+        firsts.append((part, before))
+        before += n
+    if not firsts:
+        return dealt.drop("_range").withColumn(name, F.lit(None).cast("long"))
+    starts = df.sparkSession.createDataFrame(firsts, "_range int, _first long")
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, nth).join(F.broadcast(starts), "_range").withColumn(name, F.col(name) + F.col("_first")).drop("_range", "_first")  # a row for each range
+
+
 def dictionary_encode(df: DataFrame, columns: list[str], code: str = "code") -> tuple[DataFrame, DataFrame]:
     """(df with a code for each combination of columns, the dictionary). Codes run from 1 in order of the combinations."""
-    entries = df.select(*columns).distinct()
-    entries = entries.withColumn(code, F.row_number().over(Window.orderBy(*columns)))
+    entries = numbered(df.select(*columns).distinct(), columns, code)
     coded = join_null_safe(df, entries, columns).drop(*columns)
     return coded, entries
 

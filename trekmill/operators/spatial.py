@@ -99,13 +99,11 @@ def quadtree(points: DataFrame, x: str, y: str, zoom: int, weight: str, cap: int
     """
     finest = points.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.sum(weight).alias("weight"))
     levels = finest.select(F.explode(F.sequence(F.lit(0), F.lit(zoom))).alias("z"), "x", "y", "weight")
-    up = F.lit(zoom) - F.col("z")
     rolled = levels.groupBy("z", F.expr(f"shiftright(x, {zoom} - z)").alias("x"), F.expr(f"shiftright(y, {zoom} - z)").alias("y")).agg(F.sum("weight").alias("weight"))
     fits = rolled.where((F.col("weight") <= cap) | (F.col("z") == zoom))
     above = fits.select(F.col("z").alias("_z"), F.col("x").alias("_x"), F.col("y").alias("_y"))
     parents = fits.withColumn("_z", F.explode(F.expr("filter(sequence(0, z), a -> a < z)"))).withColumn("_x", F.expr("shiftright(x, z - _z)")).withColumn("_y", F.expr("shiftright(y, z - _z)"))
     covered = parents.join(above, ["_z", "_x", "_y"], "left_semi").select("z", "x", "y").distinct()
-    del up
     return fits.join(covered, ["z", "x", "y"], "left_anti")
 
 
@@ -140,3 +138,10 @@ def upper_median_point(points: DataFrame, by: list[str], key: str) -> DataFrame:
     both = points.join(median("lat"), by).join(median("lon"), by)
     far = F.pow(F.col("lat") - F.col("m_lat"), 2) + F.pow(F.col("lon") - F.col("m_lon"), 2)
     return both.groupBy(*by).agg(F.min_by(key, F.struct(F.round(far, 12), F.col(key))).alias(key))
+
+
+def spread(boxes: DataFrame, count: str) -> DataFrame:
+    """(x, y, share): the count of each box (x0, x1, y0, y1: whole cells, ends included) in equal parts over its cells."""
+    parts = (F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1)
+    rows = boxes.select("y0", "y1", (F.col(count) / parts).alias("share"), F.explode(F.sequence("x0", "x1")).alias("x"))
+    return rows.select("x", F.explode(F.sequence("y0", "y1")).alias("y"), "share")

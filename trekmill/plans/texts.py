@@ -191,7 +191,7 @@ def benchmark_summary(spark, d):
 @plan("a22_audit_counters", "SELECT role, count(*) AS n, count(DISTINCT text) AS distinct_texts, min(length(text)) AS shortest, CAST(median(length(text)) AS BIGINT) AS median, max(length(text)) AS longest FROM conversations GROUP BY role")
 def audit_counters(spark, d):
     n = F.length("text")
-    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("text").alias("distinct_texts"), F.min(n).cast("long").alias("shortest"), F.median(n).cast("long").alias("median"), F.max(n).cast("long").alias("longest"))
+    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.countDistinct("text").alias("distinct_texts"), F.min(n).cast("long").alias("shortest"), F.bround(F.median(n), 0).cast("long").alias("median"), F.max(n).cast("long").alias("longest"))
 
 
 @plan("q21_audit", """WITH e AS (SELECT conv_id, turn, CASE WHEN text IS NULL OR length(text) < 20 THEN 'empty' WHEN role = 'assistant' AND length(text) > 2000 THEN 'too_long' WHEN contains(text, '<') THEN 'markup' WHEN row_number() OVER (PARTITION BY role, text ORDER BY conv_id, turn) > 1 THEN 'duplicate' END AS reason FROM conversations)

@@ -48,12 +48,17 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("mode", "DROPMALFORMED").schema(schema).json(path)
 
 
+def allowed(dataset: Column, licence: Column, pairs: list[tuple]) -> Column:
+    """Whether (dataset, licence) is one of some pairs; the test reaches the scan."""
+    test = F.lit(False)
+    for d, v in pairs:
+        test |= (dataset == d) & (licence == v)
+    return test
+
+
 def open_places(spark: SparkSession, path: str, west: float, south: float, east: float, north: float, licences: list[tuple[str, str]]) -> DataFrame:
     """Parquet addresses inside a box whose (dataset, licence) is allowed; both filters reach the scan."""
-    test = F.lit(False)
-    for dataset, licence in licences:
-        test |= (F.col("dataset") == dataset) & (F.col("licence") == licence)
-    return spark.read.parquet(path).where(F.col("lat").between(south, north) & F.col("lon").between(west, east) & test)
+    return spark.read.parquet(path).where(F.col("lat").between(south, north) & F.col("lon").between(west, east) & allowed(F.col("dataset"), F.col("licence"), licences))
 
 
 _TAGS = "tag array<struct<_k:string,_v:string>>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,24 +31,42 @@ def refresh_seconds(size: int, metered: bool, least: int = 60, most: int = 420,
 
 
 def keep_latest(path: str, key: list[str], order: str):
-    """A foreachBatch function that keeps the latest row of each key in a Parquet table; a repeated batch changes nothing."""
+    """A foreachBatch function that keeps the latest row of each key in a Parquet table; a repeated batch changes nothing.
+
+    Each batch writes a version of its own from the one before it and then removes older ones, so that readers of
+    `latest` never meet half a table and a batch that runs again after a failure starts from the same version.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         from trekmill.operators.relational import latest_by
 
         spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
-        fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
-        old = spark.read.parquet(f"{path}/_current/{names[-1]}") if names else batch.limit(0)
-        name = f"v{batch_id:012d}"
-        latest_by(old.unionByName(batch), key, [order]).write.mode("overwrite").parquet(f"{path}/_current/{name}" if not names or names[-1] != name else f"{path}/_current/{name}_again")
-        for gone in names[:-1]:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_current/{gone}"), True)
+        before = [v for v in _versions(spark, path) if v < batch_id]
+        old = spark.read.parquet(_version(path, before[-1])) if before else batch.limit(0)
+        latest_by(old.unionByName(batch), key, [order]).write.mode("overwrite").parquet(_version(path, batch_id))
+        for gone in before[:-1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(_version(path, gone))
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     return write
 
 
+def _version(path: str, number: int) -> str:
+    return f"{path}/version={number:012d}"
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the whole versions in a folder, in order."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done) or []
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found)
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that keep_latest has written last."""
+    return spark.read.parquet(_version(path, _versions(spark, path)[-1]))
+
+
 SPEED = "user_id long, fixes long, speed double, reach double"
 
 
