@@ -130,11 +130,12 @@ def two_way_diff(spark, d):
     return a.exceptAll(b).select(F.lit("missing").alias("side"), "*").union(b.exceptAll(a).select(F.lit("new").alias("side"), "*"))
 
 
-@plan("u8_same_contents", "SELECT n_nationkey, true AS same FROM nation")
+@plan("u8_same_contents", "SELECT n_nationkey, n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 10 = 0) AS same FROM nation")
 def same_contents(spark, d):
-    """Whether two copies of each nation's suppliers hold the same rows as often: signed counts that all cancel out."""
+    """Whether two editions of each nation's suppliers hold the same rows as often: signed counts that all cancel out."""
     s = table(spark, d, "supplier")
-    counts = s.withColumn("w", F.lit(1)).union(s.withColumn("w", F.lit(-1))).groupBy(*s.columns).agg(F.sum("w").alias("w"))
+    other = s.withColumn("s_acctbal", F.when(F.col("s_suppkey") % 10 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")))
+    counts = s.withColumn("w", F.lit(1)).union(other.withColumn("w", F.lit(-1))).groupBy(*s.columns).agg(F.sum("w").alias("w"))
     odd = counts.where("w <> 0").select(F.col("s_nationkey").alias("n_nationkey"), F.lit(False).alias("bad")).distinct()
     return table(spark, d, "nation").join(odd, "n_nationkey", "left").select("n_nationkey", F.coalesce("bad", F.lit(True)).alias("same"))
 

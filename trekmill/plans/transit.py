@@ -65,11 +65,11 @@ def feed_patterns(spark, d):
     return text.join(counts, "pattern").select("stops", "trips", "first_trip")
 
 
-@plan("c12_service_days", """WITH s AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_custkey % 12 AS INTEGER) - 1 AS b, o_custkey FROM orders WHERE o_orderkey % 40 = 0),
+@plan("c12_service_days", """WITH s AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_custkey % 12 AS INTEGER) - 1 AS b, o_custkey FROM orders),
 r AS (SELECT id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM s WHERE b >= a)
 ((SELECT id AS service_id, day FROM r WHERE isodow(day) IN (1, 2, 3, 6)) UNION (SELECT id, b + 3 FROM s WHERE o_custkey % 2 = 0)) EXCEPT (SELECT id, a + 1 FROM s WHERE o_custkey % 5 = 0)""")
 def feed_service_days(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 40 = 0").withColumns({"a": F.to_date("o_orderdate"), "b": F.expr("date_add(to_date(o_orderdate), cast(o_custkey % 12 - 1 as int))")})
+    o = table(spark, d, "orders").withColumns({"a": F.to_date("o_orderdate"), "b": F.expr("date_add(to_date(o_orderdate), cast(o_custkey % 12 - 1 as int))")})
     text = lambda c: F.date_format(c, "yyyyMMdd")
     flags = {day: F.lit("1" if i in (0, 1, 2, 5) else "0") for i, day in enumerate(timetable.DAYS)}
     calendar = o.select(F.col("o_orderkey").alias("service_id"), text("a").alias("start_date"), text("b").alias("end_date")).withColumns(flags)
@@ -110,11 +110,11 @@ def nearby_departures(spark, d):
 
 
 @plan("q3_trip_detail", f"""WITH {CALL}, news AS (SELECT trip_id, seq, (trip_id * 31 + seq * 17) % 1200 - 200 AS delay FROM call WHERE seq % 3 = 1)
-SELECT c.trip_id, c.seq, c.stop_id, CAST(floor((n.delay + 30) / 60.0) AS BIGINT) AS delay FROM (SELECT * FROM call WHERE trip_id % 50 = 7) c ASOF LEFT JOIN news n ON c.trip_id = n.trip_id AND c.seq >= n.seq""")
+SELECT c.trip_id, c.seq, c.stop_id, CAST(floor((n.delay + 30) / 60.0) AS BIGINT) AS delay FROM call c ASOF LEFT JOIN news n ON c.trip_id = n.trip_id AND c.seq >= n.seq""")
 def trip_stops(spark, d):
     calls = _calls(spark, d)
     news = calls.where("seq % 3 = 1").select("trip_id", "seq", ((F.col("trip_id") * 31 + F.col("seq") * 17) % 1200 - 200).alias("delay"))
-    return timetable.trip_detail(calls.where("trip_id % 50 = 7"), news.where("trip_id % 50 = 7")).select("trip_id", "seq", "stop_id", F.col("delay").cast("long"))
+    return timetable.trip_detail(calls, news).select("trip_id", "seq", "stop_id", F.col("delay").cast("long"))
 
 
 _FOOT = f"foot AS (SELECT a.stop_id AS from_id, b.stop_id AS to_id, CAST(ceil({HAVERSINE.format(lat1='a.lat_e6 / 1e6', lon1='a.lon_e6 / 1e6', lat2='b.lat_e6 / 1e6', lon2='b.lon_e6 / 1e6')} / 5000) AS BIGINT) AS walk FROM stop a JOIN stop b ON a.stop_id <> b.stop_id AND {HAVERSINE.format(lat1='a.lat_e6 / 1e6', lon1='a.lon_e6 / 1e6', lat2='b.lat_e6 / 1e6', lon2='b.lon_e6 / 1e6')} <= 30000)"
@@ -193,12 +193,12 @@ def service_epoch(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.unix_timestamp(at).alias("epoch"))
 
 
-@plan("ar1_day_bits", "SELECT o_orderkey, CAST(unnest(list_filter(range(20), lambda i: ((o_custkey * 7919) >> i) & 1 = 1)) AS INTEGER) AS bit FROM orders WHERE o_orderkey % 10 = 0")
+@plan("ar1_day_bits", "SELECT o_orderkey, CAST(unnest(list_filter(range(20), lambda i: ((o_custkey * 7919) >> i) & 1 = 1)) AS INTEGER) AS bit FROM orders")
 def day_bits(spark, d):
     """Bits of a service mask as rows."""
     mask = F.col("o_custkey") * 7919
     bits = F.filter(F.sequence(F.lit(0), F.lit(19)), lambda i: F.getbit(mask, i) == 1)
-    return table(spark, d, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.explode(bits).alias("bit"))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(bits).alias("bit"))
 
 
 @plan("ar2_delta_codec", f"WITH {CALL} SELECT trip_id, string_agg(minute, ',' ORDER BY seq) AS minutes FROM call GROUP BY trip_id")
