@@ -26,7 +26,7 @@ from trekmill.llm.common import shared_dir, words_of
 #: No word holds a line feed, so this is no word's hash but by chance.
 END = xxhash.xxh64_intdigest(b"\n")
 #: Tokens that a worker counts or scores at once; training tokens for each shard of pairs; ids in each block of arrays.
-CHUNK, SHARD_TOKENS, BLOCK = 1 << 20, 2_000_000, 1 << 20
+CHUNK, SHARD_TOKENS, BLOCK = 1 << 20, 2_000_000, 1 << 15
 #: Documents for each shard of the vocabulary.
 SHARD_DOCS = 10_000
 _KNOWN = 1 << 20
@@ -186,10 +186,9 @@ class _Arrays:
     def stats(self, ids: np.ndarray) -> np.ndarray:
         """(words after it once, twice, more often; distinct contexts) of each id, by rows."""
         out = np.zeros((len(ids), 4), np.int64)
-        for number in np.unique(ids // BLOCK).tolist():
+        for number, (at,) in _by_slot(ids // BLOCK, np.arange(len(ids))):
             if (block := self.block(number)) is not None:
-                here = ids // BLOCK == number
-                out[here] = block[ids[here] % BLOCK]
+                out[at] = block[ids[at] % BLOCK]
         return out
 
     def pair_counts(self, context: np.ndarray, word: np.ndarray, before: np.ndarray) -> np.ndarray:
