@@ -40,7 +40,7 @@ IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, JOINED, WANT2, WANT1, CUT = range(8
 _BLOCK = 256
 #: Characters that are pre-tokenised at once; texts are joined up to this.
 _CHUNK = 1 << 18
-#: Slices whose ids a worker keeps; beyond, the table is begun anew.
+#: Slices in the table of ids that a worker keeps; a full one is kept as the table before, and a new one begun.
 _CACHED = 1 << 17
 #: Slices with more bytes than this are merged with a heap and are not kept.
 _LONG = 64
@@ -167,6 +167,7 @@ class Encoder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.known: dict[bytes, tuple[int, ...]] = {}
+        self.before: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a slice: the neighbouring pair of least rank is merged, the leftmost of equals, until none has a rank."""
@@ -212,10 +213,10 @@ class Encoder:
     def of_slice(self, piece: bytes) -> tuple[int, ...]:
         ids = self.known.get(piece)
         if ids is None:
-            ids = self.merge(piece)
+            ids = self.before.get(piece) or self.merge(piece)
             if len(piece) <= _LONG:
                 if len(self.known) >= _CACHED:
-                    self.known.clear()
+                    self.before, self.known = self.known, {}
                 self.known[piece] = ids
         return ids
 
