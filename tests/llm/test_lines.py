@@ -48,3 +48,12 @@ def test_odd_cases(spark):
     assert by[4].text is None and by[4].n_lines == 0 and by[5].text == "" and by[7].n_removed == 0
     assert by[8].text == "word " * 60 and by[9].n_removed == 0
     assert lines.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeated_rows_share_runs_with_others(spark):
+    run = "\n".join(f"line {i} has some seven words here" for i in range(9))
+    short = "\n".join(f"short {i} has some seven words here" for i in range(4))
+    rows = [(1, f"head\n{run}", "x"), (2, f"{run}\ntail", "x"), (2, f"{run}\ntail", "x"), (None, f"other\n{run}", "x"), (None, f"other\n{run}", "x")]
+    rows += [(i, f"{short}\nend {i}", "x") for i in (5, 5, 6, 6)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 9, r.text) for r in got) == [(1, rows[0][1]), (2, "tail"), (2, "tail"), *((i, f"{short}\nend {i}") for i in (5, 5, 6, 6)), (9, "other"), (9, "other")]

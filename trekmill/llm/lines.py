@@ -17,11 +17,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each line that has a word: its index among all lines, two hashes, words and first and last word's place."""
+    """A row for each line that has a word: its index among all lines, two hashes, words and first and last word's place.
+
+    Rows of docs that repeat both doc_id and text give their lines once. They meet where the windows need them anyway.
+    """
     lines = _keyed(docs).select(*_ROW, F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     bare = F.regexp_replace("body", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     lines = lines.select(*_ROW, "line", n_words(F.col("body")).alias("words"), bare.alias("bare")).where("words > 0")
     lines = lines.select(*_ROW, "line", "words", F.xxhash64("bare").alias("h"), F.xxhash64(F.lit(1), "bare").alias("g"))
+    lines = lines.repartition(*map(F.col, _ROW)).distinct()
     last = F.sum("words").over(Window.partitionBy(*_ROW).orderBy("line"))
     return lines.select("*", last.alias("last")).select("*", (F.col("last") - F.col("words")).alias("first"))
 
