@@ -46,3 +46,15 @@ def test_odd_cases(spark):
     assert got[None].n_dup_lines == 1 and got[None].n_words == 4 and got[5].n_repeat_words == 120000
     assert quality.keep(docs).columns == docs.columns and quality.keep(docs.limit(0)).count() == 0
     assert quality.references(docs.limit(0)) == {}
+
+
+def test_language_without_reference_is_not_measured_against_others(spark):
+    import random
+
+    rng = random.Random(3)
+    prose = lambda words, k: ". ".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(k))
+    made = lambda letters: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(150)]
+    common, rare = made("abcdefgh"), made("mnopqrst")
+    rows = [(i, prose(common, 15), "aa") for i in range(25)] + [(100 + i, prose(rare, 15), "zz") for i in range(5)] + [(200, prose(rare, 15), "aa")]
+    kept = {r.doc_id for r in quality.keep(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert kept == {*range(25), *range(100, 105)}

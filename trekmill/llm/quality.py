@@ -181,15 +181,18 @@ def _measure(refs: dict[str, tuple[np.ndarray, list[str], np.ndarray]]):
 def rate(docs: DataFrame, char_distance: float = CHAR_DISTANCE, word_distance: float = WORD_DISTANCE) -> DataFrame:
     """docs with the base counts, char_distance, word_distance, nearest (language), base_failed and kept.
 
-    The distances are to the nearest language reference, whatever lang the row itself has. A text of fewer than 200
+    The distances are to the nearest language reference, whatever lang the row itself has; they reject nothing if
+    that lang is null or has no reference, as they then measure against other languages only. A text of fewer than 200
     characters has neither distance, one of fewer than 100 words no word distance; a distance that is missing
     rejects nothing. Null text counts as empty and fails the base rules. Columns of docs with these names are
     replaced; rows are neither dropped nor merged. An empty table, or one without lang, has no reference.
     """
-    found = docs.withColumn("_m", _measure(references(docs))(F.col("text"))).withColumns({n: F.col(f"_m.{n}") for n in _BASE.names}).drop("_m")
+    refs = references(docs)
+    found = docs.withColumn("_m", _measure(refs)(F.col("text"))).withColumns({n: F.col(f"_m.{n}") for n in _BASE.names}).drop("_m")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     near = (F.coalesce(F.col("char_distance") - CHAR_SLACK / F.sqrt(F.length("text")), F.lit(0.0)) <= char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= word_distance)
-    return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & near)
+    known = F.coalesce(F.col("lang").isin(sorted(refs)), F.lit(False))
+    return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (~known | near))
 
 
 def keep(docs: DataFrame) -> DataFrame:
