@@ -92,3 +92,9 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     got = simhash.deduplicate(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in got.select(F.col("doc_id")).collect()) == [0, 1, 3]
+
+
+def test_deduplicate_tells_texts_of_one_id_apart(spark):
+    rows = [(1, "a b c d", None), (1, "quite another text here", None), (1, "a b c d", None), (None, "some text of no id", None), (None, "some text of no id", None), (None, "and one more of those", None)]
+    got = simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "and one more of those"), (0, "some text of no id"), (1, "a b c d"), (1, "quite another text here")]

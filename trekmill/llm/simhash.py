@@ -97,10 +97,12 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, id_col: str = "doc_id",
 
 
 def deduplicate(docs: DataFrame, max_bits: int = 2) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id is the component_id.
+    """docs with one document of each group: the one of the least doc_id, and of texts that share it the one of the least hash.
 
-    Rows without a doc_id stand for themselves and stay. Of rows that repeat a doc_id, one stays.
+    Documents are told apart by doc_id and text; of rows that repeat both, one stays. Rows without a doc_id are counted
+    apart: of each group's, one stays beside the one that has a doc_id.
     """
-    ids = near_duplicates(docs.where("doc_id is not null"), max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    key = {"_no_id": F.col("doc_id").isNull(), "_doc": F.coalesce("doc_id", F.lit(0)), "_hash": F.xxhash64("text")}
+    found = near_duplicates(docs.select(F.struct(*(e.alias(c) for c, e in key.items())).alias("key"), "text"), max_bits, "key")
+    firsts = found.groupBy("component_id", "doc_id._no_id").agg(F.min("doc_id").alias("key")).select("key.*")
+    return docs.withColumns(key).join(firsts, list(key), "left_semi").dropDuplicates(list(key)).select(docs.columns)
