@@ -1,59 +1,102 @@
 import random
 import re
 
-from trekmill.llm import lines
+import duckdb
+from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, n_lines string"
+from trekmill.llm import lines, queries
+
+SCHEMA = "doc_id long, text string, n_words string, rest string, spans string"
+SPACED = re.compile(r"([\x20\x09-\x0D]*)([^\x20\x09-\x0D]+)")
 
 
 def brute(rows, least):
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-    kept_lines = []
-    first, runs = {}, []
-    for d, (_, text) in enumerate(rows):
-        body = [(i, x.strip(" \t\n\v\f\r"), len(re.findall(r"[^\x20\x09-\x0D]+", x))) for i, x in enumerate((text or "").split("\n"))]
-        body = [x for x in body if x[2]]
-        for a in range(len(body)):
-            for b in range(a, len(body)):
-                if sum(x[2] for x in body[a : b + 1]) >= least:
-                    key = tuple(x[1] for x in body[a : b + 1])
-                    first.setdefault(key, (d, a))
-                    runs.append((d, a, key, body[a][0], body[b][0]))
-    drop = set()
-    for d, a, key, start, end in runs:
-        if first[key] < (d, a):
-            drop |= {(d, i) for i in range(start, end + 1)}
-    for d, (i, text) in enumerate(rows):
-        kept_lines.append((i, None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (d, k) not in drop)))
-    return kept_lines
+    """Texts of (doc_id, text) rows without the words of windows of `least` words that also stand at an earlier place."""
+    words = [[w for _, w in SPACED.findall(t or "")] for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda d: (rows[d][0] is None, rows[d][0] or 0))
+    first = {}
+    for d in order:
+        for i in range(len(words[d]) - least + 1):
+            first.setdefault(tuple(words[d][i : i + least]), (rows[d], i))
+    out = []
+    for (doc_id, text), w in zip(rows, words, strict=True):
+        drop = set()
+        for i in range(len(w) - least + 1):
+            if first[tuple(w[i : i + least])] != ((doc_id, text), i):
+                drop |= set(range(i, i + least))
+        if drop:
+            parts = SPACED.findall(text)
+            kept = [x for i, x in enumerate(parts) if i not in drop]
+            tail = text[len(text.rstrip(" \t\n\v\f\r")) :]
+            text = "".join([parts[0][0], kept[0][1], *(a + b for a, b in kept[1:]), tail]) if kept else ""
+        out.append((doc_id, text))
+    return out
 
 
 def test_matches_brute_force(spark):
     rng = random.Random(5)
-    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 2, 3, 5, 9]))) for _ in range(14)] + ["", "  "]
     for trial in range(3):
-        rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))) for i in range(60)]
-        got = lines.dedup_lines(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA), min_words=8 + trial)
-        assert sorted((r.doc_id, r.text) for r in got.collect()) == brute(rows, 8 + trial)
+        pool = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([3, 9, 14, 30]))) for _ in range(12)] + [" ", "w1 w2", "\n"]
+        rows = [(i, "".join(rng.choice(pool) + rng.choice([" ", "\n", "  ", " x "]) for _ in range(rng.randrange(1, 9)))) for i in range(80)]
+        rows += [(500 + i, "a b " * rng.randrange(30) + "c " * rng.randrange(40)) for i in range(4)] + [(None, "no id " + pool[3] * 2)]
+        rows += rows[3:9] + rows[-1:]  # repeated rows
+        got = lines.dedup_lines(spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA), min_words=12 + trial)
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(brute(rows, 12 + trial), key=key)
+
+
+def test_query_matches_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    rows = duckdb.sql(f"select doc_id, text from '{d}/documents.parquet' order by doc_id").fetchall()
+    got = {r.doc_id: r for r in queries.op10_line_dedup(spark, d).collect()}
+    want = dict(brute(rows, 50))
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_removed == len(text.encode().split()) - len(want[i].encode().split()) for i, text in rows for r in [got[i]])
+    assert sum(r.n_removed > 0 for r in got.values()) > 50
+
+
+def test_fingerprints_are_window_minima(spark):
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)) + " a b" * 200
+    rows = spark.createDataFrame([(text,)], "text string").select(F.inline(lines._winnowed(F.col("text"), 50))).collect()
+    windows = sorted(i for r in rows for i in range(r.at, r.at + r.n))
+    assert windows == list(range(3400 - 49))  # each window has one fingerprint
+    words = text.split()
+    of = {i: r.g for r in rows for i in range(r.at, r.at + r.n)}
+    same = {}
+    for i in windows:
+        assert same.setdefault(tuple(words[i : i + 50]), of[i]) == of[i]
+    assert 3000 / 30 < sum(r.at < 2900 for r in rows) < 3000 / 15
+
+
+def test_passages_inside_differing_lines_go(spark):
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"p{rng.randrange(10**6)}" for _ in range(n))
+    passage = prose(55)
+    rows = [(i, f"{prose(20)} {passage} {prose(20)}\n{prose(9)}") for i in range(6)]
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)).collect()}
+    assert got[0].text == rows[0][1] and all(got[i].n_removed == 55 and got[i].text == rows[i][1].replace(" " + passage, "") for i in range(1, 6))
 
 
 def test_odd_cases(spark):
     run = "\n".join(f"line {i} has some seven words here" for i in range(9))
-    rows = [(3, run, "x"), (1, f"head\n{run}\ntail", None), (None, run, "x"), (4, None, "x"), (5, "", "x"), (6, "all rights reserved", "x"), (7, "all rights reserved", "x"), (8, "word " * 60 + "\n" + "word " * 60, "x"), (9, "only once " * 30, "y"), (9, "only once " * 30, "y")]
-    got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA))
-    assert got.columns == ["doc_id", "text", "n_lines", "n_removed"]
+    rows = [(3, run), (1, f"head\n{run}\ntail"), (None, run), (4, None), (5, ""), (6, "all rights reserved"), (7, "all rights reserved"), (8, "word " * 60 + "\n" + "word " * 60), (9, "only once " * 3), (9, "only once " * 3), (-(2**63), "x y")]
+    rows += [(10, "one two three " * 100_000), (2**63 - 1, f"\n {run} end ")]
+    got = lines.dedup_lines(spark.createDataFrame([(*r, "x", "y", None) for r in rows], SCHEMA))
+    assert got.columns == ["doc_id", "text", "n_words", "rest", "spans", "n_removed"]
     by = {r.doc_id: r for r in got.collect()}
-    assert len(by) == 9 and got.count() == 10
-    assert by[1].text == rows[1][1] and by[3].text == "" and by[None].text == "" and by[3].n_removed == 9
-    assert by[4].text is None and by[4].n_lines == 0 and by[5].text == "" and by[7].n_removed == 0
-    assert by[8].text == "word " * 60 and by[9].n_removed == 0
+    assert len(by) == 12 and got.count() == 13 and all(r.rest == "y" and r.spans is None for r in by.values())
+    assert by[1].text == rows[1][1] and by[3].text == "" and by[None].text == "" and by[3].n_removed == 63
+    assert by[4].text is None and by[5].text == "" and by[7].n_removed == 0
+    assert by[8].text.split() == ["word"] and by[9].n_removed == 0 and by[10].text == "one two three "
+    assert by[2**63 - 1].text == "\n end "
     assert lines.dedup_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_repeated_rows_share_runs_with_others(spark):
     run = "\n".join(f"line {i} has some seven words here" for i in range(9))
     short = "\n".join(f"short {i} has some seven words here" for i in range(4))
-    rows = [(1, f"head\n{run}", "x"), (2, f"{run}\ntail", "x"), (2, f"{run}\ntail", "x"), (None, f"other\n{run}", "x"), (None, f"other\n{run}", "x")]
-    rows += [(i, f"{short}\nend {i}", "x") for i in (5, 5, 6, 6)]
-    got = lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    rows = [(1, f"head\n{run}"), (2, f"{run}\ntail"), (2, f"{run}\ntail"), (None, f"other\n{run}"), (None, f"other\n{run}")]
+    rows += [(i, f"{short}\nend {i}") for i in (5, 5, 6, 6)]
+    got = lines.dedup_lines(spark.createDataFrame([(*r, "x", "y", "z") for r in rows], SCHEMA)).collect()
     assert sorted((r.doc_id or 9, r.text) for r in got) == [(1, rows[0][1]), (2, "tail"), (2, "tail"), *((i, f"{short}\nend {i}") for i in (5, 5, 6, 6)), (9, "other"), (9, "other")]

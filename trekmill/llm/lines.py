@@ -1,91 +1,174 @@
-"""Line deduplication by winnowing over line hashes, in DataFrame operations only."""
+"""Line deduplication by winnowing, in DataFrame operations only.
+
+Where a text's line feeds are doesn't say where its repeated passages begin. So the lines that are hashed and winnowed here
+are found by content: LINE words from each word whose hash says so, whatever the white space between them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trekmill.llm.common import cut, n_words, splittable
+from trekmill.llm.common import WORD, cut, splittable, stored
 
-#: doc_id is compared with nulls last.
+#: Words of a line; a word in so many starts one; lines on each side that are looked at first.
+LINE, EVERY, NEAR = 8, 8, 12
+#: Places are compared with null doc_id last.
 _ROW = ["no_id", "doc_id", "text_hash"]
+#: A word with the white space before it.
+_SPACED = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs' ids and texts with the key by which places are ordered."""
-    return docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs' texts with the key by which places are ordered."""
+    return docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", *more)
 
 
-def _line_rows(docs: DataFrame) -> DataFrame:
-    """A row for each line that has a word: its index among all lines, two hashes, words and first and last word's place.
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _word_hashes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda word: F.xxhash64(word))
 
-    Rows of docs that repeat both doc_id and text give their lines once. They meet where the windows need them anyway.
-    """
-    lines = _keyed(docs).select(*_ROW, F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-    bare = F.regexp_replace("body", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    lines = lines.select(*_ROW, "line", n_words(F.col("body")).alias("words"), bare.alias("bare")).where("words > 0")
-    lines = lines.select(*_ROW, "line", "words", F.xxhash64("bare").alias("h"), F.xxhash64(F.lit(1), "bare").alias("g"))
-    lines = lines.repartition(*map(F.col, _ROW)).distinct()
-    last = F.sum("words").over(Window.partitionBy(*_ROW).orderBy("line"))
-    return lines.select("*", last.alias("last")).select("*", (F.col("last") - F.col("words")).alias("first"))
 
+def _rolled(values: Column, width: int, of: Callable[[Column, Column], Column]) -> Column:
+    """`of` over `width` neighbours, from each element on, by doubling; the last width - 1 elements are of fewer."""
 
-def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """The least runs of whole lines with min_words words that start at, or end with, each line.
+    def with_later(values: Column, step: int) -> Column:
+        return _let(values, lambda v: F.zip_with(v, F.slice(v, step + 1, F.greatest(F.size(v), F.lit(1))), of))
 
-    A window holds at most min_words lines, as each has a word. `mark` is the least line hash of the window and
-    `at` its (last) line: the winnowed fingerprint.
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values, done = with_later(values, step), done + step
+    return values
+
+
+def _winnowed(text: Column, min_words: int) -> Column:
+    """array<struct<g,at,n,h>>: the guaranteed fingerprints of a text.
+
+    A line is LINE words from a word whose hash is divisible by EVERY. g is the least line hash, the first of equals, in each of
+    the n windows of min_words words from word `at` on; a window without a line is its own fingerprint. So every window has
+    one, which depends on the window's words alone. h is a hash of all words of the n windows.
     """
+    line = min(LINE, min_words)
+    reach = min_words - line  # from a window's start to the last line in it
+
+    def fingerprint(words: Column, at: Column, n: Column, g: Column | None = None) -> Column:
+        h = F.xxhash64(F.slice(words, at + 1, n + min_words - 1))
+        return F.struct((h if g is None else g).alias("g"), at.alias("at"), n.alias("n"), h.alias("h"))
+
+    def of_line(words: Column, lines: Column, x: Column, j: Column) -> Column:
+        """The windows that x takes: those that hold it and no lesser line, nor an equal one before it."""
+        upto = lambda k: F.slice(lines, F.greatest(j - k, F.lit(0)) + 1, F.least(j, F.lit(k)))
+        beyond = lambda k: F.slice(lines, j + 2, k)
+        places = lambda some, test: F.transform(F.filter(some, test), lambda y: y.at)
+        few = F.coalesce(F.get(lines, j - NEAR).at < x.at - reach, F.lit(True))
+        before = F.array_max(places(F.when(few, upto(NEAR)).otherwise(upto(reach)), lambda y: y.g <= x.g))
+        few = F.coalesce(F.get(lines, j + NEAR).at > x.at + reach, F.lit(True))
+        after = F.array_min(places(F.when(few, beyond(NEAR)).otherwise(beyond(reach)), lambda y: y.g < x.g))
+        first = F.greatest(x.at - reach, before + 1, F.lit(0))
+        last = F.least(x.at, after - reach - 1, F.size(words) - min_words)
+        return _let(F.struct(first.alias("at"), (last - first + 1).alias("n")), lambda own: F.when(own.n > 0, fingerprint(words, own.at, own.n, x.g)))
 
-    def kind(frame) -> DataFrame:
-        held = F.collect_list(F.struct("h", (-F.col("line")).alias("back"), "g", "words")).over(frame)
-        spans = lines.select(*_ROW, held.alias("held"), F.min("line").over(frame).alias("start"), F.max("line").over(frame).alias("end"))
-        enough = F.aggregate("held", F.lit(0).cast("long"), lambda n, x: n + x.words) >= min_words
-        return spans.where(enough).select(
-            *_ROW, "start", "end", F.array_min("held.h").alias("mark"), (-F.array_min("held").back).alias("at"),
-            F.xxhash64("held.h").alias("hash"), F.xxhash64("held.g").alias("check"),
-        )
+    def of_lines(words: Column, lines: Column) -> Column:
+        bounds = F.concat(F.array(F.lit(-1)), F.transform(lines, lambda x: x.at))
+        ends = F.concat(F.slice(bounds, 2, F.size(bounds)), F.array(F.size(words) - line + 1))
+        gaps = F.filter(F.zip_with(bounds, ends, lambda a, b: F.when(b - a > reach + 1, F.sequence(a + 1, b - reach - 1))), lambda gap: gap.isNotNull())
+        bare = F.transform(F.flatten(gaps), lambda i: fingerprint(words, i, F.lit(1)))
+        return F.concat(F.filter(F.transform(lines, lambda x, j: of_line(words, lines, x, j)), lambda f: f.isNotNull()), bare)
 
-    doc = Window.partitionBy(*_ROW)
-    return kind(doc.orderBy("first").rangeBetween(0, min_words - 1)).unionByName(kind(doc.orderBy("last").rangeBetween(-(min_words - 1), 0)))
+    def of_words(words: Column) -> Column:
+        starts = F.filter(F.transform(words, lambda h, i: F.when((h % EVERY == 0) & (i <= F.size(words) - line), i)), lambda i: i.isNotNull())
+        lines = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, line)).alias("g")))
+        return F.when(F.size(words) >= min_words, _let(lines, lambda x: of_lines(words, x)))
 
+    return _let(_word_hashes(text), of_words)
 
-def _place(line: str) -> Column:
-    return F.struct(*_ROW, F.col(line).alias("line"))
 
+def _place(at: str | Column) -> Column:
+    return F.struct(*_ROW, (F.col(at) if isinstance(at, str) else at).alias("at"))
 
-def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(no_id, doc_id, text_hash, line): the lines of later repeated runs.
 
-    A run is a sequence of neighbouring lines with words (blank lines between them are ignored; white space at
-    their ends too) of min_words words or more. Its place is (doc_id, text, line). Every line of a run that also
-    stands at an earlier place is listed; of a run's places only the first is spared.
+def _met(docs: DataFrame, min_words: int) -> DataFrame:
+    """The fingerprints that stand at two places or more."""
+    found = stored(_keyed(docs).select(*_ROW, F.inline(_winnowed(F.col("text"), min_words))))
+    often = found.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    return found.join(splittable(often), "g", "left_semi")
 
-    Each run of min_words words is a union of least windows that start at or end with one of its lines, and
-    equal windows have equal winnowed fingerprints. So: take the fingerprints, keep those with two places or
-    more, extend around them to the windows that they stand for, and let the first place of equal windows win.
+
+def _later_windows(docs: DataFrame, met: DataFrame, min_words: int) -> DataFrame:
+    """(no_id, doc_id, text_hash, at, to): repeated windows at other places than their first, which start at words [at, to).
+
+    Fingerprints whose windows all agree are one class, of which only the first place is spared. Where a fingerprint has other
+    classes too, runs of words begin or end within its windows: the first of each class has its windows compared one by one.
+    """
+    classes = met.groupBy("g", "h", "n").agg(F.min(_place("at")).alias("first"), F.count("*").alias("k"))
+    again = classes.where("k > 1").select("g", "h", "n", "first")
+    whole = met.join(splittable(again), ["g", "h", "n"]).where(_place("at") > F.col("first")).select(*_ROW, "at", (F.col("at") + F.col("n")).alias("to"))
+    mixed = classes.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1").select("g")
+    edges = classes.join(splittable(mixed), "g", "left_semi").select("first.*", "n")
+    edges = edges.groupBy(*_ROW).agg(F.collect_list(F.struct("at", "n")).alias("edges"))  # of one text, so bounded by it
+    texts = _keyed(docs).join(splittable(edges), _ROW)
+    of_hashes = lambda hashes: F.flatten(F.transform("edges", lambda e: F.transform(F.sequence(e.at, e.at + e.n - 1), lambda i: F.struct(i.alias("at"), F.get(hashes, i).alias("h")))))
+    windows = texts.select(*_ROW, F.inline(_let(_rolled(_word_hashes(F.col("text")), min_words, lambda x, y: F.xxhash64(x, y)), of_hashes)))
+    firsts = windows.groupBy("h").agg(F.min(_place("at")).alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "first")
+    parts = windows.join(splittable(firsts), "h").where(_place("at") > F.col("first")).select(*_ROW, "at", (F.col("at") + 1).alias("to"))
+    return whole.unionByName(parts)
+
+
+def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """(no_id, doc_id, text_hash, spans): the words [at, end) of each text that later repeated runs cover, merged, in order.
+
+    A run is min_words words or more in a row, whatever white space is between them. A window of as many words that also stands
+    at an earlier place (by doc_id, text hash and word) is repeated, and all of its words are listed; a passage that repeats
+    within a text loses all but its first period likewise. Equal windows have equal winnowed fingerprints: so those that stand
+    at two places or more are joined with their places, and matches are extended both ways, over windows that agree as
+    a whole first and then word by word. Equal 64-bit hashes count as equal words.
     """
-    windows = cut(_windows(_line_rows(docs), min_words))
-    marks = windows.groupBy("mark").agg(F.min(_place("at")).alias("a"), F.max(_place("at")).alias("b")).where("a <> b").select("mark")
-    met = windows.join(splittable(marks), "mark", "left_semi")
-    firsts = met.groupBy("hash", "check").agg(F.min(_place("start")).alias("a"), F.max(_place("start")).alias("b")).where("a < b").select("hash", "check", "a")
-    later = met.join(splittable(firsts), ["hash", "check"]).where(_place("start") > F.col("a"))
-    return later.select(*_ROW, F.explode(F.sequence("start", "end")).alias("line")).distinct()
+    later = _later_windows(docs, cut(_met(docs, min_words)), min_words)
+    later = later.groupBy(*_ROW).agg(F.collect_set(F.struct("at", "to")).alias("later"))  # of one text, so bounded by it
+    starts = F.array_sort(F.array_distinct(F.flatten(F.transform("later", lambda x: F.sequence(x.at, x.to - 1)))))
+
+    def spans(s: Column) -> Column:
+        begins = F.transform(s, lambda x, i: F.when(F.coalesce(x - F.get(s, i - 1) > min_words, F.lit(True)), x))
+        ends = F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i + 1) - x > min_words, F.lit(True)), x + min_words))
+        kept = (F.filter(a, lambda x: x.isNotNull()) for a in (begins, ends))
+        return F.zip_with(*kept, lambda a, b: F.struct(a.alias("at"), b.alias("end")))
+
+    return later.select(*_ROW, _let(starts, spans).alias("spans"))
+
+
+def _cut(text: Column, spans: Column) -> Column:
+    """text without the words in spans and the white space before each; what stays first keeps the text's own beginning."""
+    tail = F.substring(text, F.length(F.rtrim(text, F.lit(" \t\n\x0b\f\r"))) + 1, F.length(text))
+
+    def kept(words: Column) -> Column:
+        starts = F.concat(F.transform(spans, lambda s: s.at), F.array(F.size(words)))
+        ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s.end))
+        return F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice(words, a + 1, b - a)))
+
+    def joined(words: Column, left: Column) -> Column:
+        space = F.regexp_extract(F.get(words, F.lit(0)), r"^[\x20\x09-\x0D]*", 0)
+        return F.when(F.size(left) > 0, F.concat(space, F.regexp_replace(F.array_join(left, ""), r"^[\x20\x09-\x0D]+", ""), tail)).otherwise(F.lit(""))
+
+    return _let(F.regexp_extract_all(text, F.lit(_SPACED), F.lit(0)), lambda words: _let(kept(words), lambda left: joined(words, left)))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """docs with later repeated runs of lines taken out of `text`, and columns n_lines, n_removed (long).
+    """docs with later repeated runs of words taken out of `text`, and a column n_removed (words; long).
 
-    All rows and columns stay (columns of docs named n_lines or n_removed are replaced). Null text stays null with
-    0 lines; a text that loses every line becomes empty. Rows without a doc_id come after all others. Rows that
-    repeat both doc_id and text are one place, so they lose the same lines. An empty table stays empty.
+    All rows and columns stay (a column of docs named n_removed is replaced). Null text stays null; a text that
+    loses every word becomes empty. Rows without a doc_id come after all others. Rows that
+    repeat both doc_id and text are one place, so they lose the same words. An empty table stays empty.
     """
-    drop = repeated_lines(docs, min_words).groupBy(*_ROW).agg(F.collect_list("line").alias("drop"))
-    drop = drop.select(F.col("no_id").alias("_no_id"), F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop"))
-    on = (F.col("doc_id").isNull() == F.col("_no_id")) & (F.coalesce("doc_id", F.lit(0)).cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    lines = F.split("text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drop"))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: lines[i]), "\n"))
-    counts = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")}
-    rest = [c for c in docs.columns if c not in counts]
-    return docs.select(rest).join(drop, on, "left").select(*(text.alias(c) if c == "text" else c for c in rest), *(e.alias(c) for c, e in counts.items()))
+    names = [c for c in docs.columns if c != "n_removed"]
+    rest = [c for c in names if c not in ("doc_id", "text")]
+    found = _keyed(docs, *[F.struct(*rest).alias("rest")] * bool(rest)).join(splittable(repeated_spans(docs, min_words)), _ROW, "left")
+    n_removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s.end - s.at), F.lit(0)).cast("long")
+    of = {"doc_id": F.when(~F.col("no_id"), F.col("doc_id")).cast(docs.schema["doc_id"].dataType), "text": F.when(F.col("spans").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("spans")))}
+    return found.select(*((of[c] if c in of else F.col("rest").getField(c)).alias(c) for c in names), n_removed.alias("n_removed"))
