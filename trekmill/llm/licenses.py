@@ -9,8 +9,10 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from trekmill.llm.common import LOWER, cut
+from trekmill.llm.common import LOWER, cut, splittable
 
 #: Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -84,27 +86,51 @@ def templates(spark, phrases=(*BASE, *TEMPLATES)) -> DataFrame:
     return spark.createDataFrame(rows, "gram long, template int, place int, of int")
 
 
+def chain(hits: list[tuple[int, int]]) -> tuple[int, int, int]:
+    """(hits, first word, last word) of the longest sequence of hits (place, word) in which both numbers rise.
+
+    So each gram of the template counts once, and its words stand in the text in the template's order. Of equal
+    ones the shortest span is taken, then the first.
+    """
+    best: list[tuple[int, int, int]] = []  # (length, -span, start) of the chain that ends at each hit
+    hits = sorted(hits)
+    for place, at in hits:
+        before = [(n + 1, span - (at - hits[k][1]), start) for k, (n, span, start) in enumerate(best) if hits[k][0] < place and hits[k][1] < at]
+        best.append(max(before, key=lambda x: (x[0], x[1], -x[2]), default=(1, 0, at)))
+    n, span, start = max(best, key=lambda x: (x[0], x[1], -x[2]))
+    return n, start, start - span + GRAM - 1
+
+
+@pandas_udf(StructType([StructField("n", IntegerType()), StructField("first", LongType()), StructField("last", LongType())]))
+def _chains(hits: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([chain([(h["place"], h["at"]) for h in some]) for some in hits], columns=["n", "first", "last"])
+
+
 def matches(docs: DataFrame, phrases=(*BASE, *TEMPLATES), exact: int = len(BASE)) -> DataFrame:
     """(doc, template, first, last, share): spans of words of each text that match a template.
 
     docs: doc (a key that tells texts apart) and text; rows that repeat a key count once. All rolling grams are joined to
     template places; a hit votes for the diagonal `word - place`. Of the first `exact` templates a span is a diagonal
-    on which every gram has voted, so that all words stand consecutively. Diagonals of the others that are NEIGHBOURS
-    words apart or less merge (a word put in or left out); a span then needs COVERED of the template's grams and
-    may not be much longer than the template. The templates are a fixed list, so they are broadcast.
+    on which every gram has voted, so that all words stand consecutively. Of the others each diagonal with a vote is merged
+    with those NEIGHBOURS words apart or less (words put in or left out), and the span is verified: share is that of the
+    template's grams which stand there in the template's order, each counted once, and must be COVERED. Of the spans that
+    neighbouring diagonals give the best stays. The templates are a fixed list, so they are broadcast; a diagonal has
+    at most a hit for each gram of its template, so no group is large.
     """
     places = templates(docs.sparkSession, phrases)
     all_grams = docs.select("doc", "text").where("text is not null").mapInPandas(_positions, "doc long, at long, gram long")
-    hits = all_grams.join(F.broadcast(places), "gram").select("doc", "template", "at", "place", "of").distinct()
-    diagonals = hits.groupBy("doc", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.count("*").alias("votes"), F.first("of").alias("of"), F.min("at").alias("low"), F.max("at").alias("high"))
-    diagonals = cut(diagonals)
-    whole = diagonals.where((F.col("template") < exact) & (F.col("votes") == F.col("of"))).select("doc", "template", F.col("low").alias("first"), (F.col("high") + GRAM - 1).alias("last"), F.lit(1.0).alias("share"))
-    line = Window.partitionBy("doc", "template").orderBy("diagonal")
-    new = (F.col("diagonal") - F.lag("diagonal").over(line) > NEIGHBOURS) | F.lag("diagonal").over(line).isNull()
-    runs = diagonals.where(F.col("template") >= exact).withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(line))
-    spans = runs.groupBy("doc", "template", "run").agg(F.least(F.lit(1.0), F.sum("votes") / F.first("of")).alias("share"), F.first("of").alias("of"), F.min("low").alias("first"), (F.max("high") + GRAM - 1).alias("last"))
-    fits = (F.col("share") >= COVERED) & (F.col("last") - F.col("first") <= F.col("of") + 2 * NEIGHBOURS)
-    return whole.unionByName(spans.where(fits).select("doc", "template", "first", "last", "share"))
+    hits = cut(all_grams.join(F.broadcast(places), "gram").select("doc", "template", "at", "place", "of").distinct())
+    diagonal = F.col("at") - F.col("place")
+    whole = hits.where(F.col("template") < exact).groupBy("doc", "template", diagonal.alias("diagonal")).agg(F.count("*").alias("votes"), F.first("of").alias("of"), F.min("at").alias("first"))
+    whole = whole.where("votes = of").select("doc", "template", "first", (F.col("first") + F.col("of") + GRAM - 2).alias("last"), F.lit(1.0).alias("share"))
+    near = hits.where(F.col("template") >= exact).withColumn("diagonal", F.explode(F.sequence(diagonal - NEIGHBOURS, diagonal + NEIGHBOURS)))
+    groups = near.groupBy("doc", "template", "diagonal").agg(F.collect_list(F.struct("place", "at")).alias("hits"), F.first("of").alias("of"), F.max(F.col("at") - F.col("place") == F.col("diagonal")).alias("own"))
+    spans = groups.where(F.col("own") & (F.size("hits") >= F.col("of") * COVERED)).withColumn("c", _chains("hits"))
+    spans = spans.select("doc", "template", "diagonal", "c.first", "c.last", (F.col("c.n") / F.col("of")).alias("share")).where(F.col("share") >= COVERED)
+    around = Window.partitionBy("doc", "template").orderBy("diagonal").rangeBetween(-2 * NEIGHBOURS, 2 * NEIGHBOURS)
+    rank = F.struct("share", (-F.col("diagonal")).alias("before"))
+    best = spans.withColumn("best", F.max(rank).over(around)).where(F.col("best") == rank)
+    return whole.unionByName(best.select("doc", "template", "first", "last", "share"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -125,5 +151,5 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     n = F.coalesce(F.regexp_count(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
     new = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    joined = docs.drop(*new).withColumn("n_words", n).withColumn("_key", key).join(found, F.col("_key") == F.col("_doc"), "left").drop("_doc", "_key")
+    joined = docs.drop(*new).withColumn("n_words", n).withColumn("_key", key).join(splittable(found), F.col("_key") == F.col("_doc"), "left").drop("_doc", "_key")
     return joined.fillna({"n_base": 0, "base_labels": "", "labels": "", "score": 0.0})
