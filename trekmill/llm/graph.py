@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trekmill.llm.common import cut
+from trekmill.llm.common import cut, splittable
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -30,10 +30,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .agg(F.min("v").alias("v"))
             .select("u", F.least("u", "v").alias("m"))
         )
-        large = edges.join(least, edges.lo == least.u).select("hi", F.col("m").alias("lo")).distinct()
+        large = edges.join(splittable(least), F.col("lo") == F.col("u")).select("hi", F.col("m").alias("lo")).distinct()
         lowest = large.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
         small = (
-            large.join(lowest, large.hi == lowest.u)
+            large.join(splittable(lowest), F.col("hi") == F.col("u"))
             .select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
             .select("e.hi", "e.lo")
             .where("hi <> lo")
