@@ -2,9 +2,8 @@ import random
 import re
 
 import duckdb
-from pyspark.sql import functions as F
 
-from trekmill.llm import lines, queries
+from trekmill.llm import hashing, lines, queries
 
 SCHEMA = "doc_id long, text string, n_words string, rest string, spans string"
 SPACED = re.compile(r"([\x20\x09-\x0D]*)([^\x20\x09-\x0D]+)")
@@ -55,18 +54,33 @@ def test_query_matches_brute_force(spark):
     assert sum(r.n_removed > 0 for r in got.values()) > 50
 
 
-def test_fingerprints_are_window_minima(spark):
+def test_fingerprints_are_window_minima():
     rng = random.Random(4)
     text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)) + " a b" * 200
-    rows = spark.createDataFrame([(text,)], "text string").select(F.inline(lines._winnowed(F.col("text"), 50))).collect()
-    windows = sorted(i for r in rows for i in range(r.at, r.at + r.n))
-    assert windows == list(range(3400 - 49))  # each window has one fingerprint
-    words = text.split()
-    of = {i: r.g for r in rows for i in range(r.at, r.at + r.n)}
-    same = {}
-    for i in windows:
-        assert same.setdefault(tuple(words[i : i + 50]), of[i]) == of[i]
-    assert 3000 / 30 < sum(r.at < 2900 for r in rows) < 3000 / 15
+    other = "one more text " * 30
+    of, *found = lines.winnow([None, "few words", other, text, "", other], 50)
+    assert set(of.tolist()) == {2, 3, 5} and all(f[of == 2].tolist() == f[of == 5].tolist() for f in found)
+    g, at, n, h = (f[of == 3] for f in found)
+    assert n[-1] < -250 and n[:-1].min() > 0  # the periods after the first are one row
+    g, at, n, h = g[:-1], at[:-1], n[:-1], h[:-1]
+    windows = [i for a, k in zip(at.tolist(), n.tolist(), strict=True) for i in range(a, a + k)]
+    assert windows == list(range(len(windows))) and 2950 < len(windows) < 3100 and n.max() <= 43  # each window has one fingerprint
+    words, same = text.split(), {}
+    for i, x in zip(windows, [x for x, k in zip(g.tolist(), n.tolist(), strict=True) for _ in range(k)], strict=True):
+        assert same.setdefault(tuple(words[i : i + 50]), x) == x
+    assert 3000 / 30 < (at < 2900).sum() < 3000 / 15
+    classes = {}
+    for a, k, x in zip(at.tolist(), n.tolist(), h.tolist(), strict=True):
+        assert classes.setdefault(x, words[a : a + k + 49]) == words[a : a + k + 49]
+
+
+def test_word_hashes_tell_words_apart():
+    import numpy as np
+
+    words = [b"a", b"A", b"a\0", b"12345678", b"123456789", b"1234567", b"\0", b"\0\0", "é".encode(), b"x" * 64, b"x" * 65]
+    found = hashing.word_hashes(np.frombuffer(b"\n".join(words) + b"  ", np.uint8)).tolist()
+    assert len(set(found)) == len(words)
+    assert found == [hashing.word_hashes(np.frombuffer(w, np.uint8))[0] for w in words] and not len(hashing.word_hashes(np.zeros(0, np.uint8)))
 
 
 def test_passages_inside_differing_lines_go(spark):

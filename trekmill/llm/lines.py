@@ -1,24 +1,72 @@
-"""Line deduplication by winnowing, in DataFrame operations only.
+"""Line deduplication by winnowing over line hashes.
 
 Where a text's line feeds are doesn't say where its repeated passages begin. So the lines that are hashed and winnowed here
-are found by content: LINE words from each word whose hash says so, whatever the white space between them.
+are rolling ones: LINE words from each word on, whatever the white space between them. Tasks hash words in numpy; Spark
+counts, joins and groups. (The same in array functions needs several times the CPU seconds that there are: see the README.)
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from trekmill.llm.common import WORD, cut, splittable, stored
+from trekmill.llm.common import cut, splittable
+from trekmill.llm.hashing import chunks, doubled, joined_words, mixed, word_places
+from trekmill.operators.relational import numbered
 
-#: Words of a line; a word in so many starts one; lines on each side that are looked at first.
-LINE, EVERY, NEAR = 8, 8, 12
+#: Words of a rolling line.
+LINE = 8
 #: Places are compared with null doc_id last.
 _ROW = ["no_id", "doc_id", "text_hash"]
-#: A word with the white space before it.
-_SPACED = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+_KEY = "no_id boolean, doc_id long, text_hash long"
+_RANGES = ArrayType(StructType([StructField("at", IntegerType()), StructField("to", IntegerType())]))
+#: As many words as a string of Spark's can have: two gigabytes with a letter and a space each.
+MOST_WORDS = 1 << 30
+
+
+def window_hashes(texts: list[str | None], min_words: int) -> tuple[np.ndarray, ...]:
+    """Hashes of all lines and of all windows of min_words words of the joined texts; the text of each word; each text's first word."""
+    words, text, firsts = joined_words([(t or "").encode("utf-8", "surrogatepass") for t in texts])
+    if len(words) < min_words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), text, firsts
+    line = min(LINE, min_words)
+    lines = doubled(words, 1, line)
+    return lines, doubled(lines, line, min_words), text, firsts
+
+
+def winnow(texts: list[str | None], min_words: int) -> tuple[np.ndarray, ...]:
+    """text (its index), g, at, n, h of the guaranteed fingerprints of some texts.
+
+    The least line hash g, the first of equals, of a window of min_words words is that of the n windows from word `at` on, n at
+    most min_words; every window has one, which depends on its words alone. h is a hash of all words of these windows.
+    Where a text has the same windows before, neighbours are one row with -n, as these repeat whatever other texts hold.
+    """
+    lines, windows, text, firsts = window_hashes(texts, min_words)
+    if not len(windows):
+        return (windows.view(np.int64),) * 5
+    least, place, done, width = lines, np.arange(len(lines)), 1, min_words - min(LINE, min_words) + 1
+    while done < width:
+        step = min(done, width - done)
+        right = least[step:] < least[:-step]
+        least, place = np.where(right, least[step:], least[:-step]), np.where(right, place[step:], place[:-step])
+        done += step
+    inside = np.flatnonzero(text[: len(windows)] == text[min_words - 1 :])  # windows within one text
+    turns = np.flatnonzero(np.concatenate(([True], place[inside][1:] != place[inside][:-1]))) if len(inside) else inside
+    at, n = inside[turns], np.diff(np.append(turns, len(inside)))
+    h, text = mixed(windows[at], windows[at + n - 1]), text[at]
+    new = np.zeros(len(at), bool)
+    new[np.unique(mixed(h, text.astype(np.uint64)), return_index=True)[1]] = True
+    goes_on = ~new[1:] & ~new[:-1] & (text[1:] == text[:-1])
+    row = np.flatnonzero(np.concatenate(([True], ~goes_on))[: len(at)])
+    n = np.add.reduceat(n, row) if len(row) else n
+    at, text = at[row], text[row]
+    return text, least[at].view(np.int64), at - firsts[text], np.where(new[row], n, -n), h[row].view(np.int64)
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
@@ -26,149 +74,131 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text", *more)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, which is computed once however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch.text.tolist()
+            for first, upto in chunks(texts):
+                text, g, at, n, h = winnow(texts[first:upto], min_words)
+                yield batch[_ROW].take(first + text).assign(g=g, at=at, n=n, h=h)
 
+    return _keyed(docs).mapInPandas(run, f"{_KEY}, g long, at int, n int, h long")
 
-def _word_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda word: F.xxhash64(word))
 
+def _place(at: str | Column) -> Column:
+    return F.struct(*_ROW, (F.col(at) if isinstance(at, str) else at).alias("at"))
 
-def _rolled(values: Column, width: int, of: Callable[[Column, Column], Column]) -> Column:
-    """`of` over `width` neighbours, from each element on, by doubling; the last width - 1 elements are of fewer."""
 
-    def with_later(values: Column, step: int) -> Column:
-        return _let(values, lambda v: F.zip_with(v, F.slice(v, step + 1, F.greatest(F.size(v), F.lit(1))), of))
+def _met(docs: DataFrame, min_words: int) -> DataFrame:
+    """The fingerprints that stand at two places or more. Hashing texts twice is cheaper than keeping all fingerprints."""
+    found = _fingerprints(docs, min_words)
+    often = found.groupBy("g").agg(F.count("*").alias("k"), F.min("n").alias("n")).where("k > 1 or n < 0").select("g")
+    return found.join(splittable(often), "g", "left_semi")
 
-    done = 1
-    while done < width:
-        step = min(done, width - done)
-        values, done = with_later(values, step), done + step
-    return values
 
+def _windows(texts: DataFrame, min_words: int) -> DataFrame:
+    """A row (place, h) for each window of the fingerprints in `edges`; place is id * MOST_WORDS + first word."""
 
-def _winnowed(text: Column, min_words: int) -> Column:
-    """array<struct<g,at,n,h>>: the guaranteed fingerprints of a text.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, edges, ids = batch.text.tolist(), batch.edges.tolist(), batch.id.to_numpy()
+            for first, upto in chunks(texts):
+                _, windows, _, firsts = window_hashes(texts[first:upto], min_words)
+                at = [np.concatenate([np.arange(e["at"], e["at"] + e["n"]) for e in some]) for some in edges[first:upto]]
+                of = np.repeat(np.arange(len(at)), list(map(len, at)))
+                at = np.concatenate(at)
+                yield pd.DataFrame({"place": ids[first + of] * MOST_WORDS + at, "h": windows[firsts[of] + at].view(np.int64)})
 
-    A line is LINE words from a word whose hash is divisible by EVERY. g is the least line hash, the first of equals, in each of
-    the n windows of min_words words from word `at` on; a window without a line is its own fingerprint. So every window has
-    one, which depends on the window's words alone. h is a hash of all words of the n windows.
-    """
-    line = min(LINE, min_words)
-    reach = min_words - line  # from a window's start to the last line in it
-
-    def fingerprint(words: Column, at: Column, n: Column, g: Column | None = None) -> Column:
-        h = F.xxhash64(F.slice(words, at + 1, n + min_words - 1))
-        return F.struct((h if g is None else g).alias("g"), at.alias("at"), n.alias("n"), h.alias("h"))
-
-    def of_line(words: Column, lines: Column, x: Column, j: Column) -> Column:
-        """The windows that x takes: those that hold it and no lesser line, nor an equal one before it."""
-        upto = lambda k: F.slice(lines, F.greatest(j - k, F.lit(0)) + 1, F.least(j, F.lit(k)))
-        beyond = lambda k: F.slice(lines, j + 2, k)
-        places = lambda some, test: F.transform(F.filter(some, test), lambda y: y.at)
-        few = F.coalesce(F.get(lines, j - NEAR).at < x.at - reach, F.lit(True))
-        before = F.array_max(places(F.when(few, upto(NEAR)).otherwise(upto(reach)), lambda y: y.g <= x.g))
-        few = F.coalesce(F.get(lines, j + NEAR).at > x.at + reach, F.lit(True))
-        after = F.array_min(places(F.when(few, beyond(NEAR)).otherwise(beyond(reach)), lambda y: y.g < x.g))
-        first = F.greatest(x.at - reach, before + 1, F.lit(0))
-        last = F.least(x.at, after - reach - 1, F.size(words) - min_words)
-        return _let(F.struct(first.alias("at"), (last - first + 1).alias("n")), lambda own: F.when(own.n > 0, fingerprint(words, own.at, own.n, x.g)))
-
-    def of_lines(words: Column, lines: Column) -> Column:
-        bounds = F.concat(F.array(F.lit(-1)), F.transform(lines, lambda x: x.at))
-        ends = F.concat(F.slice(bounds, 2, F.size(bounds)), F.array(F.size(words) - line + 1))
-        gaps = F.filter(F.zip_with(bounds, ends, lambda a, b: F.when(b - a > reach + 1, F.sequence(a + 1, b - reach - 1))), lambda gap: gap.isNotNull())
-        bare = F.transform(F.flatten(gaps), lambda i: fingerprint(words, i, F.lit(1)))
-        return F.concat(F.filter(F.transform(lines, lambda x, j: of_line(words, lines, x, j)), lambda f: f.isNotNull()), bare)
-
-    def of_words(words: Column) -> Column:
-        starts = F.filter(F.transform(words, lambda h, i: F.when((h % EVERY == 0) & (i <= F.size(words) - line), i)), lambda i: i.isNotNull())
-        lines = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, line)).alias("g")))
-        return F.when(F.size(words) >= min_words, _let(lines, lambda x: of_lines(words, x)))
-
-    return _let(_word_hashes(text), of_words)
+    return texts.select("id", "text", "edges").mapInPandas(run, "place long, h long")
 
 
-def _place(at: str | Column) -> Column:
-    return F.struct(*_ROW, (F.col(at) if isinstance(at, str) else at).alias("at"))
+@pandas_udf(_RANGES)
+def _runs(starts: pd.Series) -> pd.Series:
+    """The runs of neighbours in each set of whole numbers, as ranges [at, to)."""
 
+    def of(some: np.ndarray) -> list[tuple[int, int]]:
+        s = np.sort(some)
+        ends = np.flatnonzero(np.append(np.diff(s) > 1, True))
+        return list(zip(s[np.append(0, ends[:-1] + 1)].tolist(), (s[ends] + 1).tolist(), strict=True))
 
-def _met(docs: DataFrame, min_words: int) -> DataFrame:
-    """The fingerprints that stand at two places or more."""
-    found = stored(_keyed(docs).select(*_ROW, F.inline(_winnowed(F.col("text"), min_words))))
-    often = found.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
-    return found.join(splittable(often), "g", "left_semi")
+    return pd.Series([of(some) for some in starts], dtype=object)
 
 
 def _later_windows(docs: DataFrame, met: DataFrame, min_words: int) -> DataFrame:
-    """(no_id, doc_id, text_hash, at, to): repeated windows at other places than their first, which start at words [at, to).
+    """(no_id, doc_id, text_hash, later): repeated windows at other places than their first; they start at words [at, to).
 
     Fingerprints whose windows all agree are one class, of which only the first place is spared. Where a fingerprint has other
     classes too, runs of words begin or end within its windows: the first of each class has its windows compared one by one.
+    Texts with such edges get numbers in order of place, so that a window is two numbers.
     """
+    local = met.where("n < 0").select(*_ROW, "at", (F.col("at") - F.col("n")).alias("to"))
+    met = met.where("n > 0")
     classes = met.groupBy("g", "h", "n").agg(F.min(_place("at")).alias("first"), F.count("*").alias("k"))
     again = classes.where("k > 1").select("g", "h", "n", "first")
     whole = met.join(splittable(again), ["g", "h", "n"]).where(_place("at") > F.col("first")).select(*_ROW, "at", (F.col("at") + F.col("n")).alias("to"))
     mixed = classes.groupBy("g").agg(F.count("*").alias("classes")).where("classes > 1").select("g")
     edges = classes.join(splittable(mixed), "g", "left_semi").select("first.*", "n")
-    edges = edges.groupBy(*_ROW).agg(F.collect_list(F.struct("at", "n")).alias("edges"))  # of one text, so bounded by it
-    texts = _keyed(docs).join(splittable(edges), _ROW)
-    of_hashes = lambda hashes: F.flatten(F.transform("edges", lambda e: F.transform(F.sequence(e.at, e.at + e.n - 1), lambda i: F.struct(i.alias("at"), F.get(hashes, i).alias("h")))))
-    windows = texts.select(*_ROW, F.inline(_let(_rolled(_word_hashes(F.col("text")), min_words, lambda x, y: F.xxhash64(x, y)), of_hashes)))
-    firsts = windows.groupBy("h").agg(F.min(_place("at")).alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "first")
-    parts = windows.join(splittable(firsts), "h").where(_place("at") > F.col("first")).select(*_ROW, "at", (F.col("at") + 1).alias("to"))
-    return whole.unionByName(parts)
+    edges = numbered(edges.groupBy(*_ROW).agg(F.collect_list(F.struct("at", "n")).alias("edges")), _ROW, "id")
+    windows = _windows(_keyed(docs).join(splittable(edges), _ROW), min_words)
+    firsts = windows.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("k")).where("k > 1").select("h", "first")
+    parts = windows.join(splittable(firsts), "h").where("place > first").select(F.expr(f"place div {MOST_WORDS}").alias("id"), (F.col("place") % MOST_WORDS).cast("int").alias("at"))
+    parts = parts.groupBy("id").agg(F.collect_set("at").alias("at")).select("id", _runs("at").alias("later")).join(splittable(edges.select("id", *_ROW)), "id")  # of one text, so bounded by it
+    ranges = whole.unionByName(local).groupBy(*_ROW).agg(F.collect_set(F.struct("at", "to")).alias("later"))
+    return ranges.unionByName(parts.select(*_ROW, "later")).groupBy(*_ROW).agg(F.flatten(F.collect_list("later")).alias("later"))
 
 
-def repeated_spans(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(no_id, doc_id, text_hash, spans): the words [at, end) of each text that later repeated runs cover, merged, in order.
+def repeated_windows(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """(no_id, doc_id, text_hash, later): the ranges [at, to) of words at which later repeated windows of each text start.
 
-    A run is min_words words or more in a row, whatever white space is between them. A window of as many words that also stands
-    at an earlier place (by doc_id, text hash and word) is repeated, and all of its words are listed; a passage that repeats
-    within a text loses all but its first period likewise. Equal windows have equal winnowed fingerprints: so those that stand
+    A window is min_words words in a row, whatever white space is between them; it is repeated if it also stands at an
+    earlier place (by doc_id, text hash and word). Equal windows have equal winnowed fingerprints: so those that stand
     at two places or more are joined with their places, and matches are extended both ways, over windows that agree as
     a whole first and then word by word. Equal 64-bit hashes count as equal words.
     """
-    later = _later_windows(docs, cut(_met(docs, min_words)), min_words)
-    later = later.groupBy(*_ROW).agg(F.collect_set(F.struct("at", "to")).alias("later"))  # of one text, so bounded by it
-    starts = F.array_sort(F.array_distinct(F.flatten(F.transform("later", lambda x: F.sequence(x.at, x.to - 1)))))
+    return _later_windows(docs, cut(_met(docs, min_words)), min_words)
 
-    def spans(s: Column) -> Column:
-        begins = F.transform(s, lambda x, i: F.when(F.coalesce(x - F.get(s, i - 1) > min_words, F.lit(True)), x))
-        ends = F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i + 1) - x > min_words, F.lit(True)), x + min_words))
-        kept = (F.filter(a, lambda x: x.isNotNull()) for a in (begins, ends))
-        return F.zip_with(*kept, lambda a, b: F.struct(a.alias("at"), b.alias("end")))
 
-    return later.select(*_ROW, _let(starts, spans).alias("spans"))
+def _without(text: str, later: list, min_words: int) -> tuple[str, int]:
+    """text without the words of the windows in `later` and the white space before each, and how many words went.
 
-
-def _cut(text: Column, spans: Column) -> Column:
-    """text without the words in spans and the white space before each; what stays first keeps the text's own beginning."""
-    tail = F.substring(text, F.length(F.rtrim(text, F.lit(" \t\n\x0b\f\r"))) + 1, F.length(text))
-
-    def kept(words: Column) -> Column:
-        starts = F.concat(F.transform(spans, lambda s: s.at), F.array(F.size(words)))
-        ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s.end))
-        return F.flatten(F.zip_with(ends, starts, lambda a, b: F.slice(words, a + 1, b - a)))
-
-    def joined(words: Column, left: Column) -> Column:
-        space = F.regexp_extract(F.get(words, F.lit(0)), r"^[\x20\x09-\x0D]*", 0)
-        return F.when(F.size(left) > 0, F.concat(space, F.regexp_replace(F.array_join(left, ""), r"^[\x20\x09-\x0D]+", ""), tail)).otherwise(F.lit(""))
-
-    return _let(F.regexp_extract_all(text, F.lit(_SPACED), F.lit(0)), lambda words: _let(kept(words), lambda left: joined(words, left)))
+    What stays first keeps the text's own beginning. If no word stays: the empty text.
+    """
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    starts, ends = word_places(data)
+    change = np.zeros(len(starts) + 1, np.int64)
+    for x in later:
+        change[x["at"]] += 1
+        change[x["to"] + min_words - 1] -= 1
+    gone = change.cumsum()[:-1] > 0
+    if gone.all():
+        return "", len(gone)
+    keep = np.ones(len(data), bool)
+    spaced = np.diff(np.concatenate(([0], ends)))  # bytes of each word and of the white space before it
+    keep[: ends[-1]] = np.repeat(~gone, spaced)
+    if gone[0]:
+        first = int(np.argmin(gone))
+        keep[ends[first - 1] : starts[first]] = False
+        keep[: starts[0]] = True
+    return data[keep].tobytes().decode("utf-8", "surrogatepass"), int(gone.sum())
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs with later repeated runs of words taken out of `text`, and a column n_removed (words; long).
 
-    All rows and columns stay (a column of docs named n_removed is replaced). Null text stays null; a text that
-    loses every word becomes empty. Rows without a doc_id come after all others. Rows that
-    repeat both doc_id and text are one place, so they lose the same words. An empty table stays empty.
+    A run is min_words words or more that also stand in a row at an earlier place; a passage that repeats within a text loses
+    all but its first period likewise. All rows and columns stay (a column of docs named n_removed is replaced). Null text stays
+    null; a text that loses every word becomes empty. Rows without a doc_id come after all others. Rows that repeat both
+    doc_id and text are one place, so they lose the same words. An empty table stays empty.
     """
+
+    @pandas_udf("text string, n_removed long")
+    def left(text: pd.Series, later: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, 0) if t is None else _without(t, x, min_words) for t, x in zip(text, later, strict=True)], columns=["text", "n_removed"])
+
     names = [c for c in docs.columns if c != "n_removed"]
     rest = [c for c in names if c not in ("doc_id", "text")]
-    found = _keyed(docs, *[F.struct(*rest).alias("rest")] * bool(rest)).join(splittable(repeated_spans(docs, min_words)), _ROW, "left")
-    n_removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s.end - s.at), F.lit(0)).cast("long")
-    of = {"doc_id": F.when(~F.col("no_id"), F.col("doc_id")).cast(docs.schema["doc_id"].dataType), "text": F.when(F.col("spans").isNull(), F.col("text")).otherwise(_cut(F.col("text"), F.col("spans")))}
-    return found.select(*((of[c] if c in of else F.col("rest").getField(c)).alias(c) for c in names), n_removed.alias("n_removed"))
+    found = _keyed(docs, *[F.struct(*rest).alias("rest")] * bool(rest)).join(splittable(repeated_windows(docs, min_words)), _ROW, "left")
+    touched = F.col("later").isNotNull()
+    found = found.withColumn("left", left(F.when(touched, F.col("text")), "later"))  # other texts aren't sent to Python
+    of = {"doc_id": F.when(~F.col("no_id"), F.col("doc_id")).cast(docs.schema["doc_id"].dataType), "text": F.when(touched, F.col("left.text")).otherwise(F.col("text"))}
+    return found.select(*((of[c] if c in of else F.col("rest").getField(c)).alias(c) for c in names), F.coalesce("left.n_removed", F.lit(0)).cast("long").alias("n_removed"))
