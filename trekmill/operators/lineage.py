@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir (a new folder where that is unset), to survive lost executors."""
+    """df, computed once and kept in spark.checkpoint.dir, to survive lost executors.
+
+    Under a local master that setting may be missing, and a new folder is taken; on a cluster its lack is an error.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="trekmill-")).as_uri())
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(at or Path(tempfile.mkdtemp(prefix="trekmill-")).as_uri())
     return df.checkpoint(eager=True)

@@ -12,22 +12,43 @@ def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size)
 
 
-def _around(df: DataFrame, lat: str, lon: str, size_lat: float, size_lon: float) -> DataFrame:
-    near = lambda v, s: F.sequence(_cell(F.col(v), s) - 1, _cell(F.col(v), s) + 1)
-    return df.withColumn("_cy", F.explode(near(lat, size_lat))).withColumn("_cx", F.explode(near(lon, size_lon)))
+def _around(df: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
+    near = lambda v: F.sequence(_cell(F.col(v), size) - 1, _cell(F.col(v), size) + 1)
+    return df.withColumn("_cy", F.explode(near(lat))).withColumn("_cx", F.explode(near(lon)))
 
 
-def within_distance(a: DataFrame, b: DataFrame, meters: float, max_lat: float = 75.0) -> DataFrame:
-    """Pairs of rows of a (lat, lon, ...) and b (b_lat, b_lon, ...) at most so many meters apart, with `meters`.
+def _globe_cell(row: Column, lon: Column, step: float) -> tuple[Column, Column]:
+    """(number of cells around the globe in a row of latitude, cell of lon in it).
 
-    Cells are as wide as the radius at max_lat. b is dealt to the nine cells around its own, a to its own.
+    Rows are `step` degrees high; cells are at least as wide as a distance of one step is in the row and in those beside it. Around a
+    pole there is one cell.
     """
-    import math
+    steepest = F.least(F.greatest(F.abs(row), F.abs(row + 1)) * step + step, F.lit(90.0))
+    cells = F.greatest(F.floor(F.cos(F.radians(steepest)) * (360 / step) - 1e-6), F.lit(1)).cast("long")
+    return cells, F.floor(F.pmod((lon + 180) / 360, F.lit(1.0)) * cells).cast("long")
+
+
+def _on_globe(df: DataFrame, lat: str, lon: str, step: float) -> DataFrame:
+    row = F.floor(F.col(lat) / step)
+    return df.withColumns({"_cy": row, "_cx": _globe_cell(row, F.col(lon), step)[1]})
+
+
+def _around_on_globe(df: DataFrame, lat: str, lon: str, step: float) -> DataFrame:
+    """df in its own cell and the eight around it, past 180 degrees too."""
+    row = F.floor(F.col(lat) / step)
+    rows = df.withColumn("_cy", F.explode(F.sequence(row - 1, row + 1)))
+    cells, own = _globe_cell(F.col("_cy"), F.col(lon), step)
+    return rows.withColumn("_cx", F.explode(F.array_distinct(F.array(*(F.pmod(own + k, cells) for k in (-1, 0, 1))))))
 
+
+def within_distance(a: DataFrame, b: DataFrame, meters: float) -> DataFrame:
+    """Pairs of rows of a (lat, lon, ...) and b (b_lat, b_lon, ...) at most so many meters apart, with `meters`.
+
+    An equi-join on cells of the globe; b is dealt to the nine cells around its own, a to its own. Pairs on both sides of
+    180 degrees and near the poles meet like others. Rows without a place pair with none.
+    """
     step = meters / METERS_A_DEGREE * 1.01
-    step_lon = step / max(math.cos(math.radians(max_lat)), 0.01)
-    left = a.withColumns({"_cy": _cell(F.col("lat"), step), "_cx": _cell(F.col("lon"), step_lon)})
-    pairs = left.join(_around(b, "b_lat", "b_lon", step, step_lon), ["_cy", "_cx"])
+    pairs = _on_globe(a, "lat", "lon", step).join(_around_on_globe(b, "b_lat", "b_lon", step), ["_cy", "_cx"])
     far = haversine_m(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))
     return pairs.withColumn("meters", far).where(F.col("meters") <= meters).drop("_cy", "_cx")
 
@@ -36,9 +57,10 @@ def drop_near(a: DataFrame, b: DataFrame, meters: float, same: list[str]) -> Dat
     """Rows of a without a row of b (b_lat, b_lon) in reach that has equal `same` columns."""
     keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in same]
     step = meters / METERS_A_DEGREE * 1.01
-    left = a.withColumns({"_cy": _cell(F.col("lat"), step), "_cx": _cell(F.col("lon"), step * 4)})
-    right = _around(b.select("b_lat", "b_lon", *same), "b_lat", "b_lon", step, step * 4)
-    near = planar_m(F.col("a.lat"), F.col("a.lon"), F.col("b.b_lat"), F.col("b.b_lon")) <= meters
+    left = _on_globe(a, "lat", "lon", step)
+    right = _around_on_globe(b.select("b_lat", "b_lon", *same), "b_lat", "b_lon", step)
+    turn = F.round((F.col("a.lon") - F.col("b.b_lon")) / 360) * 360  # past 180 degrees
+    near = planar_m(F.col("a.lat"), F.col("a.lon"), F.col("b.b_lat"), F.col("b.b_lon") + turn) <= meters
     on = (F.col("a._cy") == F.col("b._cy")) & (F.col("a._cx") == F.col("b._cx")) & near
     for k in keys:
         on &= k
@@ -58,7 +80,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, key: s
     """
     cells = lambda lo, hi: F.sequence(_cell(F.least(lo, hi), reach), _cell(F.greatest(lo, hi), reach))
     parts = segments.withColumn("_cx", F.explode(cells(F.col("ax"), F.col("bx")))).withColumn("_cy", F.explode(cells(F.col("ay"), F.col("by"))))
-    pairs = _around(points, "y", "x", reach, reach).join(parts, ["_cy", "_cx"])
+    pairs = _around(points, "y", "x", reach).join(parts, ["_cy", "_cx"])
     far = segment_m(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
     pairs = pairs.withColumn("distance", F.round(far, 6)).where(F.col("distance") <= reach)
     return pairs.groupBy(key).agg(F.min(F.struct("distance", name)).alias("m")).select(key, f"m.{name}", "m.distance")
@@ -67,15 +89,18 @@ def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, key: s
 def inside(points: DataFrame, polygons: DataFrame, key: str, polygon: str, cell: float = 0.25) -> DataFrame:
     """(key, polygon) of points (lat, lon) in polygons (one row for each, `ring`: array of struct<lat,lon>, holes by even-odd).
 
-    Each edge is dealt to the bands of latitude that it crosses; a point meets the edges of its band, and is inside
-    if a ray to the east crosses an odd number.
+    A polygon is dealt to the cells of its box, so a point meets only polygons whose box reaches its cell. Of those it meets the
+    edges that cross its band of latitude, and is inside if a ray to the east crosses an odd number.
     """
     ring = F.col("ring")
+    side = lambda of, axis: of(F.transform(ring, lambda p: p[axis]))
+    cells = lambda axis: F.sequence(_cell(side(F.array_min, axis), cell), _cell(side(F.array_max, axis), cell))
+    boxes = polygons.select(polygon, F.explode(cells("lat")).alias("_band"), cells("lon").alias("_lons")).select(polygon, "_band", F.explode("_lons").alias("_cx"))
+    met = points.withColumns({"_band": _cell(F.col("lat"), cell), "_cx": _cell(F.col("lon"), cell)}).join(boxes, ["_band", "_cx"])
     edges = polygons.select(polygon, F.explode(F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda p, q: F.struct(p.lat.alias("y1"), p.lon.alias("x1"), q.lat.alias("y2"), q.lon.alias("x2")))).alias("e")).select(polygon, "e.*")
-    edges = edges.withColumn("_band", F.explode(F.sequence(_cell(F.least("y1", "y2"), cell), _cell(F.greatest("y1", "y2"), cell))))
-    met = points.withColumn("_band", _cell(F.col("lat"), cell)).join(edges, "_band")
+    edges = edges.where("y1 <> y2").withColumn("_band", F.explode(F.sequence(_cell(F.least("y1", "y2"), cell), _cell(F.greatest("y1", "y2"), cell))))
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    return met.where("y1 <> y2").where(crosses).groupBy(key, polygon).count().where("count % 2 = 1").select(key, polygon)
+    return met.join(edges, [polygon, "_band"]).where(crosses).groupBy(key, polygon).count().where("count % 2 = 1").select(key, polygon)
 
 
 def grid_representatives(points: DataFrame, key: str, cell: Column, by: list[str] | None = None) -> DataFrame:

@@ -73,11 +73,11 @@ def selected_alerts(spark, d):
     return alerts.merge_zones(alerts.drop_doubles(strong, "b", "a", "quake", 60), ["source", "kind", "level"], "zone")
 
 
-@plan("u5_cell_merge", """WITH o AS (SELECT DISTINCT 6 AS z, (p_partkey * 37) % 64 AS x, (p_partkey * 91) % 64 AS y FROM part WHERE p_partkey % 3 = 0), n AS (SELECT DISTINCT 8 AS z, (s_suppkey * 11) % 256 AS x, (s_suppkey * 29) % 256 AS y FROM supplier UNION SELECT DISTINCT 4, (s_suppkey * 5) % 16, (s_suppkey * 7) % 16 FROM supplier WHERE s_suppkey % 9 = 0),
+@plan("u5_cell_merge", """WITH o AS (SELECT DISTINCT 6 AS z, (p_partkey * 37) % 64 AS x, (p_partkey * 91) % 64 AS y FROM part), n AS (SELECT DISTINCT 8 AS z, (s_suppkey * 11) % 256 AS x, (s_suppkey * 29) % 256 AS y FROM supplier UNION SELECT DISTINCT 4, (s_suppkey * 5) % 16, (s_suppkey * 7) % 16 FROM supplier WHERE s_suppkey % 9 = 0),
 u AS (SELECT z, x, y, 'old' AS version FROM o WHERE (z, x, y) NOT IN (SELECT (z, x, y) FROM n) UNION ALL SELECT z, x, y, 'new' FROM n) SELECT * FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.z > a.z AND b.x >> (b.z - a.z) = a.x AND b.y >> (b.z - a.z) = a.y)""")
 def cell_merge(spark, d):
     """New cells in place of old, and none that holds another."""
-    p, s = table(spark, d, "part").where("p_partkey % 3 = 0"), table(spark, d, "supplier")
+    p, s = table(spark, d, "part"), table(spark, d, "supplier")
     k, m = F.col("p_partkey"), F.col("s_suppkey")
     old = p.select(F.lit(6).alias("z"), (k * 37 % 64).alias("x"), (k * 91 % 64).alias("y")).distinct().withColumn("version", F.lit("old"))
     new = s.select(F.lit(8).alias("z"), (m * 11 % 256).alias("x"), (m * 29 % 256).alias("y")).union(s.where("s_suppkey % 9 = 0").select(F.lit(4), m * 5 % 16, m * 7 % 16)).distinct().withColumn("version", F.lit("new"))
@@ -104,13 +104,13 @@ def spread_over_cells(spark, d):
     return spatial.spread(b, "n").groupBy("x", "y").agg(F.round(F.sum("share") * 1000).cast("long").alias("share"))
 
 
-@plan("q24_carry_over", """WITH o AS (SELECT o_custkey AS page, max(CAST(o_orderdate AS DATE)) AS fetched FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), n AS (SELECT o_custkey AS page, max(CAST(o_orderdate AS DATE)) AS fetched FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey % 3 > 0 GROUP BY 1)
+@plan("q24_carry_over", """WITH o AS (SELECT o_custkey AS page, max(CAST(o_orderdate AS DATE)) AS fetched FROM orders WHERE o_orderkey % 8 <> 1 GROUP BY 1), n AS (SELECT o_custkey AS page, max(CAST(o_orderdate AS DATE)) AS fetched FROM orders WHERE o_orderkey % 8 = 1 GROUP BY 1)
 SELECT * FROM n UNION ALL SELECT * FROM o WHERE page NOT IN (SELECT page FROM n) AND date_diff('day', fetched, DATE '1998-08-02') <= 300""")
 def carry_over(spark, d):
     """New pages, and old ones that are missing if they are fresh enough."""
     o = table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate"))
     last = lambda rows: rows.groupBy(F.col("o_custkey").alias("page")).agg(F.max("day").alias("fetched"))
-    return catalog.carry_over(last(o.where("o_orderkey % 2 = 0")), last(o.where("o_orderkey % 2 = 1 and o_custkey % 3 > 0")), "page", "1998-08-02", 300)
+    return catalog.carry_over(last(o.where("o_orderkey % 8 <> 1")), last(o.where("o_orderkey % 8 = 1")), "page", "1998-08-02", 300)
 
 
 @plan("x33_level_changes", """WITH a AS (SELECT o_custkey AS c, max(o_orderkey % 4) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS c, max(o_orderkey % 4) AS v FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1) SELECT c, a.v AS before, b.v AS after, CASE WHEN b.v > a.v THEN 'raised' ELSE 'lowered' END AS change FROM a JOIN b USING (c) WHERE a.v <> b.v""")
@@ -182,12 +182,12 @@ def rates(spark, d):
     return r.withColumn("value", value).where(F.col("code").rlike("^[A-Z]{3}$") & (F.col("code") != "EUR") & ~F.isnan("value") & (F.col("value") > 0)).select("k", "code", F.round(F.col("value") * 100).cast("long").alias("cents"))
 
 
-@plan("x29_reference_merge", """WITH v AS (SELECT o_custkey AS code, o_orderkey AS id, 0 AS prio FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderkey % 3 = 0 UNION ALL SELECT o_custkey, o_orderkey, 1 FROM orders WHERE o_orderkey % 3 = 1) SELECT code, arg_min(id, (prio, id)) AS id FROM v GROUP BY code""")
+@plan("x29_reference_merge", """WITH v AS (SELECT o_custkey AS code, o_orderkey AS id, 0 AS prio FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderkey, 1 FROM orders WHERE o_orderkey % 2 = 1) SELECT code, arg_min(id, (prio, id)) AS id FROM v GROUP BY code""")
 def reference_merge(spark, d):
     """Valid rows of the first source, and of the second those whose code it lacks."""
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("code"), F.col("o_orderkey").alias("id"), "o_orderdate")
-    first = relational.first_wins(o.where("o_orderdate >= timestamp '1996-01-01' and id % 3 = 0").drop("o_orderdate"), ["code"], ["id"])
-    second = relational.first_wins(o.where("id % 3 = 1").drop("o_orderdate"), ["code"], ["id"])
+    first = relational.first_wins(o.where("o_orderdate >= timestamp '1996-01-01' and id % 2 = 0").drop("o_orderdate"), ["code"], ["id"])
+    second = relational.first_wins(o.where("id % 2 = 1").drop("o_orderdate"), ["code"], ["id"])
     return relational.insert_absent(first, second, ["code"])
 
 
@@ -245,24 +245,24 @@ def translations(spark, d):
     return n.select("n_nationkey", text.in_language(names, "it").alias("name"))
 
 
-@plan("q26_climate_fallback", f"WITH {EVENT}, c AS (SELECT user_id, CAST(month(day) AS INTEGER) AS month, avg(value) AS v FROM event WHERE user_id % 3 > 0 GROUP BY ALL), a AS (SELECT CAST(month(day) AS INTEGER) AS month, avg(value) AS v FROM event GROUP BY ALL), u AS (SELECT DISTINCT user_id FROM event) SELECT u.user_id, a.month, CAST(round(coalesce(c.v, a.v) * 100) AS BIGINT) AS value, c.v IS NULL AS fallback FROM u CROSS JOIN a LEFT JOIN c ON c.user_id = u.user_id AND c.month = a.month")
+@plan("q26_climate_fallback", f"WITH {EVENT}, c AS (SELECT user_id, CAST(month(day) AS INTEGER) AS month, avg(value) AS v FROM event WHERE event_type = 'purchase' GROUP BY ALL), a AS (SELECT CAST(month(day) AS INTEGER) AS month, avg(value) AS v FROM event GROUP BY ALL), u AS (SELECT DISTINCT user_id FROM event) SELECT u.user_id, a.month, CAST(round(coalesce(c.v, a.v) * 100) AS BIGINT) AS value, c.v IS NULL AS fallback FROM u CROSS JOIN a LEFT JOIN c ON c.user_id = u.user_id AND c.month = a.month")
 def climate_fallback(spark, d):
     """A city's monthly mean, else the mean of all; months are twelve at most, so they are dealt to each city as an array."""
-    e = events(spark, d).select("user_id", F.month("day").alias("month"), "value")
+    e = events(spark, d).select("user_id", F.month("day").alias("month"), "value", "event_type")
     every = e.groupBy("month").agg(F.avg("value").alias("all"))
     months = [r.month for r in every.select("month").collect()]  # twelve at most
     asked = e.select("user_id").distinct().withColumn("month", F.explode(F.array(*(F.lit(m) for m in months))))
-    own = e.where("user_id % 3 > 0").groupBy("user_id", "month").agg(F.avg("value").alias("own"))
+    own = e.where("event_type = 'purchase'").groupBy("user_id", "month").agg(F.avg("value").alias("own"))
     found = asked.join(own, ["user_id", "month"], "left").join(every, "month")
     return found.select("user_id", "month", F.round(F.coalesce("own", "all") * 100).cast("long").alias("value"), F.col("own").isNull().alias("fallback"))
 
 
-@plan("x15_zone_scopes", "WITH m AS (SELECT n_nationkey AS region, left(n_name, 2) AS prefix FROM nation) SELECT DISTINCT c_custkey, region FROM customer JOIN m ON left(c_mktsegment, 2) = prefix OR (c_nationkey = region AND c_custkey % 3 = 0)")
+@plan("x15_zone_scopes", "WITH m AS (SELECT n_nationkey AS region, left(n_name, 2) AS prefix FROM nation) SELECT DISTINCT c_custkey, region FROM customer JOIN m ON left(c_mktsegment, 2) = prefix OR c_nationkey = region")
 def zone_scopes(spark, d):
     """Zones to regions by prefix or by listed code: two equi-joins in place of one on either."""
     c, m = table(spark, d, "customer"), table(spark, d, "nation").select(F.col("n_nationkey").alias("region"), F.left("n_name", F.lit(2)).alias("prefix"))
     by_prefix = c.withColumn("prefix", F.left("c_mktsegment", F.lit(2))).join(m, "prefix").select("c_custkey", "region")
-    by_code = c.where("c_custkey % 3 = 0").join(m, F.col("c_nationkey") == F.col("region")).select("c_custkey", "region")
+    by_code = c.join(m, F.col("c_nationkey") == F.col("region")).select("c_custkey", "region")
     return by_prefix.union(by_code).distinct()
 
 
@@ -287,14 +287,14 @@ def summary(spark, d):
     return said(table(spark, d, "customer").select(k.alias("id"), F.explode(items).alias("i")).select("id", "i.*"), ["id"])
 
 
-@plan("q19_promotion", f"""WITH {PLACE}, {STOP}, e AS (SELECT stop_id, lon_e6 / 1e6 AS x, lat_e6 / 1e6 AS y FROM stop WHERE stop_id % 4 = 0), edge AS (
+@plan("q19_promotion", f"""WITH {PLACE}, {STOP}, e AS (SELECT stop_id, lon_e6 / 1e6 AS x, lat_e6 / 1e6 AS y FROM stop), edge AS (
 SELECT stop_id, x - 0.4 AS x1, y - 0.3 AS y1, x + 0.5 AS x2, y - 0.1 AS y2 FROM e UNION ALL SELECT stop_id, x + 0.5, y - 0.1, x, y + 0.35 FROM e UNION ALL SELECT stop_id, x, y + 0.35, x - 0.4, y - 0.3 FROM e),
 hit AS (SELECT DISTINCT id FROM (SELECT id, stop_id FROM (SELECT id, lat_e6 / 1e6 AS lat, lon_e6 / 1e6 AS lon FROM place) p JOIN edge ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY id, stop_id HAVING count(*) % 2 = 1))
 SELECT id, id % 3 + CASE WHEN id IN (SELECT id FROM hit) THEN 2 ELSE 0 END AS fame FROM place""")
 def promotion(spark, d):
     """Places inside a protected perimeter rise in rank; the others keep theirs."""
     corner = lambda dx, dy: F.struct((F.col("lat") + dy).alias("lat"), (F.col("lon") + dx).alias("lon"))
-    rings = degrees(stops(spark, d)).where("stop_id % 4 = 0").select("stop_id", F.array(corner(-0.4, -0.3), corner(0.5, -0.1), corner(0, 0.35)).alias("ring"))
+    rings = degrees(stops(spark, d)).select("stop_id", F.array(corner(-0.4, -0.3), corner(0.5, -0.1), corner(0, 0.35)).alias("ring"))
     p = degrees(places(spark, d))
     hit = spatial.inside(p, rings, "id", "stop_id").select("id").distinct().withColumn("hit", F.lit(2))
     return p.join(hit, "id", "left").select("id", (F.col("id") % 3 + F.coalesce("hit", F.lit(0))).alias("fame"))

@@ -77,10 +77,10 @@ def address_rows(spark, d):
     return coded.dropDuplicates(["street_id", "num", "dx"]).select(F.col("street_id").cast("long"), "num", "dx")
 
 
-@plan("snk10_insert_absent", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 = 0 UNION SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 1")
+@plan("snk10_insert_absent", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 2 = 0 UNION SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1")
 def insert_absent(spark, d):
     o = table(spark, d, "orders")
-    keys = lambda r: o.where(f"o_orderkey % 3 = {r}").select("o_custkey").distinct()
+    keys = lambda r: o.where(f"o_orderkey % 2 = {r}").select("o_custkey").distinct()
     return relational.insert_absent(keys(0), keys(1), ["o_custkey"])
 
 

@@ -290,9 +290,9 @@ def title_lookup(spark, d):
     return s.join(s.where("id % 7 = 0").select("title"), "title", "left_semi").select("id")
 
 
-@plan("x36_sentences", "SELECT n_nationkey, CASE WHEN count(s_suppkey) = 0 THEN 'No central number.' ELSE 'Numbers: ' || string_agg(CAST(s_suppkey AS VARCHAR), ', ' ORDER BY s_suppkey) || '.' END AS sentence FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 3 = 0 GROUP BY n_nationkey")
+@plan("x36_sentences", "SELECT n_nationkey, CASE WHEN count(s_suppkey) = 0 THEN 'No central number.' ELSE 'Numbers: ' || string_agg(CAST(s_suppkey AS VARCHAR), ', ' ORDER BY s_suppkey) || '.' END AS sentence FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey")
 def sentences(spark, d):
-    n, s = table(spark, d, "nation"), table(spark, d, "supplier").where("s_suppkey % 3 = 0")
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
     grouped = n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_nationkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("k"))
     said = F.concat(F.lit("Numbers: "), F.array_join(F.transform("k", lambda x: x.cast("string")), ", "), F.lit("."))
     return grouped.select("n_nationkey", F.when(F.size("k") == 0, "No central number.").otherwise(said).alias("sentence"))
