@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,10 +20,11 @@ _BLOCKS = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "br", "m
 class _Text(HTMLParser):
     """Blocks of text: headings marked, list items with a bullet; what is skipped leaves nothing."""
 
-    def __init__(self) -> None:
+    def __init__(self, closings: Counter[str]) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[str] = []
-        self.now, self.mark, self.skip = "", "", 0
+        self.now, self.mark = "", ""
+        self.closings, self.skipped = closings, Counter()  # end tags to come, and open tags that one of them will close
 
     def close_line(self, mark: str = "") -> None:
         if text := " ".join(self.now.split()):
@@ -31,7 +33,8 @@ class _Text(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in _SKIPPED:
-            self.skip += 1
+            if self.skipped[tag] < self.closings[tag]:  # one that nothing closes must not swallow the page
+                self.skipped[tag] += 1
         elif re.fullmatch("h[1-6]", tag):
             self.close_line("▸ ")
         elif tag == "li":
@@ -41,18 +44,19 @@ class _Text(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in _SKIPPED:
-            self.skip = max(0, self.skip - 1)
+            self.closings[tag] -= 1
+            self.skipped[tag] = max(0, self.skipped[tag] - 1)
         elif tag in _BLOCKS or tag == "li" or re.fullmatch("h[1-6]", tag):
             self.close_line()
 
     def handle_data(self, data):
-        if not self.skip:
+        if not any(self.skipped.values()):
             self.now += data
 
 
 def html_text(source: str | None) -> str:
     """Text of a page. A heading without anything before the next heading goes."""
-    parser = _Text()
+    parser = _Text(Counter(t.lower() for t in re.findall("</(" + "|".join(sorted(_SKIPPED)) + r")\b", source or "", re.I)))
     parser.feed(source or "")
     parser.close()
     parser.close_line()

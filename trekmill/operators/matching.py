@@ -18,9 +18,15 @@ def embassy_candidates(pois: DataFrame, missions: DataFrame, by: list[str]) -> D
 
     Names fit if their word sets are equal, or one holds the other with two words or more or the same kind.
     """
+    longest = lambda w: F.array_max(F.transform(w, lambda x: F.struct(F.length(x), x.alias("x")))).x
     ready = lambda df, key: df.select(*by, F.col(key), "kind", phone_suffix(F.col("phone")).alias("tel"), F.array_distinct(terms(F.col("name"))).alias("w"))
     p, m = ready(pois, "poi_id"), ready(missions, "mission_id").withColumnsRenamed({"kind": "kind_m", "tel": "tel_m", "w": "w_m"})
-    both = p.join(m, by)  # a key is a pair of countries
+    # Pairs meet by phone, or by the longest word of the one name among the words of the other.
+    by_tel = p.join(m.withColumn("tel", F.col("tel_m")), [*by, "tel"]).drop("tel").withColumn("tel", F.col("tel_m"))
+    p_key, p_all = p.withColumn("word", longest("w")), p.withColumn("word", F.explode("w"))
+    m_key, m_all = m.withColumn("word", longest("w_m")), m.withColumn("word", F.explode("w_m"))
+    by_word = p_key.join(m_all, [*by, "word"]).unionByName(p_all.join(m_key, [*by, "word"])).drop("word")
+    both = by_tel.unionByName(by_word).dropDuplicates([*by, "poi_id", "mission_id"])
     shared, least = F.size(F.array_intersect("w", "w_m")), F.least(F.size("w"), F.size("w_m"))
     same_kind = F.col("kind").eqNullSafe(F.col("kind_m"))
     compatible = same_kind | F.col("kind").isNull() | F.col("kind_m").isNull()
@@ -45,10 +51,11 @@ def greedy_pairs(candidates: DataFrame, by: list[str]) -> DataFrame:
     return candidates.groupBy(*by).applyInPandas(run, schema)
 
 
-def name_clusters(stops: DataFrame, meters: float = 100.0, rounds: int = 30) -> DataFrame:
+def name_clusters(stops: DataFrame, meters: float = 100.0, rounds: int = 60) -> DataFrame:
     """(stop_id, cluster): stops of one folded name, linked at up to so many meters across networks; cluster is the least id.
 
-    stops: stop_id, network, name, lat, lon. Labels go along links until none changes.
+    stops: stop_id, network, name, lat, lon. Labels go along links, and from each stop's label to that one's own, until none
+    changes; so a long chain takes few rounds.
     """
     named = stops.withColumn("key", fold(F.col("name"))).withColumns({"cy": F.floor(F.col("lat") * 500), "cx": F.floor(F.col("lon") * 250)})
     near = named.select("key", F.col("stop_id").alias("other"), F.col("network").alias("network_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy"), "cx").withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)))
@@ -57,7 +64,9 @@ def name_clusters(stops: DataFrame, meters: float = 100.0, rounds: int = 30) ->
     labels = cut(stops.select("stop_id", F.col("stop_id").alias("cluster")))
     for _ in range(rounds):
         offered = links.join(labels.withColumnsRenamed({"stop_id": "other", "cluster": "c"}), "other").groupBy("stop_id").agg(F.min("c").alias("c"))
-        new = cut(labels.join(offered, "stop_id", "left").select("stop_id", F.least("cluster", "c").alias("cluster"), (F.col("c") < F.col("cluster")).alias("changed")))
+        new = cut(labels.join(offered, "stop_id", "left").select("stop_id", F.least("cluster", "c").alias("cluster"), F.col("cluster").alias("was")))
+        above = new.select(F.col("stop_id").alias("cluster"), F.col("cluster").alias("top"))
+        new = cut(new.join(above, "cluster").select("stop_id", F.col("top").alias("cluster"), (F.col("top") < F.col("was")).alias("changed")))
         labels = new.drop("changed")
         if new.where("changed").isEmpty():
             return labels
@@ -72,7 +81,7 @@ def term_links(sections: DataFrame, vocabulary: list[str]) -> DataFrame:
         for batch in batches:
             out = []
             for section, body in zip(batch.section_id, batch.body, strict=True):
-                low, taken = (body or "").lower(), []
+                low, taken = "".join(c.lower() if len(c.lower()) == 1 else c for c in body or ""), []  # as long as body
                 for term in ordered:
                     at = low.find(term.lower())
                     while at >= 0:

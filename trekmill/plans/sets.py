@@ -101,10 +101,10 @@ def first_source_wins(spark, d):
     return p.groupBy("street", "num").agg(F.min_by("id", F.struct("src", "id")).alias("id"))
 
 
-@plan("u3_difference", "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag <> 'R'")
+@plan("u3_difference", "SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'R'")
 def difference(spark, d):
     line = table(spark, d, "lineitem")
-    return line.where("l_returnflag = 'R'").select("l_partkey").distinct().join(line.where("l_returnflag <> 'R'").select("l_partkey"), "l_partkey", "left_anti")
+    return line.where("l_returnflag = 'R'").select("l_orderkey").distinct().join(line.where("l_returnflag <> 'R'").select("l_orderkey"), "l_orderkey", "left_anti")
 
 
 @plan("u4_manifest_merge", """WITH f AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS map, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority END AS poi FROM orders)

@@ -84,10 +84,12 @@ def jaccard_near(spark, d):
     return a.join(b, "conv_id").where("turn_a < turn_b").where(shared >= 0.1 * every).select("conv_id", "turn_a", "turn_b")
 
 
-@plan("s21_residue", "SELECT doc_id FROM documents WHERE contains(text, '[[') OR contains(text, '{{') OR contains(text, '<') OR contains(text, chr(65533))")
+@plan("s21_residue", "SELECT page_id FROM (SELECT page_id, regexp_replace(html, '</?(p|br|div|article|b)>', '', 'g') AS t FROM pages) WHERE contains(t, '[[') OR contains(t, '{{') OR contains(t, '<a ') OR contains(t, '&amp;&amp;') OR contains(t, chr(65533))")
 def residue(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").where(t.contains("[[") | t.contains("{{") | t.contains("<") | t.contains("�")).select("doc_id")
+    """Pages whose text, once the common tags are gone, still holds markup, doubled escapes or broken characters."""
+    t = F.regexp_replace("html", "</?(p|br|div|article|b)>", "")
+    left = F.greatest(*(t.contains(x) for x in ("[[", "{{", "<a ", "&amp;&amp;", "\ufffd")))
+    return table(spark, d, "pages").where(left).select("page_id")
 
 
 @plan("s25_dark_text", "SELECT p_partkey, ((p_partkey * 37) % 256) * 299 + ((p_partkey * 91) % 256) * 587 + ((p_partkey * 17) % 256) * 114 > 150000 AS dark FROM part")
@@ -205,18 +207,18 @@ def dataset_audit(spark, d):
     return rows.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@plan("q21_leakage", "SELECT DISTINCT c.conv_id FROM conversations c JOIN (SELECT DISTINCT unnest(string_split(lower(text), '. ')) AS s FROM benchmark) b ON list_contains(string_split(lower(c.text), '. '), s) WHERE length(s) > 20")
+@plan("q21_leakage", "SELECT DISTINCT c.doc_id FROM documents c JOIN (SELECT DISTINCT unnest(string_split(lower(text), '. ')) AS s FROM benchmark) b ON list_contains(string_split(lower(c.text), '. '), s) WHERE length(s) > 20")
 def leakage(spark, d):
-    """Conversations that hold a sentence of the evaluation set."""
+    """Documents that hold a sentence of the evaluation set."""
     sentence = F.explode(F.split(F.lower("text"), r"\. ")).alias("s")
     held = table(spark, d, "benchmark").select(sentence).where(F.length("s") > 20).distinct()
-    return table(spark, d, "conversations").select("conv_id", sentence).where(F.length("s") > 20).join(held, "s", "left_semi").select("conv_id").distinct()
+    return table(spark, d, "documents").select("doc_id", sentence).where(F.length("s") > 20).join(held, "s", "left_semi").select("doc_id").distinct()
 
 
-@plan("q22_regression_gate", """WITH m AS (SELECT source, avg(quality) FILTER (doc_id % 2 = 0) AS base, avg(quality) FILTER (doc_id % 2 = 1) AS now, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source) SELECT source, now < base - 0.05 AS regressed FROM m WHERE base IS NOT NULL AND now IS NOT NULL""")
+@plan("q22_regression_gate", """WITH m AS (SELECT source, avg(quality) FILTER (doc_id // 20 % 2 = 0) AS base, avg(quality) FILTER (doc_id // 20 % 2 = 1) AS now, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source) SELECT source, now < base - 0.05 AS regressed FROM m WHERE base IS NOT NULL AND now IS NOT NULL""")
 def regression_gate(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id")
-    m = rows.groupBy("source").agg(F.avg(F.when(F.col("doc_id") % 2 == 0, F.col("quality"))).alias("base"), F.avg(F.when(F.col("doc_id") % 2 == 1, F.col("quality"))).alias("now"))
+    m = rows.groupBy("source").agg(F.avg(F.when(F.expr("doc_id div 20 % 2 = 0"), F.col("quality"))).alias("base"), F.avg(F.when(F.expr("doc_id div 20 % 2 = 1"), F.col("quality"))).alias("now"))
     return m.where("base is not null and now is not null").select("source", (F.col("now") < F.col("base") - 0.05).alias("regressed"))
 
 
