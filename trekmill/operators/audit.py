@@ -24,7 +24,7 @@ def in_few_groups(rows: DataFrame, item: str, group: str, most: int) -> DataFram
 
 def stratified(rows: DataFrame, stratum: str, key: list[str], quota: int, seed: int = 7) -> DataFrame:
     """Up to quota rows of each stratum in order of a seeded hash; the same rows at every run."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), *key), *key)
+    w = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *key)), *key)
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= quota).drop("_n")
 
 

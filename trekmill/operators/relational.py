@@ -111,7 +111,7 @@ def content_version(df: DataFrame, keys: list[str], line: Column, digits: int =
 
     Lines are digested in buckets by hash first, so that no task holds all lines of a key at once.
     """
-    lines = df.select(*keys, line.alias("line")).distinct().withColumn("bucket", F.pmod(F.xxhash64("line"), F.lit(buckets)))
+    lines = df.select(*keys, line.alias("line")).distinct().withColumn("bucket", F.conv(F.substring(F.sha2("line", 256), 1, 4), 16, 10).cast("int") % buckets)
     parts = lines.groupBy(*keys, "bucket").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("part"))
     return parts.groupBy(*keys).agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "bucket", "part"))), "\n"), 256), 1, digits).alias("version"))
 

@@ -263,12 +263,20 @@ def tiles(spark, d):
     return degrees(places(spark, d)).select("id", geo.tile_x(F.col("lon"), 10).alias("x"), geo.tile_y(F.col("lat"), 10).alias("y"))
 
 
-@plan("g5_tile_ids")
+#: Steps along the Hilbert curve from t (id, x, y) at zoom {z}: the number is d of the row with bit -1.
+_HILBERT = """s AS (SELECT id, {z} - 1 AS bit, x AS x0, y AS y0, x, y, CAST(0 AS BIGINT) AS d FROM t UNION ALL SELECT id, bit - 1, x0, y0, CASE WHEN y & (1::BIGINT << bit) = 0 THEN CASE WHEN x & (1::BIGINT << bit) > 0 THEN (1::BIGINT << bit) - 1 - (y & ((1::BIGINT << bit) - 1)) ELSE y & ((1::BIGINT << bit) - 1) END ELSE x & ((1::BIGINT << bit) - 1) END,
+  CASE WHEN y & (1::BIGINT << bit) = 0 THEN CASE WHEN x & (1::BIGINT << bit) > 0 THEN (1::BIGINT << bit) - 1 - (x & ((1::BIGINT << bit) - 1)) ELSE x & ((1::BIGINT << bit) - 1) END ELSE y & ((1::BIGINT << bit) - 1) END,
+  d + (1::BIGINT << (2 * bit)) * xor(CASE WHEN x & (1::BIGINT << bit) > 0 THEN 3 ELSE 0 END, CASE WHEN y & (1::BIGINT << bit) > 0 THEN 1 ELSE 0 END) FROM s WHERE bit >= 0)"""
+_TILE_X, _TILE_Y = "CAST(floor(({lon} + 180) / 360 * {n}) AS BIGINT)", "CAST(floor((1 - ln(tan(radians({lat})) + 1 / cos(radians({lat}))) / pi()) / 2 * {n}) AS BIGINT)"
+
+
+@plan("g5_tile_ids", f"WITH RECURSIVE {PLACE}, t AS (SELECT id, {_TILE_X.format(lon='(lon_e6 / 1e6)', n=16384)} AS x, {_TILE_Y.format(lat='(lat_e6 / 1e6)', n=16384)} AS y FROM place), {_HILBERT.format(z=14)} SELECT id, d + 89478485 AS tile_id FROM s WHERE bit = -1")
 def tile_ids(spark, d):
     return degrees(places(spark, d)).select("id", geo.tile_id(geo.tile_x(F.col("lon"), 14), geo.tile_y(F.col("lat"), 14), 14).alias("tile_id"))
 
 
-@plan("g6_covering_tiles")
+@plan("g6_covering_tiles", f"""WITH RECURSIVE xs AS (SELECT unnest(range({_TILE_X.format(lon=6.0, n=128)}, {_TILE_X.format(lon=18.0, n=128)} + 1)) AS x), ys AS (SELECT unnest(range({_TILE_Y.format(lat=47.0, n=128)}, {_TILE_Y.format(lat=36.0, n=128)} + 1)) AS y),
+t AS (SELECT x * 1000 + y AS id, x, y FROM xs, ys), {_HILBERT.format(z=7)} SELECT d + 5461 AS tile_id, x0 AS x, y0 AS y FROM s WHERE bit = -1""")
 def covering_tiles(spark, d):
     """Tile numbers of a box at zoom 7, in order."""
     box = spark.range(1).select(*(f(F.lit(v), 7).alias(n) for f, v, n in ((geo.tile_x, 6.0, "x0"), (geo.tile_x, 18.0, "x1"), (geo.tile_y, 47.0, "y0"), (geo.tile_y, 36.0, "y1"))))

@@ -59,7 +59,8 @@ def size_estimate(spark, d):
     return places(spark, d).groupBy("nation").agg(F.sum(90 + F.octet_length("name") + F.octet_length("category")).alias("bytes"))
 
 
-@plan("a24_content_version")
+@plan("a24_content_version", """WITH l AS (SELECT DISTINCT o_custkey % 25 AS k, o_orderkey || ' ' || o_orderstatus AS line FROM orders), b AS (SELECT *, CAST('0x' || left(sha256(line), 4) AS INTEGER) % 64 AS bucket FROM l),
+p AS (SELECT k, bucket, sha256(string_agg(line, chr(10) ORDER BY line)) AS part FROM b GROUP BY k, bucket) SELECT k, left(sha256(string_agg(bucket || ':' || part, chr(10) ORDER BY bucket || ':' || part)), 12) AS version FROM p GROUP BY k""")
 def content_version(spark, d):
     return relational.content_version(table(spark, d, "orders").withColumn("k", F.col("o_custkey") % 25), ["k"], F.concat_ws(" ", "o_orderkey", "o_orderstatus"))
 

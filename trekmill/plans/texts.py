@@ -38,7 +38,8 @@ def stems(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.explode(stemmed).alias("stem"))
 
 
-@plan("s7_cut_at_sentence")
+@plan("s7_cut_at_sentence", r"""WITH h AS (SELECT doc_id, text, left(text, 300) AS head FROM documents), p AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?])(?:\s|$)', 1) AS sentence, regexp_extract(head, '(?s)^(.*)\s', 1) AS word FROM h)
+SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN length(sentence) > 150 THEN sentence WHEN word <> '' THEN word ELSE head END AS text FROM p""")
 def cut_at_sentence(spark, d):
     return table(spark, d, "documents").select("doc_id", text.cut_at_sentence(F.col("text"), 300).alias("text"))
 
@@ -168,13 +169,14 @@ def wilson(spark, d):
     return found.select("source", "n", F.round(low * 10_000).cast("long").alias("low"), F.round(high * 10_000).cast("long").alias("high"))
 
 
-@plan("a19_mcnemar")
+@plan("a19_mcnemar", """WITH c AS (SELECT count(*) FILTER (quality = 1 AND NOT (toxic = 0 AND doc_id % 9 > 0)) AS only_a, count(*) FILTER (quality <> 1 AND toxic = 0 AND doc_id % 9 > 0) AS only_b FROM labels),
+i AS (SELECT *, only_a + only_b AS n, unnest(range(0, least(only_a, only_b) + 1)) AS k FROM c) SELECT only_a, only_b, round(least(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + n * ln(0.5)))), 6) AS p FROM i GROUP BY only_a, only_b""")
 def mcnemar(spark, d):
     """Exact paired test of two graders on the same documents."""
     labels = table(spark, d, "labels")
     a = labels.select("doc_id", (F.col("quality") == 1).alias("ok"))
     b = labels.select("doc_id", ((F.col("toxic") == 0) & (F.col("doc_id") % 9 > 0)).alias("ok"))
-    return audit.discordant(a, b, ["doc_id"], "ok").withColumn("p", metrics.mcnemar_exact(F.col("only_a"), F.col("only_b")))
+    return audit.discordant(a, b, ["doc_id"], "ok").withColumn("p", F.round(metrics.mcnemar_exact(F.col("only_a"), F.col("only_b")), 6))
 
 
 @plan("a20_holm", """WITH t AS (SELECT o_custkey, o_orderkey, (o_orderkey % 1000 + 1) / 100000.0 AS p FROM orders), s AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY o_custkey) - row_number() OVER (PARTITION BY o_custkey ORDER BY p, o_orderkey) + 1) * p) AS s FROM t)
@@ -259,7 +261,7 @@ def sample_labels(spark, d):
     return table(spark, d, "documents").select("doc_id", label.alias("label"))
 
 
-@plan("x12_stratified_quota")
+@plan("x12_stratified_quota", "SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('7:' || doc_id), doc_id) <= 20")
 def stratified_quota(spark, d):
     return audit.stratified(table(spark, d, "documents").select("doc_id", "source"), "source", ["doc_id"], 20)
 
