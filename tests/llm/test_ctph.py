@@ -81,12 +81,12 @@ def test_query(spark):
 
 def test_odd_cases(spark):
     schema = "doc_id long, text string, fingerprint string"
-    rows = [(2**60 + 1, "big id one " * 9, "x"), (2**60, "big id two " * 9, "x"), (5, None, "x"), (4, "", "x"), (3, "same", "x"), (3, "same", "x"), (None, "no id here", "x"), (1, "é" * 200001, "x")]
+    rows = [(2**60 + 1, "big id one " * 9, "x"), (2**60, "big id two " * 9, "x"), (5, None, "x"), (4, "", "x"), (3, "same", "x"), (3, "same", "x"), (None, "no id here", "x"), (1, "é" * 200001, "x"), (-(2**63), "least", "x")]
     got = ctph.compare_with_next(spark.createDataFrame(rows, schema)).collect()
     assert sorted(r.doc_id or 0 for r in got) == sorted(r[0] or 0 for r in rows)
     by = {r.doc_id: r for r in got}
     assert by[2**60 + 1].edited_sha256 == hashlib.sha256((("big id one " * 9)[:50] + ("big id two " * 9)[:49]).encode()).hexdigest()
-    assert by[5].near_next == 1 and by[None].edited_sha256 == hashlib.sha256(b"no idbig i").hexdigest()
+    assert by[5].near_next == 1 and by[None].edited_sha256 == hashlib.sha256(b"no idbig i").hexdigest() and by[-(2**63)].n_chars == 5
     one = ctph.compare_with_next(spark.createDataFrame(rows[:1], schema)).collect()
     assert len(one) == 1 and one[0].near_next == 1
     assert ctph.compare_with_next(spark.createDataFrame([], schema)).count() == 0

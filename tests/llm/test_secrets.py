@@ -44,6 +44,18 @@ def test_odd_cases(spark):
     assert set(secrets.train(spark.createDataFrame([], "token string, random boolean"))) == {0.0}
 
 
+def test_long_names_do_not_hide_secrets_and_samples_hold_at_scale(spark):
+    secret = "k3J9xQ2mW8vR5tY1uB7nL4pZ"
+    docs = spark.createDataFrame([(1, "the_name_of_a_very_long_configuration_variable=" + secret), (2, "token=abcdef " * 3000), (3, "plain_words_with_underscores_all_over_the_place")], "doc_id long, text string")
+    sample = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r for r in secrets.scan(docs, secrets.train(secrets.labelled_samples(sample))).select("doc_id", "text", secrets.written(F.col("found")).alias("found")).collect()}
+    at = rows[1].text.index(secret)
+    assert f"random:{at}:{at + len(secret)}" in rows[1].found.split(",") or f"random:0:{at + len(secret)}" in rows[1].found
+    assert rows[2].found == write(brute(rows[2].text)) and rows[3].found == ""
+    for total in (1, 2000, 10**6, 2 * 10**9, 5 * 10**10, 10**15):
+        assert abs((secrets.threshold(2000, total) + 1) / 2**63 * total - min(2000, total)) < 1
+
+
 def test_query_matches_brute_force(spark):
     d = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in queries.op9_secrets(spark, d).collect()}

@@ -152,14 +152,14 @@ def _ordered(docs: DataFrame) -> DataFrame:
         keyed = Bucketizer(splits=splits, inputCol="at", outputCol="slot").transform(keyed).withColumn("slot", F.col("slot").cast("int"))
     else:
         keyed = keyed.withColumn("slot", F.lit(0))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), (-F.col("doc_id")).alias("back"), "tie")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.bitwise_not("doc_id").alias("back"), "tie")  # falls as doc_id rises
     firsts = keyed.groupBy("slot").agg(F.min(order).alias("first")).orderBy("slot").collect()
     if not firsts:
         return keyed.select(F.col("doc_id").cast("string"), "text", F.lit(False).alias("extra"))
     goes_to = {r.slot: firsts[i - 1].slot for i, r in enumerate(firsts)}
     known = docs.sparkSession.createDataFrame([(r.slot, goes_to[r.slot], r.first.no_id, r.first.back, r.first.tie) for r in firsts], "slot int, goes_to int, no_id boolean, back long, first_tie long")
     known = F.broadcast(known)  # a row for each range, MOST_RANGES at most
-    is_first = (F.col("doc_id").isNull() == F.col("no_id")) & (-F.col("doc_id")).eqNullSafe(F.col("back")) & (F.col("tie") == F.col("first_tie"))
+    is_first = (F.col("doc_id").isNull() == F.col("no_id")) & F.bitwise_not("doc_id").eqNullSafe(F.col("back")) & (F.col("tie") == F.col("first_tie"))
     places = F.when(is_first, F.array(F.struct(F.col("slot").alias("to"), F.lit(False).alias("extra")), F.struct(F.col("goes_to").alias("to"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("slot").alias("to"), F.lit(False).alias("extra"))))
     rows = keyed.join(known, "slot").select("doc_id", "text", "tie", F.explode(places).alias("p")).select("doc_id", "text", "tie", "p.to", "p.extra")
     dealt = rows.repartitionById(len(splits) - 1, F.col("to"))

@@ -45,13 +45,20 @@ def _ascii_letters(text: str) -> str:
     return text.translate(_LETTERS)
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """Rows of bucket shares: averaging embeddings is multiplying by these."""
-    out = np.zeros((len(texts), BUCKETS), np.float32)
-    for row, t in zip(out, texts, strict=True):
-        b = buckets(t)
-        if len(b):
-            row += np.bincount(b, minlength=BUCKETS) / len(b)
+def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the buckets that it has and their shares: averaging embeddings is multiplying by these."""
+    out = []
+    for t in texts:
+        b, n = np.unique(buckets(t), return_counts=True)
+        out.append((b.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))
+    return out
+
+
+def dense(rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Some rows of features as a matrix; never all of them, so that its size has a bound."""
+    out = np.zeros((len(rows), BUCKETS), np.float32)
+    for row, (at, share) in zip(out, rows, strict=True):
+        row[at] = share
     return out
 
 
@@ -91,8 +98,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 0.5,
     rng = np.random.default_rng(seed)
     held = np.arange(len(texts)) % 5 == 4
     passages = [t[(at := int(rng.integers(0, max(1, len(t) - 200)))) : at + 200] for t in texts]
-    x = np.concatenate([features(texts), features(passages)])
-    x *= 100  # shares are small; this is a matter of scale of the embeddings alone
+    x = [(at, share * 100) for at, share in features(texts) + features(passages)]  # shares are small; a matter of scale of the embeddings alone
     y = np.array([names.index(v) for v in langs] * 2)
     held = np.concatenate([held, held]) if (~held).any() and held.any() else np.zeros(len(y), bool)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
@@ -101,7 +107,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 0.5,
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs) + 0.01
         for at in np.array_split(rng.permutation(learn), max(1, len(learn) // batch)):
-            xb = x[at]
+            xb = dense([x[i] for i in at])
             h = xb @ emb
             g = softmax(h @ out + bias)
             g[np.arange(len(at)), y[at]] -= 1
@@ -111,7 +117,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 30, rate: float = 0.5,
             bias -= step * g.sum(axis=0)
             emb -= step * (xb.T @ back)
     check = np.flatnonzero(held) if held.any() else learn
-    z = x[check] @ emb @ out + bias
+    z = np.concatenate([dense([x[i] for i in check[a : a + 256]]) @ emb @ out + bias for a in range(0, len(check), 256)])
     losses = [(-np.log(softmax(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean(), t) for t in np.geomspace(0.05, 5, 40)]
     temperature = float(min(losses)[1])
     p = softmax(z / temperature)
@@ -124,7 +130,7 @@ def learnable(docs: DataFrame, per_lang: int = LEARN_PER_LANG) -> DataFrame:
     rows = docs.where("lang is not null and text is not null")
     counts = rows.groupBy("lang").count()
     chance = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("count"))
-    picked = rows.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < chance * 1_000_000)
+    picked = rows.join(counts, "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).cast("double") <= chance * 2.0**63)
     return picked.select("lang", "text", F.xxhash64("doc_id", "text").alias("order"))
 
 

@@ -74,6 +74,9 @@ def balance(classes: DataFrame, targets: DataFrame, cap: float = 2.0, rounds: in
         state = cut(sums.select("key", "target", "mean", F.when(off <= within, F.col("lam")).otherwise(step).alias("lam"), "lo", "hi", off.alias("off")))
         if (state.agg(F.max("off")).first()[0] or 0.0) <= within:
             break
+    else:
+        if (state.agg(F.max("off")).first()[0] or 0.0) > 1e-4:
+            raise RuntimeError(f"multipliers have not settled after {rounds} rounds")
     return state.select("key", "mean", "lam")
 
 

@@ -114,7 +114,7 @@ def references(docs: DataFrame, common: int = COMMON_WORDS, least_docs: int = 20
     used = docs.select("lang", "text").where("lang is not null and text is not null and text <> ''")
     langs = used.groupBy("lang").count().where(F.col("count") >= least_docs).select("lang")
     counts = used.mapInPandas(_tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = cut(counts.join(F.broadcast(langs), "lang"))
+    counts = cut(counts.join(langs, "lang"))
     is_class = F.col("word").startswith(" ")
     # The most frequent words of a language by buckets first, so that no task orders a whole vocabulary.
     bucket = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(F.desc("n"), "word")

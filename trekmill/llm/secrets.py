@@ -20,8 +20,12 @@ LEAST = 16
 #: Different characters that it must have; rulers and padding are neither random nor ordinary.
 DISTINCT = 8
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+#: Parts of such a run between its marks, so that a long name before a secret doesn't hide it.
+PART = rf"[A-Za-z0-9+]{{{LEAST},}}"
 ALPHABET = 67
 CODES = 128
+#: Matches whose places are summed together.
+BLOCK = 256
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -35,7 +39,12 @@ def _spans(text: Column, pattern: str) -> Column:
         start, end = state.at + x.gap, state.at + x.gap + x.hit
         return F.struct(end.alias("at"), F.concat(state.out, F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
 
-    spans = F.aggregate(lengths, none, step, lambda state: state.out)
+    # Blocks of matches first and the blocks' offsets then, as each step copies what it has so far.
+    begins = F.sequence(F.lit(1), F.greatest(F.size(lengths), F.lit(1)), F.lit(BLOCK))
+    blocks = F.transform(begins, lambda b: F.aggregate(F.slice(lengths, b, BLOCK), none, step))
+    upto = lambda state, x: F.struct((state.at + x.at).alias("at"), F.concat(state.out, F.array(state.at)).alias("out"))
+    offsets = F.aggregate(blocks, F.expr("named_struct('at', 0, 'out', cast(array() as array<int>))"), upto, lambda state: state.out)
+    spans = F.flatten(F.zip_with(blocks, offsets, lambda x, o: F.transform(x.out, lambda s: F.struct((s.start + o).alias("start"), (s.end + o).alias("end")))))
     return F.when(text.rlike(pattern), spans).otherwise(none.out)
 
 
@@ -51,6 +60,11 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"assign": _kind(assign, "assign"), "access": _kind(_spans(text, ACCESS), "access"), "hex": _kind(_spans(text, HEX), "hex")}
 
 
+def threshold(wanted: int, total: int) -> int:
+    """The greatest 63-bit hash of a share of wanted / total; at any total about as many are wanted."""
+    return (1 << 63) - 1 if wanted >= total else ((1 << 63) - 1) * wanted // total
+
+
 def labelled_samples(docs: DataFrame, docs_bound: int = 2000, strings: int = 2000) -> DataFrame:
     """(token, random): labelled training rows for the two models.
 
@@ -63,13 +77,13 @@ def labelled_samples(docs: DataFrame, docs_bound: int = 2000, strings: int = 200
     digest = spark.range(strings).select(F.sha2(F.col("id").cast("string"), 512).alias("d"))
     b64 = F.base64(F.unhex("d"))
     random = digest.select(F.explode(F.array(F.substring("d", 1, 40), F.substring(b64, 1, 40), F.substring(F.regexp_replace(F.upper(b64), "[^A-Z0-9]", ""), 1, 24), F.substring(F.regexp_replace(b64, "[^A-Za-z0-9]", ""), 1, 32))).alias("token"), F.lit(True).alias("random"))
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(min(1.0, docs_bound / max(total, 1)) * 1_000_000)
+    part = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) <= threshold(docs_bound, total)
     bare = F.col("text")
     for pattern in (ASSIGN, ACCESS, HEX):
         bare = F.regexp_replace(bare, pattern, " ")
     words = F.regexp_extract_all(bare, F.lit("[A-Za-z0-9+/_=-]{3,}"), F.lit(0))
     pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws("_", a, b))
-    ordinary = docs.where(part & F.col("text").isNotNull()).select(words.alias("words"), F.slice(pairs, 1, 50).alias("pairs"))
+    ordinary = docs.where(part & F.col("text").isNotNull()).select(words.alias("words"), pairs.alias("pairs"))
     ordinary = ordinary.select(F.explode(F.concat("words", "pairs")).alias("token"), F.lit(False).alias("random"))
     return random.unionByName(ordinary)
 
@@ -110,18 +124,28 @@ def scan(docs: DataFrame, model: list[float], least_mean: float = 0.5) -> DataFr
     """docs with `base` and `found`: arrays of struct<start, kind (index in KINDS), end> ordered by start, then kind.
 
     found holds all base spans and the candidates whose log-likelihood ratio is least_mean or more a transition, unless
-    they touch a base span. Places are code points, end exclusive. Null text is as empty: no spans. Columns of docs
+    they touch a base span. Candidates are runs of key characters of LEAST or more with DISTINCT different ones or more, and where
+    a run as a whole isn't likely, such parts of it between its marks. Places are code points, end exclusive. Null text is as empty: no spans. Columns of docs
     with these names are replaced; rows are neither dropped nor merged.
     """
     text = F.coalesce("text", F.lit(""))
     by_kind = base_spans(text)
     base = docs.withColumn("base", F.array_sort(F.concat(*by_kind.values())))
-    tokens = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    judged = F.zip_with(_spans(text, CANDIDATE), F.transform(tokens, lambda t: F.when(F.size(F.array_distinct(F.split(t, ""))) >= DISTINCT, log_ratio(t, model))), lambda s, r: F.struct(s.start.alias("start"), s.end.alias("end"), r.alias("r")))
-    likely = F.filter(judged, lambda x: x.r >= least_mean * (x.end - x.start - 1))
-    apart = F.filter(likely, lambda x: ~F.exists("base", lambda b: (b.start < x.end) & (x.start < b.end)))
-    more = F.when(text.rlike(CANDIDATE), _kind(apart, "random")).otherwise(F.filter("base", lambda b: F.lit(False)))
-    return base.withColumn("found", F.array_sort(F.concat("base", more)))
+    none = F.filter("base", lambda b: F.lit(False))
+
+    def likely(pattern: str) -> Column:
+        tokens = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda t: F.when(F.size(F.array_distinct(F.split(t, ""))) >= DISTINCT, log_ratio(t, model)))
+        judged = F.zip_with(_spans(text, pattern), tokens, lambda s, r: F.struct(s.start.alias("start"), s.end.alias("end"), r.alias("r")))
+        return F.when(text.rlike(pattern), _kind(F.filter(judged, lambda x: x.r >= least_mean * (x.end - x.start - 1)), "random")).otherwise(none)
+
+    def apart(spans: str, others: str) -> Column:
+        return F.filter(spans, lambda x: ~F.exists(others, lambda b: (b.start < x.end) & (x.start < b.end)))
+
+    names = {"runs": likely(CANDIDATE), "parts": likely(PART)}
+    judged = base.withColumn("_likely", F.struct(*(e.alias(c) for c, e in names.items())))
+    judged = judged.withColumn("_likely", F.struct(apart("_likely.runs", "base").alias("runs"), apart("_likely.parts", "base").alias("parts")))
+    more = F.concat("_likely.runs", apart("_likely.parts", "_likely.runs"))
+    return judged.withColumn("found", F.array_sort(F.concat("base", more))).drop("_likely")
 
 
 def written(spans: Column) -> Column:
