@@ -92,3 +92,40 @@ def boxes_meet(a_west: Column, a_south: Column, a_east: Column, a_north: Column,
 def box_distance_m(lat: Column, lon: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
     """0 inside the box, else the planar distance to it."""
     return planar_m(lat, lon, F.least(F.greatest(lat, south), north), F.least(F.greatest(lon, west), east))
+
+
+def clip_ring(ring: Column, axis: str, bound: Column, above: bool) -> Column:
+    """A ring (array of struct<lat,lon>) cut at a line of latitude or longitude: what is above it, or what is below.
+
+    Each side of the ring gives its end if that is inside, and the crossing before it if the side crosses the line.
+    """
+    inside = lambda p: p[axis] >= bound if above else p[axis] <= bound
+    other = "lon" if axis == "lat" else "lat"
+
+    def side(p: Column, q: Column) -> Column:
+        at = p[other] + (q[other] - p[other]) * (bound - p[axis]) / F.nullif(q[axis] - p[axis], F.lit(0.0))
+        place = {axis: bound, other: at}
+        crossing = F.when(inside(p) != inside(q), F.struct(place["lat"].alias("lat"), place["lon"].alias("lon")))
+        return F.array_compact(F.array(crossing, F.when(inside(q), F.struct(q.lat.alias("lat"), q.lon.alias("lon")))))
+
+    ends = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.flatten(F.zip_with(ring, ends, side))
+
+
+def _bound_once(ring: Column, axis: str, bound: Column, above: bool) -> Column:
+    """clip_ring of a ring that is computed once, though it is used three times."""
+    return F.get(F.transform(F.array(ring), lambda r: clip_ring(r, axis, bound, above)), F.lit(0))
+
+
+def clip_to_box(ring: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
+    """The part of a ring inside a box, half-plane by half-plane; empty if nothing is."""
+    for axis, bound, above in (("lon", west, True), ("lat", south, True), ("lon", east, False), ("lat", north, False)):
+        ring = _bound_once(ring, axis, bound, above)
+    return ring
+
+
+def ring_area(ring: Column) -> Column:
+    """Unsigned area in square degrees."""
+    ends = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    parts = F.zip_with(ring, ends, lambda p, q: p.lon * q.lat - q.lon * p.lat)
+    return F.abs(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)) / 2

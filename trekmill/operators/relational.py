@@ -122,3 +122,26 @@ def guard_count(df: DataFrame, published: int, least_share: float = 0.5) -> Data
     if n == 0 or n < published * least_share:
         raise ValueError(f"{n} rows in place of {published}")
     return df
+
+
+def optional_filter(df: DataFrame, **wanted) -> DataFrame:
+    """Rows whose columns equal the values given; a value of None asks for nothing, so its column needn't be read."""
+    for column, value in wanted.items():
+        if value is not None:
+            df = df.where(F.col(column) == F.lit(value))
+    return df
+
+
+def stream_digest(df: DataFrame, order: list[str], line: Column, block: int = 256) -> DataFrame:
+    """One row `digest`: SHA-256 over lines in an order, by blocks of lines and then blocks of digests until one is left.
+
+    Blocks are of neighbours by dense number, so that no task holds all lines. No rows: the digest of nothing.
+    """
+    rows = numbered(df.select(*order, line.alias("_line")), order, "_nth").select((F.col("_nth") - 1).alias("n"), F.col("_line").alias("line"))
+    level = 0
+    while True:
+        of_block = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x.line), "\n")
+        rows = cut(rows.groupBy(F.expr(f"n div {block}").alias("n")).agg(F.sha2(of_block, 256).alias("line")))
+        level += 1
+        if (left := rows.count()) <= 1 and level > 1 or not left:
+            return rows.select(F.col("line").alias("digest")) if left else df.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("digest"))

@@ -65,14 +65,19 @@ def board(trips: DataFrame, stops: DataFrame, days: DataFrame, wanted: DataFrame
     return calls.where(F.col("in_minutes").between(-behind, ahead)).select("trip_id", "stop_id", "day", "minute", "in_minutes", "estimated", "shift", "seq").dropDuplicates(["trip_id", "stop_id", "day", "minute"])
 
 
-def with_delays(calls: DataFrame, updates: DataFrame) -> DataFrame:
+def with_delays(calls: DataFrame, updates: DataFrame, today: str | None = None) -> DataFrame:
     """calls (trip_id, seq, in_minutes, ...) with delay minutes of the last live event at or before their place in the trip.
 
-    updates: trip_id, seq, delay (seconds). An event without delay stops what came before from going on. Delays of a day or
+    updates: trip_id, seq, delay (seconds). With `today` calls have a `day`, and an event is for the run of its own `day` alone, or
+    of today if it has none, so that yesterday's and tomorrow's runs of the trip stay as they are. An event without delay stops what came before from going on. Delays of a day or
     more are dropped, others rounded half up to minutes; rows that have left by then go.
     """
-    marked = updates.select("trip_id", "seq", F.struct(F.col("delay").alias("delay")).alias("live"))
-    found = as_of(calls, marked, ["trip_id"], "seq", "live")
+    keys = ["trip_id"] if today is None else ["trip_id", "day"]
+    if today is not None:
+        now = F.lit(today).cast("date")
+        updates = updates.withColumn("day", F.coalesce(F.col("day").cast("date"), now) if "day" in updates.columns else now)
+    marked = updates.select(*keys, "seq", F.struct(F.col("delay").alias("delay")).alias("live"))
+    found = as_of(calls, marked, keys, "seq", "live")
     minutes = F.when(F.abs(F.col("live.delay")) < 86_400, F.floor((F.col("live.delay") + 30) / 60))
     found = found.withColumn("delay", minutes).drop("live")
     return found.withColumn("in_minutes", F.col("in_minutes") + F.coalesce("delay", F.lit(0))).where("in_minutes >= 0")

@@ -45,6 +45,42 @@ def cap_messages(spark, d):
     return feeds.cap_alerts(table(spark, d, "orders").select(body.alias("body"))).select("id", "severity")
 
 
+@plan("src14_weather_service", f"""WITH {EVENT}, e AS (SELECT *, (['Tsunami Advisory', 'Flood Warning', 'Gale Warning', 'Red Flag Warning', 'Heat Advisory'])[event_id % 5 + 1] AS name, (['Minor', 'Moderate', 'Severe', 'Extreme', 'Unknown'])[event_id % 7 % 5 + 1] AS severity FROM event)
+SELECT 'n' || event_id AS id, (['tsunami', 'flood', 'weather', 'fire', 'weather'])[event_id % 5 + 1] AS kind, CAST(CASE severity WHEN 'Minor' THEN 0 WHEN 'Moderate' THEN 1 WHEN 'Severe' THEN 2 ELSE 3 END AS INTEGER) AS level, CAST(event_id % 90 AS DOUBLE) AS west, CAST(event_id % 90 + 2 AS DOUBLE) AS east
+FROM e WHERE event_id % 11 > 0 AND event_id % 13 > 1 AND severity <> 'Unknown' AND (severity <> 'Minor' OR event_id % 5 = 0) AND name <> 'Gale Warning'""")
+def weather_service(spark, d):
+    """Collections of the weather service, one for each user, to alerts."""
+    k = F.col("event_id")
+    pick = lambda names, at: F.get(F.array(*(F.lit(n) for n in names)), at)
+    properties = F.struct(
+        F.concat(F.lit("n"), k.cast("string")).alias("id"), pick(("Tsunami Advisory", "Flood Warning", "Gale Warning", "Red Flag Warning", "Heat Advisory"), (k % 5).cast("int")).alias("event"),
+        pick(("Minor", "Moderate", "Severe", "Extreme", "Unknown"), (k % 7 % 5).cast("int")).alias("severity"), F.when(k % 11 > 0, "Actual").otherwise("Test").alias("status"), pick(("Cancel", "Ack", "Update", "Alert"), F.least(k % 13, F.lit(3)).cast("int")).alias("messageType"),
+    )
+    corner = lambda dx, dy: F.array((k % 90 + dx).cast("double"), F.lit(40.0 + dy))
+    feature = F.struct(properties.alias("properties"), F.struct(F.array(F.array(corner(0, 0), corner(2, 1), corner(1, 3))).alias("coordinates")).alias("geometry"))
+    bodies = events(spark, d).groupBy("user_id").agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct("features")).alias("body"))
+    return feeds.weather_service_alerts(bodies).select("id", "kind", "level", "west", "east")
+
+
+@plan("src14_volcanoes", "SELECT 'VAL-v' || s_suppkey AS id, CAST(least(s_suppkey % 6 - 2, 3) AS INTEGER) AS level, CAST(s_suppkey % 180 AS DOUBLE) AS west FROM supplier WHERE s_suppkey % 6 >= 2")
+def volcanoes(spark, d):
+    k = F.col("s_suppkey")
+    feature = F.struct(F.struct(F.concat(F.lit("v"), k.cast("string")).alias("volcanoID"), F.col("s_name").alias("volcanoTitle"), (k % 6).alias("level")).alias("properties"), F.struct(F.array((k % 180).cast("double"), F.lit(-40.0)).alias("coordinates")).alias("geometry"))
+    bodies = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct("features")).alias("body"))
+    return feeds.volcano_alerts(bodies).select("id", "level", "west")
+
+
+@plan("src14_provinces", "SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(CASE o_orderkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS INTEGER) AS level, 'Wind ' || o_custkey AS title, CAST(epoch(TIMESTAMP '2024-05-01 00:00:00') AS BIGINT) + o_orderkey % 24 * 3600 AS starts FROM orders WHERE o_orderkey % 3 <> 1")
+def provinces(spark, d):
+    k = F.col("o_orderkey")
+    pick = lambda names, at: F.get(F.array(*(F.lit(n) for n in names)), at.cast("int"))
+    starts = F.format_string("2024-05-01T%02d:00:00Z", k % 24)
+    properties = F.struct(pick(("active", "Ended", "continued"), k % 3).alias("status_en"), F.concat(F.lit("wind "), F.col("o_custkey").cast("string")).alias("alert_name_en"), pick(("grey", "Yellow", "orange", "red"), k % 4).alias("risk_colour_en"), starts.alias("validity_datetime"))
+    feature = F.struct(k.cast("string").alias("id"), properties.alias("properties"))
+    bodies = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list(feature).alias("features")).select(F.to_json(F.struct("features")).alias("body"))
+    return feeds.province_alerts(bodies).select("id", "level", "title", F.unix_timestamp("starts").alias("starts"))
+
+
 @plan("src15_office_warnings", f"WITH {EVENT} SELECT 'o' || user_id % 30 AS office, event_type AS hazard, string_agg(DISTINCT 'z' || event_id % 25, ',' ORDER BY 'z' || event_id % 25) AS zones FROM event WHERE event_id % 4 > 0 GROUP BY ALL")
 def office_warnings(spark, d):
     """Nested warnings: areas by warnings, zones gathered for each office and hazard."""

@@ -34,6 +34,12 @@ def access_modes(spark, d):
     return modes.where(holds).groupBy("mode").agg(F.sum("count").alias("n"))
 
 
+@plan("f4_optional_filter", "SELECT event_id FROM events WHERE (NULL IS NULL OR user_id = NULL) AND ('click' IS NULL OR event_type = 'click')")
+def optional_filter(spark, d):
+    """One optional parameter given, one not."""
+    return relational.optional_filter(table(spark, d, "events"), user_id=None, event_type="click").select("event_id")
+
+
 @plan("f5_folded_substring", "SELECT doc_id FROM documents WHERE contains(strip_accents(lower(text)), 'ecole') OR contains(strip_accents(lower(text)), 'tion')")
 def folded_substring(spark, d):
     from trekmill.functions.text import fold
@@ -284,6 +290,16 @@ def covering_tiles(spark, d):
     return cells.select(geo.tile_id(F.col("x"), F.col("y"), 7).alias("tile_id"), "x", "y").orderBy("tile_id")
 
 
+@plan("g7_clipped_boxes", f"""WITH {STOP}, b AS (SELECT stop_id, lon_e6 / 1e6 - 0.4 AS w, lat_e6 / 1e6 - 0.3 AS s, lon_e6 / 1e6 + 0.5 AS e, lat_e6 / 1e6 + 0.35 AS n FROM stop)
+SELECT stop_id, CAST(round(greatest(least(e, 12.0) - greatest(w, 7.0), 0) * greatest(least(n, 44.0) - greatest(s, 41.0), 0) * 1000000) AS BIGINT) AS area FROM b""")
+def clipped_boxes(spark, d):
+    """Area of what lies in a box of a ring around each stop."""
+    corner = lambda dx, dy: F.struct((F.col("lat") + dy).alias("lat"), (F.col("lon") + dx).alias("lon"))
+    ring = F.array(corner(-0.4, -0.3), corner(0.5, -0.3), corner(0.5, 0.35), corner(-0.4, 0.35))
+    clipped = geo.clip_to_box(ring, *(F.lit(float(v)) for v in (7, 41, 12, 44)))
+    return degrees(stops(spark, d)).select("stop_id", F.round(geo.ring_area(clipped) * 1_000_000).cast("long").alias("area"))
+
+
 @plan("g8_walk_minutes", f"WITH {STOP} SELECT stop_id, CAST(ceil(stop_id * 17 * 1.3 / 75) AS BIGINT) AS minutes FROM stop")
 def walk_minutes(spark, d):
     return stops(spark, d).select("stop_id", geo.walk_minutes(F.col("stop_id") * 17).alias("minutes"))

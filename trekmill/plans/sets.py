@@ -65,6 +65,12 @@ def content_version(spark, d):
     return relational.content_version(table(spark, d, "orders").withColumn("k", F.col("o_custkey") % 25), ["k"], F.concat_ws(" ", "o_orderkey", "o_orderstatus"))
 
 
+@plan("a25_stream_digest", """WITH l AS (SELECT (row_number() OVER (ORDER BY p_partkey) - 1) // 256 AS b, p_partkey, p_partkey || ':' || length(p_name) AS line FROM part), o AS (SELECT b, sha256(string_agg(line, chr(10) ORDER BY p_partkey)) AS part FROM l GROUP BY b) SELECT sha256(string_agg(part, chr(10) ORDER BY b)) AS digest FROM o""")
+def stream_digest(spark, d):
+    """A digest of all (id, length) in order."""
+    return relational.stream_digest(table(spark, d, "part"), ["p_partkey"], F.concat_ws(":", "p_partkey", F.length("p_name")))
+
+
 @plan("snk2_dictionary", "WITH e AS (SELECT p_type, p_brand, row_number() OVER (ORDER BY p_type, p_brand) AS code FROM (SELECT DISTINCT p_type, p_brand FROM part)) SELECT p_partkey, code FROM part JOIN e USING (p_type, p_brand)")
 def dictionary(spark, d):
     coded, _ = relational.dictionary_encode(table(spark, d, "part").select("p_partkey", "p_type", "p_brand"), ["p_type", "p_brand"])

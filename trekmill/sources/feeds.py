@@ -7,6 +7,9 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,3 +128,75 @@ def wiki_pages(spark: SparkSession, path: str, titles: DataFrame) -> DataFrame:
     """(title, text) of the pages of a dump whose title is wanted; titles: one column `title`."""
     pages = spark.read.format("xml").options(rowTag="page").schema("title string, ns int, revision struct<text:struct<_VALUE:string>>").load(path)
     return pages.where("ns = 0").select("title", F.col("revision.text._VALUE").alias("text")).join(titles, "title", "left_semi")
+
+
+#: Fixed values of the weather service's feed: severities, message types, events for ships alone, and words that tell a kind.
+SEVERITIES = {"Minor": 0, "Moderate": 1, "Severe": 2, "Extreme": 3}
+MESSAGES = ("Alert", "Update")
+MARINE = (
+    "Gale Warning", "Gale Watch", "Storm Warning", "Storm Watch", "Hurricane Force Wind Warning", "Hurricane Force Wind Watch", "Hazardous Seas Warning", "Hazardous Seas Watch",
+    "Special Marine Warning", "Marine Weather Statement", "Small Craft Advisory", "Heavy Freezing Spray Warning", "Heavy Freezing Spray Watch", "Freezing Spray Advisory", "Low Water Advisory", "Brisk Wind Advisory",
+)
+KIND_WORDS = (
+    ("tsunami", ("tsunami",)), ("volcano", ("volcano", "ashfall")), ("earthquake", ("earthquake",)), ("fire", ("fire", "red flag")), ("flood", ("flood", "storm surge")),
+    ("cyclone", ("hurricane warning", "hurricane watch", "tropical storm", "tropical cyclone", "typhoon")),
+)
+ALWAYS_SHOWN = ("tsunami", "volcano")
+#: Colours of the provinces' feed, its states of ended alerts, and least level of a volcano that is told.
+COLOURS = {"yellow": 1, "orange": 2, "red": 3}
+ENDED = ("ended", "cancelled")
+VOLCANO_LEVEL = 2
+
+
+def _features(raw: DataFrame, column: str, properties: str) -> DataFrame:
+    """One row for each feature of GeoJSON collections (id, p, g); a body without a list of features is an error."""
+    feature = f"struct<id:string,properties:struct<{properties}>,geometry:string>"
+    parsed = F.from_json(column, f"features array<{feature}>").features
+    checked = F.when(parsed.isNull(), F.raise_error(F.lit("not a feature collection"))).otherwise(parsed)
+    return raw.select(F.explode(checked).alias("f")).where("f.properties is not null").select("f.id", F.col("f.properties").alias("p"), F.col("f.geometry").alias("g"))
+
+
+def _ranked(values: dict[str, int], of: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[of]
+
+
+def _box(geometry: Column) -> dict[str, Column]:
+    """west, south, east, north of the [lon, lat] pairs of a geometry however deep its arrays are; null without any."""
+    pairs = F.regexp_extract_all(geometry, F.lit(r"\[\s*(-?[0-9.eE+-]+)\s*,\s*(-?[0-9.eE+-]+)"), F.lit(0))
+    numbers = lambda i: F.transform(pairs, lambda x: F.split(F.translate(x, "[ ", ""), ",")[i].cast("double"))
+    return {"west": F.array_min(numbers(0)), "south": F.array_min(numbers(1)), "east": F.array_max(numbers(0)), "north": F.array_max(numbers(1))}
+
+
+def weather_service_alerts(raw: DataFrame, column: str = "body") -> DataFrame:
+    """Alerts of the weather service's collections, one a row: actual new or updated ones above the lowest level.
+
+    Tsunamis and volcanoes are told at any level, events for ships alone never. A bad entry is left out.
+    """
+    f = _features(raw, column, "id string, event string, severity string, status string, messageType string, onset string, effective string, sent string, ends string, expires string, areaDesc string".replace(" string", ":string"))
+    name = F.lower("p.event")
+    kind = F.coalesce(*(F.when(reduce(or_, (name.contains(w) for w in words)), kind) for kind, words in KIND_WORDS), F.lit("weather"))
+    rows = f.select("*", F.coalesce("p.id", "id").alias("key"), kind.alias("kind"), _ranked(SEVERITIES, F.col("p.severity")).alias("level"))
+    told = F.col("p.status").eqNullSafe("Actual") & F.col("p.messageType").isin(*MESSAGES) & ((F.col("level") > 0) | F.col("kind").isin(*ALWAYS_SHOWN)) & ~F.col("p.event").isin(*MARINE)
+    return rows.where(told & F.col("key").isNotNull() & F.col("level").isNotNull()).select(
+        F.col("key").alias("id"), F.lit("weather service").alias("source"), "kind", "level", F.col("p.event").alias("title"),
+        F.try_to_timestamp(F.coalesce("p.onset", "p.effective", "p.sent")).alias("starts"), F.try_to_timestamp(F.coalesce("p.ends", "p.expires")).alias("ends"), *(e.alias(c) for c, e in _box(F.col("g")).items()),
+    )
+
+
+def province_alerts(raw: DataFrame, column: str = "body") -> DataFrame:
+    """Alerts of the provinces' collections, one a row, without ended ones; a colour that isn't known is the lowest level."""
+    f = _features(raw, column, "status_en:string,alert_name_en:string,risk_colour_en:string,validity_datetime:string,event_end_datetime:string,expiration_datetime:string")
+    name = F.col("p.alert_name_en")
+    rows = f.where(F.col("id").isNotNull() & name.isNotNull() & ~F.coalesce(F.lower("p.status_en").isin(*ENDED), F.lit(False)))
+    return rows.select(
+        "id", F.lit("provinces").alias("source"), F.lit("weather").alias("kind"), F.coalesce(_ranked(COLOURS, F.lower("p.risk_colour_en")), F.lit(0)).alias("level"), F.concat(F.upper(F.left(name, F.lit(1))), F.substring(name, 2, 1 << 20)).alias("title"),
+        F.try_to_timestamp("p.validity_datetime").alias("starts"), F.try_to_timestamp(F.coalesce("p.event_end_datetime", "p.expiration_datetime")).alias("ends"), *(e.alias(c) for c, e in _box(F.col("g")).items()),
+    )
+
+
+def volcano_alerts(raw: DataFrame, column: str = "body") -> DataFrame:
+    """Volcanoes of level 2 or more, one a row: 2 the lowest level, 5 the highest; their place is a point."""
+    f = _features(raw, column, "volcanoID:string,volcanoTitle:string,level:int")
+    rows = f.where(F.col("p.volcanoID").isNotNull() & F.col("p.volcanoTitle").isNotNull() & (F.col("p.level") >= VOLCANO_LEVEL))
+    none = F.lit(None).cast("timestamp")
+    return rows.select(F.concat(F.lit("VAL-"), "p.volcanoID").alias("id"), F.lit("volcanoes").alias("source"), F.lit("volcano").alias("kind"), F.least(F.col("p.level") - VOLCANO_LEVEL, F.lit(3)).alias("level"), F.col("p.volcanoTitle").alias("title"), none.alias("starts"), none.alias("ends"), *(e.alias(c) for c, e in _box(F.col("g")).items()))

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def timely(updates: DataFrame, received: str = "received", time: str = "stamp", minutes: int = 10) -> DataFrame:
+    """Updates of snapshots that were at most so many minutes old when they came in; older ones, and those without a stamp, go."""
+    return updates.where(F.col(received).cast("timestamp") <= F.col(time) + F.make_interval(mins=F.lit(minutes)))
+
+
 def valid_snapshots(updates: DataFrame, time: str = "stamp", minutes: int = 10) -> DataFrame:
     """Live updates; what comes more than ten minutes after a newer one is late and left out of windows and joins."""
     return updates.withWatermark(time, f"{minutes} minutes")
