@@ -54,6 +54,15 @@ def test_query_matches_brute_force(spark):
     assert sum(r.n_removed > 0 for r in got.values()) > 50
 
 
+def test_query_matches_sql(spark):
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    found = con.execute(queries.oracle_sql()["op10_line_dedup"])
+    assert [c[0] for c in found.description] == ["doc_id", "n_removed", "text"]
+    assert sorted(found.fetchall()) == sorted(map(tuple, queries.op10_line_dedup(spark, d).collect()))
+
+
 def test_fingerprints_are_window_minima():
     rng = random.Random(4)
     text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000)) + " a b" * 200

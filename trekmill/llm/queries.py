@@ -83,5 +83,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_mixing, op5_ctph, op6_ngram, op7_licenses, op8_langid, op9_secrets, op10_line_dedup)}
 
 
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: Every window of 50 words written out; a word goes if it is in one that also stands at an earlier place.
+_LINE_DEDUP = rf"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[ \t\n\v\f\r]*[^ \t\n\v\f\r]+') AS p FROM documents),
+w AS (SELECT doc_id, list_transform(p, lambda x: ltrim(x, {_WHITE})) AS words FROM t WHERE len(p) >= 50),
+l AS (SELECT doc_id, list_transform(range(1, len(words) - 48), lambda i: array_to_string(list_slice(words, i, i + 49), ' ')) AS k FROM w),
+g AS (SELECT doc_id, unnest(k) AS k, generate_subscripts(k, 1) AS i FROM l), f AS (SELECT k, min((doc_id, i)) AS f FROM g GROUP BY k HAVING count(*) > 1),
+o AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM g JOIN f USING (k) WHERE (doc_id, i) <> f), d AS (SELECT doc_id, list(j) AS js FROM o GROUP BY doc_id),
+c AS (SELECT t.*, js, list_filter(p, lambda x, i: NOT list_contains(js, i)) AS kept FROM t LEFT JOIN d USING (doc_id))
+SELECT doc_id, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed, CASE WHEN js IS NULL THEN text WHEN len(js) = len(p) THEN ''
+ELSE regexp_extract(p[1], '^[ \t\n\v\f\r]*') || ltrim(array_to_string(kept, ''), {_WHITE}) || substr(text, length(rtrim(text, {_WHITE})) + 1) END AS text FROM c"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": _LINE_DEDUP}
