@@ -40,3 +40,11 @@ def test_points_in_polygons(spark):
     q = spark.createDataFrame(list(enumerate(rings)), "ring_id int, ring array<struct<lat:double,lon:double>>")
     got = {(r.id, r.ring_id) for r in spatial.inside(p, q, "id", "ring_id").collect()}
     assert got == {(i, k) for i, (y, x) in enumerate(points) for k, r in enumerate(rings) if holds(r, y, x)} and got
+
+
+def test_upper_median_of_ties_and_spread(spark):
+    rng = random.Random(3)
+    groups = {"ties": [1.5] * 40, "one": [7.0], "two": [2.0, 1.0], "mixed": [0.0] * 5 + [rng.gauss(0, 9) for _ in range(500)] + [1e6], "near": [5 + k * 1e-9 for k in range(50)]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("ties", None), ("none", None)]
+    got = {r.g: r.m for r in spatial.upper_median(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", "m").collect()}
+    assert got == {g: sorted(xs)[len(xs) // 2] for g, xs in groups.items()}

@@ -145,3 +145,11 @@ def stream_digest(df: DataFrame, order: list[str], line: Column, block: int = 25
         level += 1
         if (left := rows.count()) <= 1 and level > 1 or not left:
             return rows.select(F.col("line").alias("digest")) if left else df.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("digest"))
+
+
+def majority(rows: DataFrame, key: str, choice: str, share: float = 0.5) -> DataFrame:
+    """(key, winner, runners_up): the most frequent choice of each key, ties to the lesser, and the others with `share` of its count."""
+    counts = rows.groupBy(key, choice).agg(F.count("*").alias("_n"))
+    best = counts.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(choice).alias("winner"))).alias("_b")).select(key, (-F.col("_b.n")).alias("_most"), "_b.winner")
+    close = (F.col(choice) != F.col("winner")) & (F.col("_n") >= F.col("_most") * share)
+    return counts.join(best, key).groupBy(key, "winner").agg(F.sort_array(F.collect_list(F.when(close, F.col(choice)))).alias("runners_up"))

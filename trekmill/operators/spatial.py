@@ -153,14 +153,25 @@ def circular_envelope(points: DataFrame, by: str) -> DataFrame:
     return widest.select(by, "g.west", (-F.col("g.first")).alias("east")).join(lats, by)
 
 
+def upper_median(rows: DataFrame, by: list[str], axis: str, name: str, bins: int = 1024) -> DataFrame:
+    """(by, name): of each group element n // 2 in order of axis. No group is sorted as a whole.
+
+    Rows are counted in bins between the group's bounds; of the bin that holds the element only its distinct values, with their
+    counts, are put in order.
+    """
+    bounds = rows.groupBy(*by).agg(F.min(axis).alias("_lo"), F.max(axis).alias("_hi"), F.floor(F.count(axis) / 2).alias("_at"))
+    share = (F.col(axis) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    binned = rows.select(*by, axis).where(F.col(axis).isNotNull()).join(bounds, by).withColumn("_bin", F.least(F.coalesce(F.floor(share * bins), F.lit(0)), F.lit(bins - 1)))
+    upto = lambda order: F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    counts = binned.groupBy(*by, "_bin", "_at").agg(F.count("*").alias("_n")).withColumn("_upto", upto("_bin"))
+    chosen = counts.where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("_n") <= F.col("_at"))).select(*by, "_bin", (F.col("_at") - (F.col("_upto") - F.col("_n"))).alias("_left"))
+    values = binned.join(chosen, [*by, "_bin"]).groupBy(*by, axis, "_left").agg(F.count("*").alias("_n")).withColumn("_upto", upto(axis))
+    return values.where(F.col("_upto") > F.col("_left")).groupBy(*by).agg(F.min(axis).alias(name))
+
+
 def upper_median_point(points: DataFrame, by: list[str], key: str) -> DataFrame:
     """Of each group the actual point nearest to the per-axis upper median (element n // 2 in order)."""
-    def median(axis: str) -> DataFrame:
-        w = Window.partitionBy(*by)
-        ranked = points.select(*by, axis).withColumns({"_r": F.row_number().over(w.orderBy(axis)), "_n": F.count("*").over(w)})
-        return ranked.where(F.col("_r") == F.floor(F.col("_n") / 2) + 1).select(*by, F.col(axis).alias(f"m_{axis}"))
-
-    both = points.join(median("lat"), by).join(median("lon"), by)
+    both = points.join(upper_median(points, by, "lat", "m_lat"), by).join(upper_median(points, by, "lon", "m_lon"), by)
     far = F.pow(F.col("lat") - F.col("m_lat"), 2) + F.pow(F.col("lon") - F.col("m_lon"), 2)
     return both.groupBy(*by).agg(F.min_by(key, F.struct(F.round(far, 12), F.col(key))).alias(key))
 

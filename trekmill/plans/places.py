@@ -343,6 +343,13 @@ def address_search(spark, d):
     return k.where(F.col("key").startswith("red") | F.col("key").contains(" red")).withColumn("kind", kind).orderBy("kind", "key", "id").limit(40)
 
 
+@plan("x7_majority", "WITH c AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL), b AS (SELECT c_mktsegment, max(n) AS most, arg_min(c_nationkey, (-n, c_nationkey)) AS winner FROM c GROUP BY 1) SELECT c_mktsegment, winner, coalesce(string_agg(c_nationkey, ',' ORDER BY c_nationkey) FILTER (c_nationkey <> winner AND n >= most * 0.9), '') AS runners_up FROM c JOIN b USING (c_mktsegment) GROUP BY ALL")
+def majority(spark, d):
+    """The nation that most customers of a segment come from, and those close behind."""
+    won = relational.majority(table(spark, d, "customer"), "c_mktsegment", "c_nationkey", 0.9)
+    return won.select("c_mktsegment", "winner", F.array_join(F.transform("runners_up", lambda x: x.cast("string")), ",").alias("runners_up"))
+
+
 @plan("x7_smallest_box", """WITH b AS (SELECT n_nationkey AS box, n_nationkey * 40 AS lo, n_nationkey * 40 + 100 + n_nationkey % 4 * 50 AS hi FROM nation), p AS (SELECT p_partkey, p_partkey % 1200 AS v FROM part)
 SELECT p_partkey, arg_min(box, (hi - lo, box)) AS box FROM p JOIN b ON v BETWEEN lo AND hi GROUP BY p_partkey""")
 def smallest_box(spark, d):
