@@ -5,11 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-
-import pandas as pd
 from functools import reduce
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
