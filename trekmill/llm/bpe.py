@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from trekmill.llm.common import small_batches
+
 #: White space as the pattern's \s has it.
 SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: Endings that the pattern cuts off after an apostrophe.
@@ -256,6 +258,10 @@ class Encoder:
             yield ids, [e - begin for e in ends]
             first = upto
 
+    def forget(self) -> None:
+        """Lets go of the slices met, so that an idle worker holds none of them."""
+        self.known, self.before = {}, {}
+
     def decode(self, ids) -> bytes:
         """The bytes of ids, strictly: an unknown id is an error."""
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -279,27 +285,29 @@ def _lists(values: array, sizes: list[int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(np.cumsum([0, *sizes], dtype=np.int32), np.frombuffer(values, np.int32))
 
 
-def _texts(batch: pa.Array) -> Iterator[str]:
-    for at in range(0, len(batch), _TEXTS):
-        for t in batch.slice(at, _TEXTS).to_pylist():
-            yield t or ""
+def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Small parts of each batch, which are answered one by one, so that a worker never holds a whole batch's ids."""
+    for batch in batches:
+        for at in range(0, len(batch), _TEXTS):
+            yield batch.slice(at, _TEXTS)
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """docs with `ids` and `slice_ends` (byte offsets at which the pre-tokeniser's slices end).
 
     path: a rank file that workers can read. Special tokens are not recognised. Null text is as empty: no ids. Columns
-    with these names are replaced; rows are neither dropped nor merged. A worker holds a batch's ids as packed integers.
+    with these names are replaced; rows are neither dropped nor merged. A worker holds the ids of 256 texts at once, as packed integers.
     With `decoded` there is also what `decode` gives for the ids, without a second pass of them through the workers.
     """
+    small_batches(docs)
     fields = _ENCODED.names + ["decoded"] * decoded
 
     @arrow_udf(StructType(_ENCODED.fields + [StructField("decoded", BinaryType())] * decoded))
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path)
-        for batch in texts:
+        for part in _parts(texts):
             ids, ends, n_ids, n_ends, again = array("i"), array("i"), [], [], []
-            for i, e in own.encode_all(_texts(batch)):
+            for i, e in own.encode_all(t or "" for t in part.to_pylist()):
                 ids.extend(i)
                 ends.extend(e)
                 n_ids.append(len(i))
@@ -307,6 +315,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", decoded: bool = F
                 if decoded:
                     again.append(own.decode(i))
             yield pa.StructArray.from_arrays([_lists(ids, n_ids), _lists(ends, n_ends), *[pa.array(again, pa.binary())] * decoded], fields)
+        own.forget()
 
     return docs.withColumn("_e", run(F.col(text_col))).withColumns({c: F.col(f"_e.{c}") for c in fields}).drop("_e")
 
@@ -317,8 +326,8 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     @arrow_udf(BinaryType())
     def run(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path)
-        for batch in ids:
-            yield pa.array([own.decode(row.values.to_pylist() if row.is_valid else ()) for row in batch], pa.binary())
+        for part in _parts(ids):
+            yield pa.array([own.decode(row.values.to_pylist() if row.is_valid else ()) for row in part], pa.binary())
 
     return docs.withColumn("decoded", run(F.col(ids_col)))
 
@@ -329,6 +338,8 @@ def digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     As encode and decode; the ids and bytes themselves don't leave the workers.
     """
 
+    small_batches(docs)
+
     @pandas_udf(_DIGEST)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
@@ -337,5 +348,6 @@ def digests(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
         for batch in texts:
             rows = [(len(ids), sha(" ".join(map(digits, ids)).encode()).hexdigest(), sha(own.decode(ids)).hexdigest()) for ids, _ in own.encode_all([t or "" for t in batch])]
             yield pd.DataFrame(rows, columns=_DIGEST.names)
+        own.forget()
 
     return docs.withColumn("_d", run(F.col(text_col))).withColumns({n: F.col(f"_d.{n}") for n in _DIGEST.names}).drop("_d")

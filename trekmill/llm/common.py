@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Texts in an Arrow batch at most.
+BATCH_ROWS = 2000
+
 #: bytes.translate table that lower-cases A-Z and leaves UTF-8 sequences alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -40,6 +43,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> None:
+    """Lets Spark hand Python at most so many texts at once in this session; a smaller setting of the user's stays.
+
+    Spark's own 10,000 take some hundred megabytes a worker on both sides, as texts of some kilobytes.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+
+
 def lower_ascii(text: Column) -> Column:
     """text with A-Z in lower case and all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -6,8 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Characters that are hashed at once.
-CHUNK = 1 << 20
+#: Characters that are hashed, or counted, at once.
+CHUNK = 1 << 21
 #: Odd multipliers of the hashes.
 _BASE, _MIX, _TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
 _SHIFT = np.uint64(29)

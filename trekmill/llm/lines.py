@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from trekmill.llm.common import cut, splittable
+from trekmill.llm.common import cut, small_batches, splittable
 from trekmill.llm.hashing import chunks, doubled, joined_words, mixed, word_places
 from trekmill.operators.relational import numbered
 
@@ -191,6 +191,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     doc_id and text are one place, so they lose the same words. An empty table stays empty.
     """
 
+    small_batches(docs)
+
     @pandas_udf("text string, n_removed long")
     def left(text: pd.Series, later: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(None, 0) if t is None else _without(t, x, min_words) for t, x in zip(text, later, strict=True)], columns=["text", "n_removed"])

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from trekmill.llm.common import LOWER, cut
+from trekmill.llm.common import LOWER, cut, small_batches
+from trekmill.llm.hashing import chunks
 
 WHITE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -85,21 +86,20 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each language in a batch: word counts, and how many texts have each share of each class."""
+    """Of each language in some texts of a batch: word counts, and how many texts have each share of each class."""
     for batch in batches:
-        out = []
         for lang, texts in batch.groupby("lang").text:
-            words: Counter[bytes] = Counter()
-            shares: Counter[str] = Counter()
-            for t in texts:
-                words.update(lexical(t))
-                if len(t) >= LEAST_CHARS:
-                    bins = (char_counts(t) * BINS + len(t) // 2) // len(t)
-                    shares.update(f" {c}:{b}" for c, b in enumerate(bins.tolist()))
-            out.append(pd.DataFrame({"lang": lang, "word": [w.decode("utf-8", "replace") for w in words], "n": list(words.values())}))
-            out.append(pd.DataFrame({"lang": lang, "word": list(shares), "n": list(shares.values())}))
-        if out:
-            yield pd.concat(out)
+            texts = texts.tolist()
+            for first, upto in chunks(texts):  # so that a worker never holds the words of a whole batch
+                words: Counter[bytes] = Counter()
+                shares: Counter[str] = Counter()
+                for t in texts[first:upto]:
+                    words.update(lexical(t))
+                    if len(t) >= LEAST_CHARS:
+                        bins = (char_counts(t) * BINS + len(t) // 2) // len(t)
+                        shares.update(f" {c}:{b}" for c, b in enumerate(bins.tolist()))
+                names = [w.decode("utf-8", "replace") for w in words] + list(shares)
+                yield pd.DataFrame({"lang": lang, "word": names, "n": [*words.values(), *shares.values()]})
 
 
 def references(docs: DataFrame, common: int = COMMON_WORDS, least_docs: int = 20) -> dict[str, tuple[np.ndarray, list[str], np.ndarray]]:
@@ -111,6 +111,7 @@ def references(docs: DataFrame, common: int = COMMON_WORDS, least_docs: int = 20
     rows and at most 11 * 1001 bins for a language, of which there are no more than languages. Ties of words go to
     the lesser by code point. No such language: {}.
     """
+    small_batches(docs)
     used = docs.select("lang", "text").where("lang is not null and text is not null and text <> ''")
     langs = used.groupBy("lang").count().where(F.col("count") >= least_docs).select("lang")
     counts = used.mapInPandas(_tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
 
-from trekmill.llm.common import LOWER, cut, splittable, words_of
+from trekmill.llm.common import LOWER, cut, small_batches, splittable, words_of
 from trekmill.llm.graph import components
 from trekmill.llm.hashing import chunks, doubled, joined_words, mixed
 
@@ -90,6 +90,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, id_col: str = "doc_id",
     Repeated rows are kept. An empty table gives an empty result; other columns are ignored.
     Copies share a fingerprint, so they cost one row in all that follows the first grouping.
     """
+    small_batches(docs)
     prints = cut(docs.select(F.col(id_col).alias("doc_id"), _fingerprint(F.col(text_col)).alias("fp")))
     firsts = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(near_links(firsts.select("fp"), max_bits))
@@ -174,6 +175,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     word are alike. Rows without a doc_id come last; of rows that repeat both doc_id and text one stays. Documents are told
     apart by doc_id and text. All columns stay; an empty table stays empty.
     """
+    small_batches(docs)
     place = {"_no_id": F.col("doc_id").isNull(), "_doc": F.coalesce("doc_id", F.lit(0)).cast("long"), "_hash": F.xxhash64("text")}
     keyed = docs.select(*(e.alias(c) for c, e in place.items()), "text")
     rows = keyed.select(*place, _blocks("text").alias("blocks"))
