@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from trekmill.llm.common import LOWER, cut, splittable
+from trekmill.llm.common import LOWER, cut, small_batches, splittable
+from trekmill.llm.hashing import chunks, joined_words, mixed
 
 #: Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -40,46 +40,28 @@ TEMPLATES = (
 GRAM, NEIGHBOURS, COVERED = 2, 2, 0.8
 
 _WORD_BYTES = bytes(LOWER[b] if b >= 128 or chr(LOWER[b]) in "0123456789abcdefghijklmnopqrstuvwxyz" else 32 for b in range(256))
-_KNOWN = 1 << 20
-_known: dict[bytes, int] = {}
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
-
-
-def _hash(word: bytes) -> int:
-    h = _known.get(word)
-    if h is None:
-        if len(_known) >= _KNOWN:
-            _known.clear()
-        h = _known[word] = xxhash.xxh64_intdigest(word)
-    return h
-
-
-def grams(found: list[bytes]) -> np.ndarray:
-    """Rolling hashes of neighbouring words, as signed 64-bit integers."""
-    if len(found) < GRAM:
-        return np.zeros(0, np.int64)
-    known = _known.get
-    h = np.array([known(w) or _hash(w) for w in found], np.uint64)
-    mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + (h[:-1] >> np.uint64(31)))
-    return (mixed * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, hash) of all pairs of neighbouring words of some texts, hashes as signed integers."""
+    words, text, firsts = joined_words([(t or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES) for t in texts])
+    pair = np.flatnonzero(text[:-1] == text[1:])
+    return text[pair], pair - firsts[text[pair]], mixed(words[pair], words[pair + 1]).view(np.int64)
 
 
 def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = [grams(words(t)) for t in batch.text]
-        sizes = [len(g) for g in found]
-        if sum(sizes):
-            yield pd.DataFrame({"doc": np.repeat(batch.doc.to_numpy(), sizes), "at": np.concatenate([np.arange(n) for n in sizes]), "gram": np.concatenate(found)})
+        texts, docs = batch.text.tolist(), batch.doc.to_numpy()
+        for first, upto in chunks(texts):
+            text, at, gram = grams(texts[first:upto])
+            yield pd.DataFrame({"doc": docs[first + text], "at": at, "gram": gram})
 
 
 def templates(spark, phrases=(*BASE, *TEMPLATES)) -> DataFrame:
     """(gram, template, place, of): the places of every gram in the templates. A template needs two words or more."""
     rows = []
     for i, (phrase, _) in enumerate(phrases):
-        g = grams(words(phrase)).tolist()
+        g = grams([phrase])[2].tolist()
         if not g:
             raise ValueError(f"a template needs {GRAM} words or more: {phrase!r}")
         rows += [(x, i, place, len(g)) for place, x in enumerate(g)]
@@ -117,6 +99,7 @@ def matches(docs: DataFrame, phrases=(*BASE, *TEMPLATES), exact: int = len(BASE)
     neighbouring diagonals give the best stays. The templates are a fixed list, so they are broadcast; a diagonal has
     at most a hit for each gram of its template, so no group is large.
     """
+    small_batches(docs)
     places = templates(docs.sparkSession, phrases)
     all_grams = docs.select("doc", "text").where("text is not null").mapInPandas(_positions, "doc long, at long, gram long")
     hits = cut(all_grams.join(F.broadcast(places), "gram").select("doc", "template", "at", "place", "of").distinct())
