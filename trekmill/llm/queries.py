@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trekmill.llm import bpe, ctph, langid, licenses, lines, mixing, ngram, quality, secrets, simhash
+from trekmill.llm import bpe, crosstok, ctph, langid, licenses, lines, mixing, ngram, quality, secrets, simhash, whitening
 from trekmill.llm.common import cut, table
 
 
@@ -79,8 +79,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")
 
 
+def op12_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links of every document between two tokenizers, and the links' support in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = crosstok.aligned_support(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First four whitened coordinates of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_mixing, op5_ctph, op6_ngram, op7_licenses, op8_langid, op9_secrets, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_mixing, op5_ctph, op6_ngram, op7_licenses, op8_langid, op9_secrets, op10_line_dedup, op12_crosstok, op13_whitening)}
 
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
