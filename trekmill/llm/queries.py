@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trekmill.llm import bpe, crosstok, ctph, langid, licenses, lines, mixing, ngram, quality, secrets, simhash, whitening
+from trekmill.llm import bpe, crosstok, ctph, langid, licenses, lines, mixing, ngram, quality, secrets, simhash, toxicity, whitening
 from trekmill.llm.common import cut, table
 
 
@@ -79,6 +79,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_removed", "text")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labelled documents of four parts of five."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _part(5, 0))
+    model = toxicity.train(docs.where("not held_out"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op12_crosstok(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token groups and links of every document between two tokenizers, and the links' support in all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -92,7 +99,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_mixing, op5_ctph, op6_ngram, op7_licenses, op8_langid, op9_secrets, op10_line_dedup, op12_crosstok, op13_whitening)}
+    return {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_mixing, op5_ctph, op6_ngram, op7_licenses, op8_langid, op9_secrets, op10_line_dedup, op11_toxicity, op12_crosstok, op13_whitening)}
 
 
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
