@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekmill.functions.clock import runs_on, service_minutes
-from trekmill.operators.temporal import as_of
+from trekmill.operators.temporal import as_of, band_join
 
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 
@@ -49,20 +49,24 @@ def board(trips: DataFrame, stops: DataFrame, days: DataFrame, wanted: DataFrame
 
     trips: trip_id, service_id, pattern, start; stops: pattern, stop_id, offset; days: service_id, day; wanted: stop_id.
     Yesterday's, today's and tomorrow's service days are met, each with minutes that may pass 24 hours. Up to `grace` days
-    past validity the same weekday of the week before stands in and rows are marked as estimated. The window on
-    start + offset goes into the join as a range on start, since pattern and offset come from the small side.
+    past validity the same weekday of the week before stands in and rows are marked as estimated. The window on start + offset
+    is a range on start for each wanted stop of a pattern and shift, so trips meet only the stops that they reach in time.
     """
     here = stops.join(wanted, "stop_id", "left_semi")
-    base = F.lit(today).cast("date")
-    shifts = trips.sparkSession.createDataFrame([(-1,), (0,), (1,)], "shift int")
-    day = F.date_add(base, F.col("shift"))
-    end = F.lit(valid_until).cast("date")
-    late = (day > end) & (day <= F.date_add(end, grace))
-    asked = shifts.select("shift", F.coalesce(late, F.lit(False)).alias("estimated"), F.when(F.coalesce(late, F.lit(False)), F.date_sub(day, 7)).otherwise(day).alias("day"))
-    running = days.join(F.broadcast(asked), "day")  # three rows
-    calls = trips.join(running, "service_id").join(here, "pattern").withColumn("minute", F.col("start") + F.col("offset"))
+    base, end = F.lit(today).cast("date"), F.lit(valid_until).cast("date")
+
+    def shifted(n: int):
+        day = F.date_add(base, n)
+        late = F.coalesce((day > end) & (day <= F.date_add(end, grace)), F.lit(False))
+        return F.struct(F.lit(n).alias("shift"), late.alias("estimated"), F.when(late, F.date_sub(day, 7)).otherwise(day).alias("day"))
+
+    asked = here.select("*", F.explode(F.array(*map(shifted, (-1, 0, 1)))).alias("s")).select("pattern", "stop_id", "seq", "offset", "s.*")
+    at = F.lit(now) - F.col("shift") * 1440 - F.col("offset")
+    spans = asked.withColumns({"from_start": at - behind, "to_start": at + ahead})
+    met = band_join(trips, spans, ["pattern"], "start", "from_start", "to_start", ahead + behind + 1)
+    calls = met.join(days, ["service_id", "day"]).withColumn("minute", F.col("start") + F.col("offset"))
     calls = calls.withColumn("in_minutes", F.col("minute") + F.col("shift") * 1440 - now)
-    return calls.where(F.col("in_minutes").between(-behind, ahead)).select("trip_id", "stop_id", "day", "minute", "in_minutes", "estimated", "shift", "seq").dropDuplicates(["trip_id", "stop_id", "day", "minute"])
+    return calls.select("trip_id", "stop_id", "day", "minute", "in_minutes", "estimated", "shift", "seq").dropDuplicates(["trip_id", "stop_id", "day", "minute"])
 
 
 def with_delays(calls: DataFrame, updates: DataFrame, today: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trekmill.functions import clock, geo, markup
-from trekmill.operators import journeys, matching, relational, spatial, timetable
+from trekmill.operators import journeys, live, matching, relational, spatial, timetable
 from trekmill.plans.base import HAVERSINE, PLACE, PLANAR, STOP, degrees, places, plan, stops, table
 
 #: Calls of trips: one for each order and line number, at a supplier's stop.
@@ -90,6 +90,50 @@ def live_board(spark, d):
     return timetable.with_delays(_board(spark, d), _news(spark, d)).select("trip_id", "stop_id", "day", F.col("delay").cast("long"), F.col("in_minutes").cast("long"))
 
 
+#: A feed over the calls: dated and undated trips, some twice, trips known by route and start alone, events of all kinds.
+FEED = f"""{CALL}, run AS (SELECT trip_id, min(minute) * 60 AS start_time FROM call GROUP BY trip_id),
+feed AS (SELECT trip_id * 10 + 1 AS trip_ref, trip_id, CASE WHEN trip_id % 3 > 0 THEN DATE '{TODAY}' END AS start_date, NULL AS route_id, NULL AS start_time, trip_id % 17 = 0 AS cancelled, trip_id % 19 = 0 AS deleted, CASE WHEN trip_id % 5 = 0 THEN trip_id % 900 END AS delay, trip_id AS of FROM run WHERE trip_id % 2 = 0
+UNION ALL SELECT trip_id * 10 + 2, trip_id, NULL, NULL, NULL, false, false, 120, trip_id FROM run WHERE trip_id % 12 = 0
+UNION ALL SELECT trip_id * 10 + 3, NULL, DATE '{TODAY}', trip_id % 50, start_time, trip_id % 13 = 0, false, 300, trip_id FROM run WHERE trip_id % 4 = 1),
+fstop AS (SELECT trip_ref, seq AS pos, stop_id, CASE WHEN (of + seq) % 6 > 0 THEN epoch(DATE '{TODAY}') + minute * 60 + (of * 31 + seq * 17) % 1500 - 300 END AS time, CASE WHEN (of + seq) % 4 > 0 THEN (of * 31 + seq * 17) % 1200 - 200 + CASE WHEN of % 29 = 0 THEN 90000 ELSE 0 END END AS delay,
+(of + seq) % 23 = 0 AS skipped, (of * 3 + seq) % 13 = 0 AS no_data, (of + seq) % 3 = 0 AS from_arrival FROM feed JOIN call ON call.trip_id = of WHERE (of + seq * 3) % 5 < 3 AND of % 14 > 0)"""
+
+
+def _feed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    calls = _calls(spark, d)
+    run = calls.groupBy("trip_id").agg((F.min("minute") * 60).cast("int").alias("start_time"))
+    t, none, day = F.col("trip_id"), F.lit(None), F.lit(TODAY).cast("date")
+    row = lambda n, id_, date, route, start, cancelled, deleted, delay: [(t * 10 + n).alias("trip_ref"), id_.cast("string").alias("trip_id"), date.cast("date").alias("start_date"), route.cast("string").alias("route_id"), none.cast("int").alias("direction_id"), start.cast("int").alias("start_time"), cancelled.alias("cancelled"), deleted.alias("deleted"), delay.cast("long").alias("delay"), t.alias("of")]
+    no = F.lit(False)
+    trips = run.where(t % 2 == 0).select(*row(1, t, F.when(t % 3 > 0, day), none, none, t % 17 == 0, t % 19 == 0, F.when(t % 5 == 0, t % 900)))
+    trips = trips.unionByName(run.where(t % 12 == 0).select(*row(2, t, none, none, none, no, no, F.lit(120))))
+    trips = trips.unionByName(run.where(t % 4 == 1).select(*row(3, none, day, t % 50, F.col("start_time"), t % 13 == 0, no, F.lit(300))))
+    of, seq = F.col("of"), F.col("seq")
+    met = trips.select("trip_ref", "of").join(calls, F.col("of") == calls.trip_id).where(((of + seq * 3) % 5 < 3) & (of % 14 > 0))
+    noise = of * 31 + seq * 17
+    stops = met.select("trip_ref", seq.alias("pos"), "stop_id", F.when((of + seq) % 6 > 0, F.unix_timestamp(day.cast("timestamp")) + F.col("minute") * 60 + noise % 1500 - 300).alias("time"), F.when((of + seq) % 4 > 0, noise % 1200 - 200 + F.when(of % 29 == 0, 90_000).otherwise(0)).alias("delay"), ((of + seq) % 23 == 0).alias("skipped"), ((of * 3 + seq) % 13 == 0).alias("no_data"), ((of + seq) % 3 == 0).alias("from_arrival"))
+    asked = calls.join(run, "trip_id").select("trip_id", "seq", "stop_id", day.alias("day"), (F.unix_timestamp(day.cast("timestamp")) + F.col("minute") * 60).alias("scheduled"), (F.col("minute") - 600).alias("in_minutes"), (t % 31 == 0).alias("estimated"), (t % 50).cast("string").alias("route_id"), "start_time")
+    return asked, trips.drop("of"), stops
+
+
+@plan("q1_realtime", f"""WITH {FEED}, asked AS (SELECT c.*, r.start_time, epoch(DATE '{TODAY}') + minute * 60 AS scheduled, c.trip_id % 31 = 0 AS estimated,
+  CASE WHEN c.trip_id % 31 > 0 THEN coalesce((SELECT min(trip_ref) FROM feed f WHERE f.trip_id = c.trip_id AND start_date = DATE '{TODAY}'), (SELECT CASE WHEN count(*) = 1 THEN min(trip_ref) END FROM feed f WHERE f.trip_id = c.trip_id AND start_date IS NULL),
+  (SELECT min(trip_ref) FROM feed f WHERE f.trip_id IS NULL AND f.route_id = c.trip_id % 50 AND f.start_time = r.start_time)) END AS trip_ref FROM call c JOIN run r USING (trip_id)),
+m AS (SELECT a.*, f.cancelled AS off, f.delay AS trip_delay FROM asked a LEFT JOIN feed f USING (trip_ref) WHERE NOT coalesce(f.deleted, false)),
+here AS (SELECT m.trip_id, m.seq, arg_min({{'time': time, 'delay': s.delay, 'skipped': skipped, 'no_data': no_data, 'from_arrival': from_arrival}}, (coalesce(abs(time - coalesce(s.delay, 0) - scheduled), 1e18), pos)) AS p FROM m JOIN fstop s USING (trip_ref, stop_id) GROUP BY ALL),
+planned AS (SELECT trip_ref, pos, delay, time - delay AS planned, EXISTS (SELECT 1 FROM fstop b WHERE b.trip_ref = s.trip_ref AND b.pos > s.pos AND b.no_data) AS blocked FROM fstop s WHERE time - delay IS NOT NULL AND NOT skipped),
+before AS (SELECT m.trip_id, m.seq, arg_max({{'delay': p.delay, 'blocked': blocked}}, (planned, -pos)) AS b FROM m JOIN planned p ON m.trip_ref = p.trip_ref AND planned <= scheduled GROUP BY ALL),
+s AS (SELECT m.*, p, coalesce(off OR p.skipped, false) AS cancelled, CASE WHEN p.no_data THEN NULL ELSE coalesce(p.delay, CASE WHEN NOT p.from_arrival THEN greatest(least(floor((p.time - scheduled) / 60) * 60, 86400), -86400) END,
+  CASE WHEN b IS NOT NULL THEN CASE WHEN NOT b.blocked THEN b.delay END WHEN trip_ref NOT IN (SELECT trip_ref FROM planned) THEN trip_delay END) END AS seconds FROM m LEFT JOIN here USING (trip_id, seq) LEFT JOIN before USING (trip_id, seq)),
+r AS (SELECT *, CASE WHEN NOT cancelled AND abs(seconds) < 86400 THEN CAST(floor((seconds + 30) / 60) AS BIGINT) END AS minutes FROM s)
+SELECT trip_id, seq, stop_id, cancelled, minutes AS delay, minute - 600 + coalesce(minutes, 0) AS in_minutes FROM r""")
+def realtime(spark, d):
+    """All of a day's calls with live events: matched by id and day, by id alone, by route and start; barriers, skips, arrivals."""
+    asked, trips, stops = _feed(spark, d)
+    found = live.resolve(asked, trips, stops)
+    return found.select(F.col("trip_id").cast("long").alias("trip_id"), "seq", "stop_id", "cancelled", F.col("delay").cast("long").alias("delay"), F.col("in_minutes").cast("long").alias("in_minutes"))
+
+
 @plan("q1_merged_lines", f"""WITH {LIVE}, l AS (SELECT *, stop_id % 10 AS line, trip_id % 4 = 0 AS cancelled FROM live), n AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY in_minutes, trip_id) AS nth FROM l),
 a AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY in_minutes, trip_id) AS k FROM n WHERE nth > 1 AND NOT cancelled)
 SELECT line, min(in_minutes) AS in_minutes, coalesce((SELECT string_agg(in_minutes, ',' ORDER BY in_minutes) FROM a WHERE a.line = n.line AND k <= 2), '') AS later FROM n GROUP BY line""")
