@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 from trekmill.llm.common import cut
 
 #: Pieces that a worker remembers, about, and characters of text aligned at once.
-PIECES, PART_CHARS = 400_000, 1_000_000
+PIECES, PART_CHARS = 200_000, 1_000_000
 #: Pairs whose counts every worker gets, at most; the others are joined. Sums that a counting task holds, at most.
 HEAD_PAIRS, TASK_PAIRS = 1_000_000, 1_000_000
 
@@ -198,7 +198,7 @@ class Aligner:
             self.forget()
         cut = [([" " + t] if self.whole else pieces_of(t)) if t else [] for t in texts]
         self._align_new([p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in self.at])
-        counts, links = np.array(self.counts).reshape(-1, 4), np.array(self.links)
+        counts, links = np.frombuffer(self.counts, np.int64).reshape(-1, 4), np.frombuffer(self.links, np.int64)
         first = np.concatenate(([0], np.cumsum(counts[:, 3])))
         rows, get, groups = [], self.at.__getitem__, self.groups.__getitem__
         for pieces in cut:
