@@ -180,11 +180,15 @@ r{k} AS (SELECT stop_id, m.arrival, {k} AS round, by_vehicle FROM m{k} m LEFT JO
 _JOURNEY = f"WITH {CALL}, {STOP}, {_FOOT}, {_rounds(3)}, reached AS (" + " UNION ALL ".join(f"SELECT stop_id, round, arrival FROM r{k}" for k in range(4)) + ")"
 
 
-def _reached(spark: SparkSession, d: str) -> DataFrame:
+def _network(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     calls = _calls(spark, d).select("trip_id", "seq", "stop_id", F.col("minute").alias("arrival"), F.col("minute").alias("departure"))
     s = degrees(stops(spark, d))
     near = spatial.within_distance(s.select(F.col("stop_id").alias("from_id"), "lat", "lon"), s.select(F.col("stop_id").alias("to_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")), 30_000)
-    foot = near.where("from_id <> to_id").select("from_id", "to_id", F.ceil(F.col("meters") / 5000).alias("walk"))
+    return calls, near.where("from_id <> to_id").select("from_id", "to_id", F.ceil(F.col("meters") / 5000).alias("walk")), s
+
+
+def _reached(spark: SparkSession, d: str) -> DataFrame:
+    calls, foot, s = _network(spark, d)
     access = s.where("stop_id in (3, 17)").select("stop_id", F.lit(480).cast("long").alias("arrival"))
     return journeys.earliest_arrivals(calls, foot, access, rounds=3)
 
@@ -202,6 +206,47 @@ def itineraries(spark, d):
     return journeys.itineraries(_reached(spark, d), target)
 
 
+_ENDS = """access AS (SELECT r_regionkey AS q, s_suppkey AS stop_id, 480 + s_suppkey % 7 AS arrival, s_suppkey % 7 AS walk FROM region JOIN supplier ON s_suppkey % 29 = r_regionkey * 4 + 1),
+egress AS (SELECT r_regionkey AS q, s_suppkey AS stop_id, s_suppkey % 4 AS walk FROM region JOIN supplier ON s_suppkey % 31 = r_regionkey * 5 + 2)"""
+
+
+def _labelled(n: int) -> str:
+    """CTEs of n rounds that keep where each label came from, and the exits of each round."""
+    far = "9223372036854775807"
+    parts = ["f0 AS (SELECT q, stop_id, arrival, false AS v FROM access)", "t0 AS (SELECT DISTINCT q, CAST(NULL AS BIGINT) AS aim FROM access)"]
+    for k in range(1, n + 1):
+        seen = " UNION ALL ".join(f"SELECT q, stop_id, arrival FROM f{i}" for i in range(k))
+        parts.append(f"""k{k} AS (SELECT q, stop_id, min(arrival) AS best FROM ({seen}) GROUP BY ALL),
+b{k} AS (SELECT q, trip_id, min(seq) AS from_seq, arg_min(stop_id, seq) AS from_stop, arg_min(minute, seq) AS departure, arg_min(v, seq) AS from_v FROM call JOIN f{k - 1} USING (stop_id) WHERE minute >= arrival + CASE WHEN v THEN 1 ELSE 0 END GROUP BY ALL),
+c{k} AS (SELECT q, c.stop_id, minute AS arrival, trip_id, seq AS to_seq, from_seq, from_stop, departure, from_v FROM call c JOIN b{k} USING (trip_id) WHERE seq > from_seq),
+d{k} AS (SELECT * FROM c{k} LEFT JOIN k{k} USING (q, stop_id) JOIN t{k - 1} USING (q) WHERE arrival < least(coalesce(best, {far}), coalesce(aim, {far})) QUALIFY row_number() OVER (PARTITION BY q, stop_id ORDER BY arrival, trip_id, to_seq) = 1),
+w{k} AS (SELECT d.q, to_id AS stop_id, d.arrival + walk + 1 AS arrival, d.stop_id AS from_stop, d.arrival AS departure FROM d{k} d JOIN foot ON d.stop_id = from_id JOIN t{k - 1} USING (q) LEFT JOIN k{k} kk ON kk.q = d.q AND kk.stop_id = to_id LEFT JOIN d{k} o ON o.q = d.q AND o.stop_id = to_id
+  WHERE d.arrival + walk + 1 < least(coalesce(kk.best, {far}), coalesce(o.arrival, {far}), coalesce(t{k - 1}.aim, {far})) QUALIFY row_number() OVER (PARTITION BY d.q, to_id ORDER BY d.arrival + walk + 1, d.stop_id) = 1),
+f{k} AS (SELECT q, stop_id, min(arrival) AS arrival, arg_min(v, (arrival, NOT v)) AS v FROM (SELECT q, stop_id, arrival, true AS v FROM d{k} UNION ALL SELECT q, stop_id, arrival, false FROM w{k}) GROUP BY ALL),
+e{k} AS (SELECT f.q, {k} AS rides, f.stop_id, f.v, f.arrival, f.arrival + walk AS total FROM f{k} f JOIN egress USING (q, stop_id) JOIN t{k - 1} USING (q) WHERE (f.q, f.stop_id) IN (SELECT (q, stop_id) FROM d{k}) AND (aim IS NULL OR f.arrival + walk < aim) QUALIFY row_number() OVER (PARTITION BY f.q ORDER BY total, f.stop_id) = 1),
+t{k} AS (SELECT q, coalesce(total, aim) AS aim FROM t{k - 1} LEFT JOIN e{k} USING (q))""")
+    label = " UNION ALL ".join(f"SELECT q, stop_id, {k} AS round, true AS v, arrival, from_stop, {k - 1} AS from_round, from_v, departure, trip_id, from_seq, to_seq FROM d{k} UNION ALL SELECT q, stop_id, {k}, false, arrival, from_stop, {k}, true, departure, NULL, NULL, NULL FROM w{k}" for k in range(1, n + 1))
+    ends = " UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(1, n + 1))
+    return ",\n".join(parts) + f""", label AS ({label}), ends AS ({ends}),
+chain AS (SELECT q, rides, 1 AS back, stop_id, rides AS round, v FROM ends UNION ALL SELECT c.q, rides, back + 1, from_stop, from_round, from_v FROM chain c JOIN label l ON c.q = l.q AND c.stop_id = l.stop_id AND c.round = l.round AND c.v = l.v),
+legs AS (SELECT q, rides, back, CASE WHEN v THEN 'ride' ELSE 'walk' END AS kind, from_stop, stop_id AS to_stop, departure, arrival, trip_id, from_seq, to_seq FROM chain JOIN label USING (q, stop_id, round, v)
+UNION ALL SELECT q, rides, 0, 'walk', stop_id, NULL, arrival, total, NULL, NULL, NULL FROM ends),
+firsts AS (SELECT q, rides, max(back) + 1 AS back, arg_max(from_stop, back) AS stop_id, arg_max(departure, back) AS departure FROM legs GROUP BY ALL)"""
+
+
+@plan("q4_journeys", f"""WITH RECURSIVE {CALL}, {STOP}, {_FOOT}, {_ENDS}, {_labelled(4)},
+every AS (SELECT * FROM legs UNION ALL SELECT q, rides, back, 'walk', NULL, stop_id, departure - walk, departure, NULL, NULL, NULL FROM firsts JOIN access USING (q, stop_id))
+SELECT q AS query_id, rides, row_number() OVER (PARTITION BY q, rides ORDER BY back DESC) AS leg, kind, from_stop, to_stop, departure, arrival, trip_id, from_seq, to_seq FROM every""")
+def journey_legs(spark, d):
+    """Legs of the best journeys by number of rides, for a question of each region."""
+    calls, foot, s = _network(spark, d)
+    r, key = table(spark, d, "region").select("r_regionkey"), F.col("s_suppkey")
+    sup = table(spark, d, "supplier").select("s_suppkey")
+    access = r.join(sup, F.expr("s_suppkey % 29 = r_regionkey * 4 + 1")).select(F.col("r_regionkey").alias("query_id"), key.alias("stop_id"), F.lit(480).alias("depart"), (key % 7).alias("walk"))
+    egress = r.join(sup, F.expr("s_suppkey % 31 = r_regionkey * 5 + 2")).select(F.col("r_regionkey").alias("query_id"), key.alias("stop_id"), (key % 4).alias("walk"))
+    return journeys.journeys(calls, foot, access, egress)
+
+
 @plan("x35_usable_stop", f"""WITH {PLACE}, {STOP}, served AS (SELECT * FROM stop WHERE stop_id IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45))
 SELECT id, arg_min(stop_id, (round({HAVERSINE.format(lat1='p.lat_e6 / 1e6', lon1='p.lon_e6 / 1e6', lat2='s.lat_e6 / 1e6', lon2='s.lon_e6 / 1e6')}, 3), stop_id)) AS stop_id FROM place p JOIN served s ON {HAVERSINE.format(lat1='p.lat_e6 / 1e6', lon1='p.lon_e6 / 1e6', lat2='s.lat_e6 / 1e6', lon2='s.lon_e6 / 1e6')} <= 60000 GROUP BY id""")
 def usable_stop(spark, d):
