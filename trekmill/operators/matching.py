@@ -5,50 +5,96 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trekmill.functions.geo import planar_m
 from trekmill.functions.text import fold, phone_suffix, terms
-from trekmill.operators.lineage import cut
+from trekmill.operators.lineage import cut, written
+
+
+#: Kinds of missions in their order; any other is a consulate.
+MISSION_KINDS = ("embassy", "consulate_general", "consulate")
+
+
+def kind_order(kind: Column) -> Column:
+    """Place of a mission's kind in MISSION_KINDS; null stays null, an unknown kind counts as the last."""
+    at = F.array_position(F.array(*map(F.lit, MISSION_KINDS)), kind)
+    return F.when(kind.isNotNull(), F.when(at > 0, at).otherwise(len(MISSION_KINDS)).cast("int"))
 
 
 def embassy_candidates(pois: DataFrame, missions: DataFrame, by: list[str]) -> DataFrame:
-    """(by, poi_id, mission_id, rank): pairs with equal phone suffix (0), or compatible kind and names (1).
+    """(by, poi_id, mission_id, rank, kind): pairs with equal phone suffix (0), or of one kind and with names that fit (1).
+
+    Both sides: by, id, kind, phone, and name or an array of `names`. A place without kind fits any mission. Names fit if their
+    word sets are equal, or one holds the other, which has two words or more or belongs to a place whose kind is known; words of one letter
+    don't count. kind is the mission's place in MISSION_KINDS.
+
+    Pairs meet by phone, or by a word: all words of the name that is held are shared, so its rarest one is, and only that is
+    looked for among the other name's words. How rare a word is within `by` is counted over both sides.
+    """
+
+    def ready(df: DataFrame, key: str) -> DataFrame:
+        names = F.col("names") if "names" in df.columns else F.array("name")
+        words = F.transform(F.filter(names, lambda n: n.isNotNull()), lambda n: F.sort_array(F.array_distinct(F.filter(terms(n), lambda w: F.length(w) > 1))))
+        return df.select(*by, F.col(key), kind_order(F.col("kind")).alias("kind"), phone_suffix(F.col("phone")).alias("tel"), F.array_distinct(F.filter(words, lambda w: F.size(w) > 0)).alias("names"))
 
-    Names fit if their word sets are equal, or one holds the other with two words or more or the same kind.
+    p = ready(pois, "poi_id")
+    m = ready(missions, "mission_id").withColumn("kind", F.coalesce("kind", F.lit(len(MISSION_KINDS))))
+    by_tel = p.where("tel is not null").join(m.select(*by, "mission_id", "tel", F.col("kind").alias("kind_m")), [*by, "tel"]).select(*by, "poi_id", "mission_id", F.lit(0).alias("rank"), F.col("kind_m").alias("kind"))
+
+    def words_of(df: DataFrame, key: str) -> DataFrame:
+        return df.select(*by, key, "kind", F.explode("names").alias("w")).select("*", F.explode("w").alias("word"))
+
+    p_words, m_words = words_of(p, "poi_id"), words_of(m, "mission_id").withColumnsRenamed({"kind": "kind_m", "w": "w_m"})
+    common = p_words.select(*by, "word").unionByName(m_words.select(*by, "word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
+
+    def rarest(words: DataFrame, own: list[str]) -> DataFrame:
+        return words.join(common, [*by, "word"]).groupBy(*by, *own).agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+
+    own_p, own_m = ["poi_id", "kind", "w"], ["mission_id", "kind_m", "w_m"]
+    held_in = (F.size("w") <= F.size("w_m")) & (F.size(F.array_except("w", "w_m")) == 0)
+    holds = (F.size("w_m") <= F.size("w")) & (F.size(F.array_except("w_m", "w")) == 0)
+    met = rarest(p_words, own_p).join(m_words, [*by, "word"]).where(held_in).unionByName(rarest(m_words, own_m).join(p_words, [*by, "word"]).where(holds))
+    least = F.least(F.size("w"), F.size("w_m"))
+    fits = (F.col("kind").isNull() | (F.col("kind") == F.col("kind_m"))) & ((F.col("w") == F.col("w_m")) | (least >= 2) | F.col("kind").isNotNull())
+    by_name = met.where(fits).select(*by, "poi_id", "mission_id", F.lit(1).alias("rank"), F.col("kind_m").alias("kind"))
+    return by_tel.unionByName(by_name).groupBy(*by, "poi_id", "mission_id").agg(F.min("rank").alias("rank"), F.first("kind").alias("kind"))
+
+
+def greedy_pairs(candidates: DataFrame, by: list[str], order: tuple[str, ...] = ("rank", "kind"), taker: str = "poi_id", offer: str = "mission_id") -> DataFrame:
+    """(by, taker, offer): one-to-one pairs, as if takers came one by one in order and each took its first offer that is free.
+
+    A taker's first offer is the least by `order`, then by id. No group goes through one task: in rounds every taker asks for its
+    first offer that is left, an offer is held for the least taker that asks, and whoever stands behind that one loses it for
+    good. As takers have one order for all offers, nobody before the holder can be sent away later, so what is left when nobody
+    loses anything is the sequential result. Rounds go on until then, and every round that isn't the last takes candidates away.
+    """
+    place = F.struct(*order, offer)
+    left = written(candidates.select(*by, taker, offer, place.alias("place")))
+    n = left.count()
+    while True:
+        wished = left.groupBy(*by, taker).agg(F.min_by(offer, "place").alias(offer))
+        held = wished.groupBy(*by, offer).agg(F.min(taker).alias("holder"))
+        kept = written(left.join(held, [*by, offer], "left").where(F.col("holder").isNull() | (F.col(taker) <= F.col("holder"))).select(left.columns))
+        if (m := kept.count()) == n:
+            return wished
+        left, n = kept, m
+
+
+def merge_embassies(pois: DataFrame, missions: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """(by, poi_id, mission_id, name, kind, fields, local, name_key): places with their mission's kind and what they lack of `fields`,
+    and the missions that no place took.
+
+    local: true for places; for missions their own column `local`, else false. Sort by kind (nulls first), local first, name_key.
     """
-    longest = lambda w: F.array_max(F.transform(w, lambda x: F.struct(F.length(x), x.alias("x")))).x
-    ready = lambda df, key: df.select(*by, F.col(key), "kind", phone_suffix(F.col("phone")).alias("tel"), F.array_distinct(terms(F.col("name"))).alias("w"))
-    p, m = ready(pois, "poi_id"), ready(missions, "mission_id").withColumnsRenamed({"kind": "kind_m", "tel": "tel_m", "w": "w_m"})
-    # Pairs meet by phone, or by the longest word of the one name among the words of the other.
-    by_tel = p.join(m.withColumn("tel", F.col("tel_m")), [*by, "tel"]).drop("tel").withColumn("tel", F.col("tel_m"))
-    p_key, p_all = p.withColumn("word", longest("w")), p.withColumn("word", F.explode("w"))
-    m_key, m_all = m.withColumn("word", longest("w_m")), m.withColumn("word", F.explode("w_m"))
-    by_word = p_key.join(m_all, [*by, "word"]).unionByName(p_all.join(m_key, [*by, "word"])).drop("word")
-    both = by_tel.unionByName(by_word).dropDuplicates([*by, "poi_id", "mission_id"])
-    shared, least = F.size(F.array_intersect("w", "w_m")), F.least(F.size("w"), F.size("w_m"))
-    same_kind = F.col("kind").eqNullSafe(F.col("kind_m"))
-    compatible = same_kind | F.col("kind").isNull() | F.col("kind_m").isNull()
-    names = (least > 0) & (shared == least) & ((F.size("w") == F.size("w_m")) | (least >= 2) | same_kind)
-    rank = F.when(F.col("tel") == F.col("tel_m"), 0).when(compatible & names, 1)
-    return both.withColumn("rank", rank).where("rank is not null").select(*by, "poi_id", "mission_id", "rank")
-
-
-def greedy_pairs(candidates: DataFrame, by: list[str]) -> DataFrame:
-    """One-to-one pairs: in order of poi_id each takes the first mission that is free, by rank, then mission_id."""
-    schema = ", ".join([*(f"{c} {candidates.schema[c].dataType.simpleString()}" for c in by), "poi_id long, mission_id long"])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for poi, own in rows.sort_values(["poi_id", "rank", "mission_id"]).groupby("poi_id", sort=True):
-            free = [m for m in own.mission_id if m not in used]
-            if free:
-                used.add(free[0])
-                out.append((*(own[c].iloc[0] for c in by), poi, free[0]))
-        return pd.DataFrame(out, columns=[*by, "poi_id", "mission_id"])
-
-    return candidates.groupBy(*by).applyInPandas(run, schema)
+    pairs = greedy_pairs(embassy_candidates(pois, missions, by), by)
+    flag = F.coalesce("local", F.lit(False)) if "local" in missions.columns else F.lit(False)
+    m = missions.select(*by, "mission_id", F.col("name").alias("name_m"), F.coalesce(kind_order(F.col("kind")), F.lit(len(MISSION_KINDS))).alias("kind_m"), flag.alias("local_m"), *[F.col(f).alias(f"{f}_m") for f in fields])
+    found = pois.join(pairs, [*by, "poi_id"], "left").join(m, [*by, "mission_id"], "left")
+    own = found.select(*by, "poi_id", "mission_id", "name", F.coalesce("kind_m", kind_order(F.col("kind"))).alias("kind"), *[F.coalesce(f, f"{f}_m").alias(f) for f in fields], F.lit(True).alias("local"))
+    rest = m.join(pairs, [*by, "mission_id"], "left_anti").select(*by, F.lit(None).cast(pois.schema["poi_id"].dataType).alias("poi_id"), "mission_id", F.col("name_m").alias("name"), F.col("kind_m").alias("kind"), *[F.col(f"{f}_m").alias(f) for f in fields], F.col("local_m").alias("local"))
+    return own.unionByName(rest).withColumn("name_key", fold(F.col("name")))
 
 
 def name_clusters(stops: DataFrame, meters: float = 100.0, rounds: int = 60) -> DataFrame:

@@ -265,16 +265,48 @@ def name_clusters(spark, d):
     return matching.name_clusters(s, 100.0)
 
 
-@plan("j21_embassies")
+#: Places and missions of countries, with names, kinds and phones that fit in part; pairs that fit, and the sequential choice.
+_MISSIONS = """poi AS (SELECT c_nationkey AS host, c_custkey AS poi_id, CASE c_custkey % 4 WHEN 1 THEN 'consulate' WHEN 2 THEN NULL ELSE 'embassy' END AS kind, CASE WHEN c_custkey % 5 > 0 THEN '+39 06 ' || lpad(CAST(c_custkey * 31 % 997 AS VARCHAR), 7, '0') END AS phone, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS address,
+  CASE c_custkey % 3 WHEN 0 THEN 'Embassy of ' || n_name WHEN 1 THEN 'Consulate of ' || n_name || ' in ' || c_mktsegment ELSE n_name END AS name FROM customer JOIN nation ON n_nationkey = c_custkey * 7 % 25),
+mission AS (SELECT s_nationkey AS host, s_suppkey AS mission_id, CASE s_suppkey % 3 WHEN 0 THEN 'embassy' WHEN 1 THEN 'consulate_general' END AS kind, '06 ' || lpad(CAST(s_suppkey * 37 % 997 AS VARCHAR), 7, '0') AS phone, s_name AS address, s_suppkey % 7 = 0 AS local,
+  CASE s_suppkey % 2 WHEN 0 THEN 'Embassy of ' || n_name ELSE 'Consulate General of ' || n_name END AS name FROM supplier JOIN nation ON n_nationkey = s_suppkey * 11 % 25),
+ordered AS (SELECT *, CASE kind WHEN 'embassy' THEN 1 WHEN 'consulate_general' THEN 2 WHEN 'consulate' THEN 3 END AS k, right(regexp_replace(phone, '\\D', '', 'g'), 8) AS tel, list_sort(list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: len(w) > 1))) AS w FROM poi),
+offered AS (SELECT *, CASE kind WHEN 'embassy' THEN 1 WHEN 'consulate_general' THEN 2 ELSE 3 END AS k, right(regexp_replace(phone, '\\D', '', 'g'), 8) AS tel, list_sort(list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: len(w) > 1))) AS w FROM mission),
+fit AS (SELECT p.host, poi_id, mission_id, m.k, CASE WHEN p.tel = m.tel THEN 0 WHEN (p.k IS NULL OR p.k = m.k) AND (p.w = m.w OR ((len(p.w) >= 2 AND len(m.w) >= 2 OR p.k IS NOT NULL) AND (list_has_all(p.w, m.w) OR list_has_all(m.w, p.w)))) THEN 1 END AS rank FROM ordered p JOIN offered m USING (host)),
+wish AS (SELECT host, poi_id, list(mission_id ORDER BY rank, k, mission_id) AS wishes, row_number() OVER (PARTITION BY host ORDER BY poi_id) AS nth FROM fit WHERE rank IS NOT NULL GROUP BY host, poi_id),
+turn AS (SELECT DISTINCT host, CAST(0 AS BIGINT) AS nth, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS poi_id, CAST(NULL AS BIGINT) AS mission_id FROM wish
+UNION ALL SELECT t.host, w.nth, CASE WHEN m IS NULL THEN used ELSE list_append(used, m) END, w.poi_id, m FROM turn t JOIN (SELECT * FROM wish) w ON w.host = t.host AND w.nth = t.nth + 1, LATERAL (SELECT list_filter(w.wishes, lambda x: NOT list_contains(t.used, x))[1] AS m))"""
+
+
+def _missions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    n = table(spark, d, "nation").select("n_nationkey", "n_name")
+    c, s, name = F.col("c_custkey"), F.col("s_suppkey"), F.col("n_name")
+    tel = lambda k: F.lpad((k % 997).cast("string"), 7, "0")
+    title = F.when(c % 3 == 0, F.concat(F.lit("Embassy of "), name)).when(c % 3 == 1, F.concat(F.lit("Consulate of "), name, F.lit(" in "), "c_mktsegment")).otherwise(name)
+    kind = F.when(c % 4 == 1, "consulate").when(c % 4 == 2, None).otherwise("embassy")
+    pois = table(spark, d, "customer").join(n, c * 7 % 25 == F.col("n_nationkey")).select(c.alias("poi_id"), F.col("c_nationkey").alias("host"), kind.alias("kind"), F.when(c % 5 > 0, F.concat(F.lit("+39 06 "), tel(c * 31))).alias("phone"), F.when(c % 2 == 0, F.col("c_name")).alias("address"), title.alias("name"))
+    title = F.concat(F.when(s % 2 == 0, "Embassy of ").otherwise("Consulate General of "), name)
+    kind = F.when(s % 3 == 0, "embassy").when(s % 3 == 1, "consulate_general")
+    missions = table(spark, d, "supplier").join(n, s * 11 % 25 == F.col("n_nationkey")).select(s.alias("mission_id"), F.col("s_nationkey").alias("host"), kind.alias("kind"), F.concat(F.lit("06 "), tel(s * 37)).alias("phone"), F.col("s_name").alias("address"), (s % 7 == 0).alias("local"), title.alias("name"))
+    return pois, missions
+
+
+@plan("j21_embassies", f"WITH RECURSIVE {_MISSIONS} SELECT host, poi_id, mission_id FROM turn WHERE mission_id IS NOT NULL")
 def embassies(spark, d):
-    """Missions paired one to one with places of their pair of countries, by phone, then by name."""
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    tel = lambda k: F.format_string("+39 06 %07d", k * 31 % 97)
-    pois = c.select(F.col("c_custkey").alias("poi_id"), F.col("c_nationkey").alias("host"), F.lit("embassy").alias("kind"), tel(F.col("c_custkey")).alias("phone"), F.concat(F.lit("Embassy "), (F.col("c_custkey") % 9).cast("string")).alias("name"))
-    missions = s.select(F.col("s_suppkey").alias("mission_id"), F.col("s_nationkey").alias("host"), F.when(F.col("s_suppkey") % 3 > 0, "embassy").alias("kind"), tel(F.col("s_suppkey")).alias("phone"), F.concat(F.lit("Embassy "), (F.col("s_suppkey") % 9).cast("string")).alias("name"))
+    """Missions paired one to one with places of their country, by phone, then by name."""
+    pois, missions = _missions(spark, d)
     return matching.greedy_pairs(matching.embassy_candidates(pois, missions, ["host"]), ["host"])
 
 
+@plan("q12_embassies", f"""WITH RECURSIVE {_MISSIONS}, pair AS (SELECT host, poi_id, mission_id FROM turn WHERE mission_id IS NOT NULL)
+SELECT host, poi_id, mission_id, p.name, coalesce(m.k, p.k) AS kind, coalesce(p.phone, m.phone) AS phone, coalesce(p.address, m.address) AS address, true AS local FROM ordered p LEFT JOIN pair USING (host, poi_id) LEFT JOIN offered m USING (host, mission_id)
+UNION ALL SELECT host, NULL, mission_id, name, k, phone, address, local FROM offered WHERE mission_id NOT IN (SELECT mission_id FROM pair)""")
+def merged_embassies(spark, d):
+    """Places completed by their missions, and the missions that no place took."""
+    pois, missions = _missions(spark, d)
+    return matching.merge_embassies(pois, missions, ["host"], ["phone", "address"]).drop("name_key")
+
+
 @plan("dt2_service_epoch", "SELECT o_orderkey, CAST(epoch(timezone('Europe/Zurich', CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 12 HOUR)) AS BIGINT) - 43200 + (o_orderkey % 1800) * 60 AS epoch FROM orders")
 def service_epoch(spark, d):
     """Instants of service minutes, across changes of the clock."""
