@@ -104,7 +104,7 @@ def test_markup():
 def test_text_columns(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(T.paragraphs(F.lit("aa\nbb\n\ncccc\nd"), 4)) == ["aa\nbb", "cccc", "d"]
-    assert one(T.pack_paragraphs(F.lit("one two\nthe three\nfour five six seven eight"), F.array(F.lit("the")), 20)) == "one two\nthe three"
+    assert one(T.relevant_paragraphs(F.lit("one two\nthe three\nfour five six seven eight"), F.array(F.lit("the")), F.lit(20))) == "one two\nthe three"
     assert one(T.cut_at_sentence(F.lit("First one. Second two three"), 20)) == "First one. Second"
     assert one(T.cut_at_sentence(F.lit("First one is. Second two three"), 20)) == "First one is."
     assert one(T.intent(F.lit("Where are hotels?"), {"sleep": ["hotel"], "eat": ["food"]})) == ["sleep"]

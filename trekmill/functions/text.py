@@ -67,9 +67,10 @@ def phone_suffix(text: Column, digits: int = 8) -> Column:
     return F.when(F.length(bare) >= 7, F.right(bare, F.lit(digits)))
 
 
-def cut_at_sentence(text: Column, limit: int) -> Column:
+def cut_at_sentence(text: Column, limit: int | Column) -> Column:
     """text to limit characters: up to the last sentence end if that is past the half, else to the last space."""
-    head = F.substring(text, 1, limit)
+    limit = F.lit(limit) if isinstance(limit, int) else limit
+    head = F.substring(text, F.lit(1), limit)
     sentence = F.regexp_extract(head, r"(?s)^(.*[.!?])(?:\s|$)", 1)
     word = F.regexp_extract(head, r"(?s)^(.*)\s", 1)
     return F.when(F.length(text) <= limit, text).when(F.length(sentence) > limit / 2, sentence).when(word != "", word).otherwise(head)
@@ -162,19 +163,21 @@ def intent(text: Column, groups: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*(F.when(starts(prefixes), name) for name, prefixes in groups.items())))
 
 
-def pack_paragraphs(text: Column, words: Column, budget: int) -> Column:
-    """The paragraphs of a text that fit a budget: those with most of the asked words first, shown in their own order.
+def relevant_paragraphs(text: Column, stems: Column, budget: Column) -> Column:
+    """The lines of a text that fit a budget: those with most of the stems first, shown in their own order.
 
-    A text that fits is kept whole; if no paragraph fits, the text is cut at a sentence.
+    A text that fits is kept whole. stems: an array; a line has a stem if its folded text holds it anywhere. Each line costs its
+    length and one; one that doesn't fit is passed over. If none fits, the text is cut at a sentence. Blank lines don't count.
     """
-    parts = F.split(text, "\n")
-    scored = F.transform(parts, lambda p, i: F.struct((-F.size(F.array_intersect(terms(p), words))).alias("rank"), i.alias("at"), p.alias("p")))
-    start = F.struct(F.lit(0).alias("used"), F.filter(scored, lambda x: F.lit(False)).alias("kept"))
+    lines = F.filter(F.split(text, "\r\n|\n|\r"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")
+    hits = lambda p: F.size(F.filter(stems, lambda s: F.contains(p, s)))
+    scored = F.transform(lines, lambda p, i: F.struct((-hits(fold(p))).alias("rank"), i.alias("at"), (F.length(p) + 1).alias("cost")))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:
-        fits = s.used + F.length(x.p) + 1 <= budget
-        return F.struct(F.when(fits, s.used + F.length(x.p) + 1).otherwise(s.used).alias("used"), F.when(fits, F.concat(s.kept, F.array(x))).otherwise(s.kept).alias("kept"))
+        fits = s.used + x.cost <= budget
+        return F.struct(F.when(fits, s.used + x.cost).otherwise(s.used).alias("used"), F.when(fits, F.concat(s.kept, F.array(x["at"]))).otherwise(s.kept).alias("kept"))
 
-    kept = F.aggregate(F.array_sort(scored), start, step, lambda s: F.transform(s.kept, lambda x: F.struct(x["at"].alias("at"), x.p.alias("p"))))
-    packed = F.array_join(F.transform(F.array_sort(kept), lambda x: x.p), "\n")
-    return F.when(F.length(text) <= budget, text).when(packed != "", packed).otherwise(cut_at_sentence(text, budget))
+    kept = F.aggregate(F.array_sort(scored), start, step, lambda s: F.array_sort(s.kept))
+    packed = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    return F.when(F.length(text) <= budget, text).when(F.size(kept) > 0, packed).otherwise(cut_at_sentence(text, budget))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekmill.functions.metrics import bm25
-from trekmill.functions.text import terms
+from trekmill.functions.text import cut_at_sentence, relevant_paragraphs, terms
 
 
 def inverted_index(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -55,3 +55,53 @@ def pack(sections: DataFrame, by: list[str], order: list, size: str, budget: int
     """The leading sections of each group whose sizes (and two for each) stay within a budget, with `used`."""
     run = F.sum(F.col(size) + 2).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return sections.withColumn("used", run).where(F.col("used") <= budget)
+
+
+#: Room below which another section would be a scrap only; characters of a note; share of a general page before others.
+LEAST_ROOM, NOTE_ROOM, GENERAL_SHARE = 50, 500, 0.7
+
+
+def pack_context(sections: DataFrame, questions: DataFrame, by: list[str], budget: int = 2000) -> DataFrame:
+    """(by, context, used): of each question the text of its sections, in order of relevance, within a budget.
+
+    sections: by, position (from the best), body, general (from the general guide) and searched (else computed, and shown first);
+    questions: by, stems (array), note (may be null). A note takes up to NOTE_ROOM and stands last. The first general page gets
+    GENERAL_SHARE of the sections' room if others follow it. Then every section takes what it needs of the room that is left: all of
+    it, or the lines with most stems; each costs two more. It ends where less than LEAST_ROOM is left. The first general page is
+    shown after the first searched section that isn't general, other general pages last. used: positions in the order shown.
+
+    A section that counts takes three characters or more, so those beyond a third of the budget can't; they go before a
+    question's sections are gathered, which so have a bound. Questions without sections have their note, or ''.
+    """
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy("position"))
+    rows = sections.where(F.trim(F.regexp_replace("body", r"\s+", " ")) != "").withColumn("_n", nth).where(F.col("_n") <= budget // 3 + 1)
+    row = F.struct("position", "body", F.coalesce("general", F.lit(False)).alias("general"), F.coalesce("searched", F.lit(True)).alias("searched"))
+    gathered = rows.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("s"))
+    asked = questions.join(gathered, by, "left").withColumn("s", F.coalesce("s", F.array().cast(gathered.schema["s"].dataType)))
+    note = cut_at_sentence(F.col("note"), NOTE_ROOM)
+    asked = asked.withColumns({"note": F.when(F.trim(note) != "", note), "stems": F.coalesce("stems", F.array().cast("array<string>"))})
+    room = F.greatest(F.lit(budget) - F.coalesce(F.length("note") + 2, F.lit(0)), F.lit(0))
+    first = F.array_position(F.transform("s", lambda x: x.general), True)
+    asked = asked.withColumn("room", room).withColumn("first", F.when((first > 0) & (first < F.size("s")), first))
+    shared = F.transform("s", lambda x, i: x.withField("body", F.when(i + 1 == F.col("first"), relevant_paragraphs(x.body, F.col("stems"), F.floor(F.col("room") * GENERAL_SHARE).cast("int"))).otherwise(x.body)))
+    asked = asked.withColumn("s", shared)
+    none = F.filter("s", lambda x: F.lit(False))
+    start = F.struct(F.col("room").alias("left"), none.alias("kept"))
+
+    def step(state: Column, x: Column) -> Column:
+        part = x.withField("body", F.when(state.left >= LEAST_ROOM, relevant_paragraphs(x.body, F.col("stems"), state.left)).otherwise(""))
+
+        def taken(p: Column) -> Column:
+            full = F.trim(F.regexp_replace(p.body, r"\s+", " ")) != ""
+            return F.struct(F.when(full, state.left - F.length(p.body) - 2).otherwise(state.left).alias("left"), F.when(full, F.concat(state.kept, F.array(p))).otherwise(state.kept).alias("kept"))
+
+        return F.get(F.transform(F.array(part), taken), F.lit(0))  # the part is worked out once
+
+    asked = asked.withColumn("kept", F.aggregate("s", start, step, lambda state: state.kept))
+    of = lambda test: F.filter("kept", test)
+    general, other = of(lambda x: x.searched & x.general), of(lambda x: x.searched & ~x.general)
+    moved = F.concat(of(lambda x: ~x.searched), F.slice(other, 1, 1), F.slice(general, 1, 1), F.slice(other, F.lit(2), F.greatest(F.size(other), F.lit(1))), F.slice(general, F.lit(2), F.greatest(F.size(general), F.lit(1))))
+    asked = asked.withColumn("kept", F.when((F.size(general) > 0) & (F.size(other) > 0), moved).otherwise(F.col("kept")))
+    body = cut_at_sentence(F.array_join(F.transform("kept", lambda x: x.body), "\n\n"), F.col("room"))
+    text = F.concat_ws("\n\n", F.when(F.trim(body) != "", body), F.col("note"))
+    return asked.select(*by, text.alias("context"), F.transform("kept", lambda x: x.position).alias("used"))

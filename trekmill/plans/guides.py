@@ -11,9 +11,9 @@ from trekmill.plans.base import plan, table
 
 @plan("s8_paragraph_packing")
 def paragraph_packing(spark, d):
-    """Of each document the paragraphs that fit 600 characters, those with the asked words first."""
+    """Of each document the paragraphs that fit 600 characters, those with the asked stems first."""
     asked = F.array(*(F.lit(w) for w in ("the", "und", "les", "que")))
-    return table(spark, d, "documents").select("doc_id", text.pack_paragraphs(F.col("text"), asked, 600).alias("text"))
+    return table(spark, d, "documents").select("doc_id", text.relevant_paragraphs(F.col("text"), asked, F.lit(600)).alias("text"))
 
 
 @plan("s9_chunks", "SELECT doc_id, trim(line) AS chunk FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> ''")

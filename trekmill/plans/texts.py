@@ -144,6 +144,17 @@ def context_packing(spark, d):
     return retrieval.pack(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], ["n_chars", "doc_id"], "n_chars", 2000).select("doc_id", "used")
 
 
+@plan("q8_packed_contexts")
+def packed_contexts(spark, d):
+    """Of each conversation the answers' text that its first question would be answered from; every fifth turn's note goes along."""
+    c = table(spark, d, "conversations")
+    first = c.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("asked"))
+    stems = F.array_distinct(F.filter(F.transform(text.terms(F.col("asked")), lambda w: F.rtrim(text.stem_prefix(w), F.lit("*"))), lambda s: s.isNotNull()))
+    questions = first.select("conv_id", stems.alias("stems"), F.when(F.col("conv_id") % 5 == 0, F.col("asked")).alias("note"))
+    sections = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("position"), F.col("text").alias("body"), (F.col("turn") % 4 == 1).alias("general"), (F.col("turn") > 1).alias("searched"))
+    return retrieval.pack_context(sections, questions, ["conv_id"])
+
+
 @plan("a7_corpus_statistics", f"SELECT lang, count(*) AS docs, CAST(sum(len({_TERMS.format('text')})) AS BIGINT) AS words FROM documents GROUP BY lang")
 def corpus_statistics(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size(text.terms(F.col("text")))).alias("words"))
