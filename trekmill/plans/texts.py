@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trekmill.functions import metrics, text
-from trekmill.operators import audit, retrieval
+from trekmill.operators import audit, retrieval, similarity
 from trekmill.plans.base import plan, table
 
 _FOLD = "strip_accents(lower({0}))"
@@ -85,6 +85,29 @@ def jaccard_near(spark, d):
     return a.join(b, "conv_id").where("turn_a < turn_b").where(shared >= 0.1 * every).select("conv_id", "turn_a", "turn_b")
 
 
+_WORD_SETS = "t AS (SELECT doc_id, lang, list_distinct(list_filter(string_split_regex(lower(text), '[ \\t\\n]+'), lambda w: w <> '')) AS w FROM documents)"
+_NEAR = "5 * len(list_intersect(a.w, b.w)) >= 4 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AND len(a.w) > 0"
+
+
+def _word_sets(spark, d):
+    words = F.filter(F.split(F.lower("text"), r"[ \t\n]+"), lambda w: w != "")
+    return table(spark, d, "documents").select("doc_id", "lang", words.alias("w"))
+
+
+@plan("s19_similar_documents", f"""WITH {_WORD_SETS}, l AS (SELECT a.doc_id, b.doc_id AS other, list_sort(a.w) = list_sort(b.w) AS equal FROM t a JOIN t b ON a.lang = b.lang AND 5 * len(a.w) >= 4 * len(b.w) AND 5 * len(b.w) >= 4 * len(a.w) AND {_NEAR})
+SELECT t.lang, l.doc_id, min(other) FILTER (equal) AS class_key, count(*) - 1 AS n_links FROM l JOIN t USING (doc_id) GROUP BY ALL""")
+def similar_documents(spark, d):
+    """Documents by their set of words, and how many of their language share four of five words with each."""
+    return similarity.similar_classes(_word_sets(spark, d), ["lang"], "doc_id", "w", "0.8")
+
+
+@plan("q21_near_measured", f"WITH {_WORD_SETS} SELECT a.lang, a.doc_id AS left_key, min(b.doc_id) AS right_key FROM t a JOIN t b ON a.lang = b.lang AND a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 AND 5 * len(a.w) >= 4 * len(b.w) AND 5 * len(b.w) >= 4 * len(a.w) AND {_NEAR} GROUP BY ALL")
+def near_measured(spark, d):
+    """Rows of one edition that nearly repeat a row of the other, and the first such."""
+    rows = _word_sets(spark, d)
+    return similarity.first_similar(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0"), ["lang"], "doc_id", "w", "0.8")
+
+
 @plan("s21_residue", "SELECT page_id FROM (SELECT page_id, regexp_replace(html, '</?(p|br|div|article|b)>', '', 'g') AS t FROM pages) WHERE contains(t, '[[') OR contains(t, '{{') OR contains(t, '<a ') OR contains(t, '&amp;&amp;') OR contains(t, chr(65533))")
 def residue(spark, d):
     """Pages whose text, once the common tags are gone, still holds markup, doubled escapes or broken characters."""
