@@ -217,6 +217,70 @@ def stale_packages(spark, d):
     return table(spark, d, "customer").join(v, "c_custkey").where("installed < published").select("c_custkey", "installed", "published")
 
 
+#: Source tables of requirements made from nations, and trips with their routes made from orders.
+_HEALTH = """n AS (SELECT n_nationkey AS k, CAST(n_nationkey AS VARCHAR) AS country FROM nation),
+yf_risk AS (SELECT k AS place, country, k % 8 = 0 AS partial, 'area ' || country AS areas FROM n WHERE k % 4 = 0),
+yf_entry AS (SELECT k AS place, country, CASE k % 5 WHEN 0 THEN 'none' WHEN 1 THEN 'all' WHEN 3 THEN 'from_list' ELSE 'from_risk' END AS rule, CASE WHEN k % 2 = 0 THEN 9 + k % 4 END AS min_age, CASE k % 6 WHEN 0 THEN 'none' WHEN 2 THEN '4h' WHEN 3 THEN '12h' WHEN 4 THEN '24h' ELSE 'any' END AS stopover, k % 6 = 1 AS exit_required, 'yf ' || country AS note FROM n WHERE k % 3 < 2),
+yf_from AS (SELECT e.country, m.country AS origin FROM yf_entry e JOIN n m ON (m.k * 3 + e.place) % 7 = 0 WHERE rule = 'from_list' UNION SELECT e.country, r.country FROM yf_entry e JOIN yf_risk r ON rule = 'from_risk'),
+polio_status AS (SELECT k AS place, country, CASE k % 5 WHEN 1 THEN 'severe' WHEN 2 THEN 'cvdpv2' ELSE 'previous' END AS category FROM n WHERE k % 5 IN (1, 2, 3) UNION ALL SELECT k + 100, country, 'cvdpv2' FROM n WHERE k % 10 = 1),
+polio_entry AS (SELECT k + 100 * i AS place, country, k % 7 = 0 AND i = 0 AS unlisted, CASE WHEN (k + i) % 2 = 0 THEN 'severe' END AS category, CASE WHEN k % 4 = 3 THEN 'hajj_umrah' ELSE 'all' END AS applies, 'polio ' || country AS note, k FROM n, (SELECT unnest([0, 1]) AS i) WHERE k % 3 = 0),
+polio_from AS (SELECT p.place, m.country AS origin FROM polio_entry p JOIN n m ON (m.k + p.k) % 9 = 0 UNION SELECT p.place, s.country FROM polio_entry p JOIN polio_status s USING (category)),
+special AS (SELECT country, 'menacwy' AS vaccine, 12 AS min_age, 'special ' || country AS note FROM n WHERE k % 6 = 0 UNION ALL SELECT country, 'polio', NULL, 'dose ' || country FROM n WHERE k % 12 = 0),
+recommended AS (SELECT country, v AS vaccine, (k + len(v)) % 3 > 0 AS most, v || ' ' || country AS note FROM n, (SELECT unnest(['hepa', 'typhoid', 'yellow_fever', 'menacwy', 'polio', 'rabies']) AS v) WHERE (k * 7 + len(v)) % 4 > 0),
+trip AS (SELECT o_orderkey AS trip_id, CAST(o_custkey * 7 % 25 AS VARCHAR) AS departure, CAST(o_orderkey % 25 AS VARCHAR) AS destination, o_orderkey % 40 IN (3, 17) AS exempt, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey % 60 END AS age, o_orderkey % 2 = 0 AS long_stay, o_orderkey % 3 = 0 AS hajj, departure <> destination AS travels FROM orders),
+stop AS (SELECT o_orderkey AS trip_id, 1 AS pos, CAST(o_orderkey * 11 % 25 AS VARCHAR) AS country, 'stay' AS kind, NULL AS hours, NULL AS left_airport FROM orders WHERE o_orderkey % 4 = 1
+UNION ALL SELECT o_orderkey, 2, CAST((o_custkey * 13 + o_orderkey) % 25 AS VARCHAR), 'stopover', CASE WHEN o_orderkey % 6 > 0 THEN o_orderkey % 30 END, o_orderkey % 7 = 0 FROM orders UNION ALL SELECT o_orderkey, 3, CAST(o_orderkey * 17 % 25 AS VARCHAR), 'stopover', o_custkey % 26, NULL FROM orders WHERE o_orderkey % 5 = 2)"""
+
+
+def _health(spark, d):
+    """The same tables as DataFrames, and the rules made from them."""
+    from trekmill.operators import requirements
+
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_nationkey").cast("string").alias("country"))
+    k, none = F.col("k"), F.lit(None)
+    text = lambda word: F.concat(F.lit(f"{word} "), "country")
+    pick = lambda by, cases, other: F.coalesce(*(F.when(by == v, F.lit(w)) for v, w in cases.items()), F.lit(other))
+    among = lambda of, test: of.join(n.select(F.col("k").alias("m"), F.col("country").alias("origin")), F.expr(test), "left").groupBy(of.columns).agg(F.collect_list("origin").alias("o"))
+    risk = n.where("k % 4 = 0").select(k.alias("place"), "country", (k % 8 == 0).alias("partial"), text("area").alias("areas"))
+    entry = among(n.where("k % 3 < 2"), "(m * 3 + k) % 7 = 0").select(k.alias("place"), "country", pick(k % 5, {0: "none", 1: "all", 3: "from_list"}, "from_risk").alias("rule"), F.when(k % 2 == 0, 9 + k % 4).alias("min_age"), pick(k % 6, {0: "none", 2: "4h", 3: "12h", 4: "24h"}, "any").alias("stopover"), F.col("o").alias("from_list"), (k % 6 == 1).alias("exit_required"), text("yf").alias("note"))
+    status = n.where("k % 5 in (1, 2, 3)").select(k.alias("place"), "country", pick(k % 5, {1: "severe", 2: "cvdpv2"}, "previous").alias("category")).unionByName(n.where("k % 10 = 1").select((k + 100).alias("place"), "country", F.lit("cvdpv2").alias("category")))
+    doses = among(n.where("k % 3 = 0"), "(m + k) % 9 = 0").withColumn("i", F.explode(F.array(F.lit(0), F.lit(1))))
+    polio = doses.select((k + 100 * F.col("i")).alias("place"), "country", ((k % 7 == 0) & (F.col("i") == 0)).alias("unlisted"), F.when((k + F.col("i")) % 2 == 0, "severe").alias("origin_category"), F.col("o").alias("origin_countries"), F.lit("ipv").alias("dose"), F.lit("any").alias("window"), F.when(k % 4 == 3, "hajj_umrah").otherwise("all").alias("applies"), text("polio").alias("note"))
+    special = n.where("k % 6 = 0").select(k.alias("place"), "country", F.lit("hajj_umrah").alias("purpose"), F.lit("menacwy").alias("vaccine"), F.lit(12).alias("min_age"), text("special").alias("note")).unionByName(n.where("k % 12 = 0").select((k + 100).alias("place"), "country", F.lit("hajj_umrah").alias("purpose"), F.lit("polio").alias("vaccine"), none.cast("int").alias("min_age"), text("dose").alias("note")))
+    some = n.withColumn("vaccine", F.explode(F.array(*map(F.lit, ("hepa", "typhoid", "yellow_fever", "menacwy", "polio", "rabies"))))).where((k * 7 + F.length("vaccine")) % 4 > 0)
+    recommended = some.select(k.alias("place"), "country", "vaccine", ((k + F.length("vaccine")) % 3 > 0).alias("most"), F.concat("vaccine", F.lit(" "), "country").alias("condition"))
+    rules = requirements.compile_rules(entry, risk, status, polio, special, recommended, ("r3", "r17"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    key, cust, s = F.col("o_orderkey"), F.col("o_custkey"), "string"
+    trips = o.select(key.alias("trip_id"), (cust * 7 % 25).cast(s).alias("departure"), (key % 25).cast(s).alias("destination"), F.concat(F.lit("r"), (key % 40).cast(s)).alias("region"), F.when(key % 5 > 0, cust % 60).alias("age"), (key % 2 == 0).alias("long_stay"), F.when(key % 3 == 0, "hajj_umrah").alias("purpose"))
+    stop = lambda rows, pos, country, kind, hours, left: rows.select(key.alias("trip_id"), F.lit(pos).alias("pos"), country.cast(s).alias("country"), F.lit(kind).alias("kind"), hours.cast("int").alias("hours"), left.cast("boolean").alias("left_airport"))
+    stops = stop(o.where("o_orderkey % 4 = 1"), 1, key * 11 % 25, "stay", none, none).unionByName(stop(o, 2, (cust * 13 + key) % 25, "stopover", F.when(key % 6 > 0, key % 30), key % 7 == 0)).unionByName(stop(o.where("o_orderkey % 5 = 2"), 3, key * 17 % 25, "stopover", cust % 26, none))
+    return requirements.requirements(trips, stops, rules)
+
+
+@plan("q5_requirements", f"""WITH {_HEALTH}, home AS (SELECT trip_id, 0 AS g, 0 AS pos, departure AS country, NULL AS hours, false AS passing, destination FROM trip
+UNION ALL SELECT s.trip_id, CASE WHEN kind = 'stay' THEN 1 WHEN left_airport THEN 2 ELSE 3 END, pos, country, CASE WHEN kind = 'stopover' AND NOT coalesce(left_airport, false) THEN hours END, kind = 'stopover' AND NOT coalesce(left_airport, false), destination FROM stop s JOIN trip USING (trip_id)),
+origin AS (SELECT * FROM home WHERE country <> destination),
+e AS (SELECT t.*, y.rule, y.min_age, y.note, o.country AS via, o.hours, o.passing, row_number() OVER (PARTITION BY t.trip_id ORDER BY g, pos) AS nth FROM trip t JOIN yf_entry y ON y.country = destination LEFT JOIN origin o ON o.trip_id = t.trip_id AND rule <> 'all'
+  WHERE travels AND rule <> 'none' AND (rule = 'all' OR ((y.country, o.country) IN (SELECT (country, origin) FROM yf_from) AND (NOT passing OR stopover = 'any' OR (stopover = '4h' AND (hours IS NULL OR hours > 4)) OR (stopover = '12h' AND (hours IS NULL OR hours > 12)) OR (stopover = '24h' AND (hours IS NULL OR hours > 24)))))),
+i1 AS (SELECT trip_id, 'yellow_fever' AS vaccine, CASE WHEN age < min_age THEN 'consider' ELSE 'required' END AS level, 'yf_entry_' || rule AS reason, via AS country, hours, coalesce(passing, false) AS stopover, CASE WHEN min_age IS NULL THEN 'none' WHEN age IS NULL THEN 'from_age' WHEN age < min_age THEN 'below_age' ELSE 'none' END AS age_note, note FROM e WHERE nth = 1),
+i2 AS (SELECT trip_id, 'yellow_fever', CASE WHEN age < min_age THEN 'consider' ELSE 'required_exit' END, 'yf_exit', departure, NULL, false, CASE WHEN min_age IS NULL THEN 'none' WHEN age IS NULL THEN 'from_age' WHEN age < min_age THEN 'below_age' ELSE 'none' END, note FROM trip JOIN yf_entry y ON y.country = departure WHERE travels AND exit_required),
+yf AS (SELECT * FROM i1 UNION ALL SELECT * FROM i2),
+i3 AS (SELECT trip_id, 'yellow_fever', CASE WHEN age < 9 THEN 'consider' ELSE 'recommended' END, 'yf_destination_risk', destination, NULL, false, CASE WHEN age < 9 THEN 'below_age' ELSE 'none' END, CASE WHEN partial THEN areas END FROM trip JOIN yf_risk r ON r.country = destination WHERE NOT exempt AND trip_id NOT IN (SELECT trip_id FROM yf WHERE age_note <> 'below_age')),
+i4 AS (SELECT trip_id, 'polio', 'required_exit', 'polio_exit', departure, NULL, false, 'none', NULL FROM trip JOIN polio_status s ON s.country = departure AND category = 'severe' WHERE travels AND long_stay),
+i5 AS (SELECT trip_id, 'polio', 'encouraged', 'polio_encouraged', departure, NULL, false, 'none', NULL FROM trip JOIN polio_status s ON s.country = departure AND category = 'cvdpv2' WHERE travels AND trip_id NOT IN (SELECT trip_id FROM i4)),
+i6 AS (SELECT trip_id, 'polio', 'consider', 'polio_entry_unlisted', destination, NULL, false, 'none', note FROM trip JOIN polio_entry p ON p.country = destination WHERE travels AND unlisted AND (applies = 'all' OR hajj)),
+i7 AS (SELECT trip_id, 'polio', 'required', 'polio_entry', via, NULL, false, 'none', note FROM (SELECT t.trip_id, p.note, o.country AS via, row_number() OVER (PARTITION BY t.trip_id, p.note, applies ORDER BY p.place, g, pos) AS nth FROM trip t JOIN polio_entry p ON p.country = destination JOIN origin o ON o.trip_id = t.trip_id AND NOT passing WHERE travels AND NOT unlisted AND (applies = 'all' OR hajj) AND (p.place, o.country) IN (SELECT (place, origin) FROM polio_from)) WHERE nth = 1),
+i8 AS (SELECT trip_id, s.vaccine, CASE WHEN age < min_age THEN 'consider' ELSE 'required' END, 'hajj_umrah', destination, NULL, false, CASE WHEN min_age IS NULL THEN 'none' WHEN age IS NULL THEN 'from_age' WHEN age < min_age THEN 'below_age' ELSE 'none' END, note FROM trip JOIN special s ON s.country = destination WHERE hajj),
+had AS (SELECT * FROM yf UNION ALL SELECT * FROM i3 UNION ALL SELECT * FROM i4 UNION ALL SELECT * FROM i5 UNION ALL SELECT * FROM i6 UNION ALL SELECT * FROM i7 UNION ALL SELECT * FROM i8),
+i9 AS (SELECT trip_id, r.vaccine, CASE WHEN most THEN 'recommended' ELSE 'consider' END, CASE WHEN most THEN 'destination_most' ELSE 'destination_some' END, destination, NULL, false, 'none', note FROM trip JOIN recommended r ON r.country = destination
+  WHERE NOT (exempt AND r.vaccine = 'yellow_fever') AND (trip_id, r.vaccine) NOT IN (SELECT (trip_id, vaccine) FROM had WHERE age_note <> 'below_age' OR vaccine = 'yellow_fever'))
+SELECT * FROM had UNION ALL SELECT * FROM i9 UNION ALL SELECT trip_id, 'routine', 'recommended', 'routine', departure, NULL, false, 'none', NULL FROM trip""")
+def trip_requirements(spark, d):
+    """What each order's trip needs by all kinds of rules: entry, exit, risk, polio, purpose, recommendations."""
+    return _health(spark, d).drop("level_rank", "vaccine_rank")
+
+
 @plan("q5_rule_engine", """WITH trip AS (SELECT c_custkey AS id, c_nationkey AS dest, (c_nationkey * 7 + c_custkey) % 25 AS origin, c_custkey % 80 AS age FROM customer),
 item AS (SELECT id, 'fever' AS vaccine, CASE WHEN age < 9 THEN 'consider' ELSE 'required' END AS level FROM trip WHERE dest % 3 = 0 AND origin % 4 = 0
 UNION ALL SELECT id, 'polio', 'recommended' FROM trip WHERE dest % 5 = 1
