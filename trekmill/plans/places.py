@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trekmill.functions import geo
 from trekmill.functions.text import search_key
-from trekmill.operators import relational, spatial
+from trekmill.operators import poi, relational, spatial
 from trekmill.plans.base import HAVERSINE, PLACE, PLANAR, STOP, degrees, places, plan, stops, table
 
 P_LAT, P_LON = 42.0, 9.0
@@ -75,6 +75,50 @@ def tag_priority(spark, d):
     return table(spark, d, "part").select("p_partkey", F.get(F.filter(order, lambda k: tags[k]), F.lit(0)).alias("tag"))
 
 
+_POI = poi.Rules()
+#: Tags of the rules' patterns and some that no rule has, of which every row gets one or two.
+_TAGS = [p.replace("@", "").replace("=*", "=any") if p[0] != "@" and "@" not in p else f"tourism={p[1:]}" if p[0] == "@" else p.split("@")[0] for p in _POI.line] + ["office=diplomatic", "amenity=bench", "amenity=boat_parking", "amenity=boat_yard", "tourism=information", "boundary=protected_area", "shop=vacant", "amenity=courthouse"]
+_NUMBERED = ", ".join(f"({i}, '{t.split('=')[0]}', '{t.split('=')[1]}')" for i, t in enumerate(_TAGS))
+_PATTERNS = ", ".join(f"({n}, '{p.split('@')[0]}', '{p.split('@')[1] if '@' in p else ''}', '{_POI.labels[n]}')" for p, n in _POI.line.items())
+_KEYS = ", ".join(f"('{k}', {i})" for i, k in enumerate(poi.KEYS))
+_QUOTED = lambda names: ", ".join(f"'{n}'" for n in names)
+_TAGGED = f"""tag(i, k, v) AS (VALUES {_NUMBERED}), pattern(n, t, w, label) AS (VALUES {_PATTERNS}), priority(k, place) AS (VALUES {_KEYS}),
+row AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 4 > 0 THEN p_name END AS name, CASE WHEN p_partkey % 8 = 0 THEN p_brand END AS brand, p_partkey % 6 = 0 AS private, p_partkey % 10 = 3 AS subway, p_partkey % 2 = 0 AS office, p_partkey % 9 = 0 AS stop, p_partkey % 5 = 0 AS reserved, p_partkey % 7 = 0 AS national FROM part),
+has AS (SELECT row.*, k, CASE WHEN k = 'boundary' AND v = 'protected_area' AND national THEN 'national_park' ELSE v END AS v FROM row JOIN tag ON i = id * 7 % {len(_TAGS)}
+UNION ALL SELECT row.*, b.k, CASE WHEN b.k = 'boundary' AND b.v = 'protected_area' AND national THEN 'national_park' ELSE b.v END FROM row JOIN tag b ON b.i = (id * 13 + 5) % {len(_TAGS)} JOIN tag a ON a.i = id * 7 % {len(_TAGS)} WHERE id % 3 = 0 AND a.k <> b.k),
+cand AS (SELECT *, k || '=' || v AS t, CASE WHEN k = 'amenity' AND v = 'parking' AND private THEN 'parking_private' WHEN k = 'amenity' AND v = 'parking_space' AND reserved THEN 'parking_disabled' WHEN k = 'railway' AND subway THEN 'subway_station'
+  WHEN k = 'tourism' AND v = 'information' AND office THEN 'information_office' WHEN k = 'office' AND v = 'diplomatic' THEN 'embassy' ELSE v END AS category FROM has WHERE NOT (k = 'leisure' AND v = 'park' AND name IS NULL) AND NOT (k = 'amenity' AND v = 'shelter' AND stop)),
+lab AS (SELECT c.id, c.t, arg_min(p.label, n) AS label FROM cand c JOIN pattern p ON (p.w = '' OR p.w = category) AND (p.t = '' OR p.t = c.t OR (p.t LIKE '%*' AND starts_with(c.t, rtrim(p.t, '*'))) OR (contains(p.t, '*_') AND starts_with(c.t, split_part(p.t, '*', 1)) AND ends_with(c.t, split_part(p.t, '*', 2)) AND c.t <> 'amenity=boat_parking')) GROUP BY ALL),
+poi AS (SELECT c.*, coalesce(label, 'other') AS label, coalesce(label IN ({_QUOTED(poi.DETAILED)}), false) AS details, coalesce(name, CASE WHEN details THEN brand END, v) AS shown FROM cand c LEFT JOIN lab USING (id, t)),
+shown AS (SELECT *, CASE WHEN NOT ((t IN ({_QUOTED(poi.HIDDEN)}) AND category <> 'parking_disabled') OR label IN ('other', 'private_parking') OR (t = 'tourism=information' AND category <> 'information_office') OR (shown = v AND label NOT IN ({_QUOTED(poi.NAMELESS)}) AND t NOT IN ({_QUOTED(poi.NAMELESS_TAGS)}))) THEN 'base'
+  WHEN t IN ({_QUOTED(poi.EXTRA_TAGS)}) OR (t <> 'shop=vacant' AND shown = v AND label IN ({_QUOTED(poi.EXTRA_NAMELESS)})) THEN 'extra' END AS package FROM poi),
+best AS (SELECT s.*, row_number() OVER (PARTITION BY id ORDER BY package IS NULL, place) AS nth FROM shown s JOIN priority USING (k))"""
+
+
+def _tagged(spark, d):
+    """Parts as map elements: one or two tags of the list, and the tags that rules look at besides."""
+    k = F.col("p_partkey")
+    tags = F.array(*(F.struct(F.lit(t.split("=")[0]).alias("key"), F.lit(t.split("=")[1]).alias("value")) for t in _TAGS))
+    one, two = F.get(tags, (k * 7 % len(_TAGS)).cast("int")), F.get(tags, ((k * 13 + 5) % len(_TAGS)).cast("int"))
+    extra = lambda test, name, value: F.when(test, F.struct(F.lit(name).alias("key"), value.alias("value")))
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", one.alias("one"), two.alias("two"))
+    other = F.array(extra(k % 4 > 0, "name", F.col("p_name")), extra(k % 8 == 0, "brand", F.col("p_brand")), extra(k % 6 == 0, "access", F.lit("private")), extra(k % 10 == 3, "station", F.lit("subway")), extra(k % 2 == 0, "information", F.lit("office")), extra(k % 9 == 0, "shelter_type", F.lit("public_transport")), extra(k % 5 == 0, "capacity:disabled", F.lit("2")), extra(k % 7 == 0, "protect_class", F.lit("2")))
+    second = F.when((k % 3 == 0) & (F.col("two.key") != F.col("one.key")), F.col("two"))
+    return p.select(k.alias("id"), F.map_from_entries(F.array_compact(F.concat(F.array("one", second), other))).alias("tags"))
+
+
+@plan("f10_places_from_tags", f"WITH {_TAGGED} SELECT id, shown AS name, category, t AS tag, label, package, details FROM best WHERE nth = 1")
+def places_from_tags(spark, d):
+    """Map elements to places: all rules, derived categories, priority of keys, names, what is shown and in which package."""
+    return poi.places(_tagged(spark, d)).select("id", "poi.name", "poi.category", "poi.tag", "poi.label", "poi.package", "poi.details")
+
+
+@plan("q14_published_places", f"WITH {_TAGGED} SELECT package, label, count(*) AS n, min(id) AS first_id FROM best WHERE nth = 1 AND package IS NOT NULL GROUP BY ALL")
+def published_places(spark, d):
+    """Places of each package by label."""
+    return poi.published(_tagged(spark, d)).groupBy("poi.package", "poi.label").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
 @plan("f11_prefix_and_word", """SELECT p_partkey, CASE WHEN p_name >= 'red' AND p_name < 'red' || chr(65535) THEN 0 ELSE 1 END AS kind FROM part WHERE (p_name >= 'red' AND p_name < 'red' || chr(65535)) OR (p_name LIKE '% ri%' AND NOT (p_name >= 'red' AND p_name < 'red' || chr(65535)))""")
 def prefix_and_word(spark, d):
     name = F.col("p_name")
