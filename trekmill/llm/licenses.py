@@ -57,15 +57,33 @@ def _positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc": docs[first + text], "at": at, "gram": gram})
 
 
-def templates(spark, phrases=(*BASE, *TEMPLATES)) -> DataFrame:
-    """(gram, template, place, of): the places of every gram in the templates. A template needs two words or more."""
-    rows = []
+def telling(phrases, exact: int = 0) -> list[set[int]]:
+    """Of each template the places of the grams that tell it from templates of other labels.
+
+    A template that another's text would cover (COVERED of its grams stand there) is of that one's family, and what it has of its own must be
+    in a text before it is found there: the version of a licence, say.
+    """
+    own = [grams([phrase])[2].tolist() for phrase, _ in phrases]
+    out: list[set[int]] = [set() for _ in own]
+    for i, mine in enumerate(own):
+        for j, other in enumerate(own):
+            if min(i, j) >= exact and phrases[i][1] != phrases[j][1] and sum(g in set(other) for g in mine) >= COVERED * len(mine):
+                out[i] |= {place for place, g in enumerate(mine) if g not in other}
+    return out
+
+
+def templates(spark, phrases=(*BASE, *TEMPLATES), exact: int = len(BASE)) -> DataFrame:
+    """(gram, template, place, of, must, n_must): the places of every gram in the templates, and whether it is a telling one of `n_must`.
+
+    A template needs two words or more.
+    """
+    rows, must = [], telling(phrases, exact)
     for i, (phrase, _) in enumerate(phrases):
         g = grams([phrase])[2].tolist()
         if not g:
             raise ValueError(f"a template needs {GRAM} words or more: {phrase!r}")
-        rows += [(x, i, place, len(g)) for place, x in enumerate(g)]
-    return spark.createDataFrame(rows, "gram long, template int, place int, of int")
+        rows += [(x, i, place, len(g), place in must[i], len(must[i])) for place, x in enumerate(g)]
+    return spark.createDataFrame(rows, "gram long, template int, place int, of int, must boolean, n_must int")
 
 
 def chain(hits: list[tuple[int, int]]) -> tuple[int, int, int]:
@@ -95,20 +113,21 @@ def matches(docs: DataFrame, phrases=(*BASE, *TEMPLATES), exact: int = len(BASE)
     template places; a hit votes for the diagonal `word - place`. Of the first `exact` templates a span is a diagonal
     on which every gram has voted, so that all words stand consecutively. Of the others each diagonal with a vote is merged
     with those NEIGHBOURS words apart or less (words put in or left out), and the span is verified: share is that of the
-    template's grams which stand there in the template's order, each counted once, and must be COVERED. Of the spans that
+    template's grams which stand there in the template's order, each counted once, and must be COVERED; the grams that tell a
+    template from its family (`telling`) must be there, all of them. Of the spans that
     neighbouring diagonals give the best stays. The templates are a fixed list, so they are broadcast; a diagonal has
     at most a hit for each gram of its template, so no group is large.
     """
     small_batches(docs)
-    places = templates(docs.sparkSession, phrases)
+    places = templates(docs.sparkSession, phrases, exact)
     all_grams = docs.select("doc", "text").where("text is not null").mapInPandas(_positions, "doc long, at long, gram long")
-    hits = cut(all_grams.join(F.broadcast(places), "gram").select("doc", "template", "at", "place", "of").distinct())
+    hits = cut(all_grams.join(F.broadcast(places), "gram").select("doc", "template", "at", "place", "of", "must", "n_must").distinct())
     diagonal = F.col("at") - F.col("place")
     whole = hits.where(F.col("template") < exact).groupBy("doc", "template", diagonal.alias("diagonal")).agg(F.count("*").alias("votes"), F.first("of").alias("of"), F.min("at").alias("first"))
     whole = whole.where("votes = of").select("doc", "template", "first", (F.col("first") + F.col("of") + GRAM - 2).alias("last"), F.lit(1.0).alias("share"))
     near = hits.where(F.col("template") >= exact).withColumn("diagonal", F.explode(F.sequence(diagonal - NEIGHBOURS, diagonal + NEIGHBOURS)))
-    groups = near.groupBy("doc", "template", "diagonal").agg(F.collect_list(F.struct("place", "at")).alias("hits"), F.first("of").alias("of"), F.max(F.col("at") - F.col("place") == F.col("diagonal")).alias("own"))
-    spans = groups.where(F.col("own") & (F.size("hits") >= F.col("of") * COVERED)).withColumn("c", _chains("hits"))
+    groups = near.groupBy("doc", "template", "diagonal").agg(F.collect_list(F.struct("place", "at")).alias("hits"), F.first("of").alias("of"), F.max(F.col("at") - F.col("place") == F.col("diagonal")).alias("own"), (F.size(F.collect_set(F.when(F.col("must"), F.col("place")))) == F.first("n_must")).alias("told"))
+    spans = groups.where(F.col("own") & F.col("told") & (F.size("hits") >= F.col("of") * COVERED)).withColumn("c", _chains("hits"))
     spans = spans.select("doc", "template", "diagonal", "c.first", "c.last", (F.col("c.n") / F.col("of")).alias("share")).where(F.col("share") >= COVERED)
     around = Window.partitionBy("doc", "template").orderBy("diagonal").rangeBetween(-2 * NEIGHBOURS, 2 * NEIGHBOURS)
     rank = F.struct("share", (-F.col("diagonal")).alias("before"))
