@@ -49,14 +49,6 @@ def test_latest_is_kept_and_repeats_change_nothing(spark, tmp_path):
     assert got == {("a", "w"), ("b", "z")}
 
 
-def test_smoothed_speed(spark, tmp_path):
-    path, schema = str(tmp_path / "s"), "user_id long, at double, progress double"
-    _write(spark, path, [(1, 0.0, 0.0), (1, 10.0, 100.0), (1, 20.0, 200.0), (2, 0.0, 5.0)], schema)
-    got = {r.user_id: r for r in _run(feeds.smoothed_speed(spark.readStream.schema(schema).parquet(path)), tmp_path, "speed_out", "update").collect()}
-    assert abs(got[1].speed - (3.0 + (10 - 3.0) * 0.3)) < 1e-9 and got[1].fixes == 3
-    assert got[1].reach == min(500, (3.0 * 1.5 + 5) * 10 + 30) and got[2].speed == 0 and got[2].reach == 500
-
-
 def test_refresh_interval():
     assert [feeds.refresh_seconds(n, False) for n in (0, 10_000_000, 1 << 40)] == [60, 200, 420] and feeds.refresh_seconds(0, True) == 120
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trekmill.functions import clock
 from trekmill.operators import relational, temporal
 from trekmill.plans.base import EVENT, events, plan, table
+from trekmill.streaming import navigation
 
 
 def _kind(spark, d, kind):
@@ -127,10 +128,18 @@ def newest_else_superseded(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.when(n == 1, "selected").otherwise("superseded").alias("outcome"))
 
 
-@plan("w11_smoothed_speed", f"WITH {EVENT} SELECT event_id, CAST(round(avg(value) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS 4 PRECEDING) * 100) AS BIGINT) AS speed FROM event")
+@plan("w11_smoothed_speed", f"""WITH RECURSIVE {EVENT}, fix AS (SELECT user_id, sec, event_id, CAST(event_id * 7919 % 90000 AS DOUBLE) AS p, sec - lag(sec) OVER w > 43200 AS fresh FROM event WINDOW w AS (PARTITION BY user_id ORDER BY sec, event_id)),
+trip AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING) AS trip FROM fix), n AS (SELECT *, row_number() OVER (PARTITION BY user_id, trip ORDER BY sec, event_id) AS k FROM trip),
+s AS (SELECT user_id, trip, sec AS started, k, CAST(sec AS DOUBLE) AS last_at, p AS reached, CAST(NULL AS DOUBLE) AS speed, CAST(2000 AS DOUBLE) AS reach FROM n WHERE k = 1
+UNION ALL SELECT s.user_id, s.trip, s.started, n.k, n.sec, greatest(s.reached, n.p), CASE WHEN n.sec > s.last_at THEN CASE WHEN s.speed IS NULL THEN least((greatest(s.reached, n.p) - s.reached) / (n.sec - s.last_at), 50) ELSE s.speed + (least((greatest(s.reached, n.p) - s.reached) / (n.sec - s.last_at), 50) - s.speed) * 0.5 END ELSE s.speed END,
+  least(coalesce(least(s.speed * 1.5 + 5, 50), 50) * (n.sec - s.last_at) + 30, 2000) FROM s JOIN n ON n.user_id = s.user_id AND n.trip = s.trip AND n.k = s.k + 1)
+SELECT user_id, CAST(started AS BIGINT) AS started, k AS fixes, CAST(last_at AS BIGINT) AS last_at, CAST(reached AS BIGINT) AS reached, CAST(round(speed * 1e6) AS BIGINT) AS speed_e6, CAST(round(reach * 1e3) AS BIGINT) AS reach_e3 FROM s QUALIFY row_number() OVER (PARTITION BY user_id, trip ORDER BY k DESC) = 1""")
 def smoothed_speed(spark, d):
-    w = Window.partitionBy("user_id").orderBy("sec", "event_id").rowsBetween(-4, 0)
-    return events(spark, d).select("event_id", F.round(F.avg("value").over(w) * 100).cast("long").alias("speed"))
+    """Trips of every user, with the smoothed speed along the route and how far the last fix could have been."""
+    fixes = events(spark, d).select("user_id", "sec", "event_id", (F.col("event_id") * 7919 % 90_000).alias("progress"))
+    t = navigation.tracked(fixes, idle=43_200, at="sec", tie="event_id")
+    whole = lambda c, by=1.0: F.round(F.col(c) * by).cast("long")
+    return t.select("user_id", whole("started").alias("started"), "fixes", whole("at").alias("last_at"), whole("reached").alias("reached"), whole("speed", 1e6).alias("speed_e6"), whole("reach", 1e3).alias("reach_e3"))
 
 
 @plan("w12_best_rank", f"WITH {EVENT} SELECT user_id, arg_max(event_id, (CASE event_type WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END, sec, event_id)) AS best FROM event GROUP BY user_id")

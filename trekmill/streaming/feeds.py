@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def timely(updates: DataFrame, received: str = "received", time: str = "stamp", minutes: int = 10) -> DataFrame:
@@ -70,26 +66,3 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The table that keep_latest has written last."""
     return spark.read.parquet(_version(path, _versions(spark, path)[-1]))
-
-
-SPEED = "user_id long, fixes long, speed double, reach double"
-
-
-def smoothed_speed(fixes: DataFrame, alpha: float = 0.3, factor: float = 1.5, slack: float = 5.0, margin: float = 30.0, ahead: float = 500.0) -> DataFrame:
-    """(user_id, fixes, speed, reach) of a stream of (user_id, at seconds, progress meters): speed is smoothed from fix to
-    fix, and reach is how far the next may be: the look-ahead at most."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, at, progress, speed = state.get if state.exists else (0, None, None, 0.0)
-        reach = ahead
-        for batch in batches:
-            for row in batch.sort_values("at").itertuples():
-                if at is not None and row.at > at:
-                    dt = row.at - at
-                    reach = min(ahead, (speed * factor + slack) * dt + margin)
-                    speed += (max(0.0, row.progress - progress) / dt - speed) * alpha
-                n, at, progress = n + 1, float(row.at), float(row.progress)
-        state.update((n, at, progress, float(speed)))
-        yield pd.DataFrame({"user_id": [key[0]], "fixes": [n], "speed": [speed], "reach": [reach]})
-
-    return fixes.groupBy("user_id").applyInPandasWithState(run, SPEED, "n long, at double, progress double, speed double", "update", GroupStateTimeout.NoTimeout)
