@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trekmill.functions import geo
 from trekmill.functions.text import search_key
-from trekmill.operators import poi, relational, spatial
+from trekmill.operators import poi, regions, relational, spatial
 from trekmill.plans.base import HAVERSINE, PLACE, PLANAR, STOP, degrees, places, plan, stops, table
 
 P_LAT, P_LON = 42.0, 9.0
@@ -249,6 +249,39 @@ def nearest_owner(spark, d):
 _BOX = "stop_id, CASE WHEN stop_id % 9 = 0 THEN 170 ELSE lon_e6 / 1e6 - 0.5 END AS west, CASE WHEN stop_id % 9 = 0 THEN -170 + stop_id % 190 ELSE lon_e6 / 1e6 + 0.5 END AS east, lat_e6 / 1e6 - 0.2 AS south, lat_e6 / 1e6 + 0.2 AS north"
 
 
+#: Around every stop a star of eight corners, of which every second one lies far in.
+_STARS = f"""{STOP}, corner AS (SELECT stop_id, k, lon_e6 / 1e6 + CASE k WHEN 0 THEN 0.9 WHEN 1 THEN 0.15 WHEN 2 THEN 0.05 WHEN 3 THEN -0.12 WHEN 4 THEN -0.7 WHEN 5 THEN -0.16 WHEN 6 THEN 0.02 ELSE 0.14 END AS x,
+  lat_e6 / 1e6 + CASE k WHEN 0 THEN 0.1 WHEN 1 THEN 0.13 WHEN 2 THEN 0.8 WHEN 3 THEN 0.11 WHEN 4 THEN -0.04 WHEN 5 THEN -0.12 WHEN 6 THEN -0.6 ELSE -0.1 END AS y FROM stop, (SELECT unnest(range(8)) AS k)),
+edge AS (SELECT a.stop_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM corner a JOIN corner b ON a.stop_id = b.stop_id AND b.k = (a.k + 1) % 8),
+held AS (SELECT {{0}}, stop_id FROM {{1}} p JOIN edge ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+
+def _stars(spark, d):
+    x = (0.9, 0.15, 0.05, -0.12, -0.7, -0.16, 0.02, 0.14)
+    y = (0.1, 0.13, 0.8, 0.11, -0.04, -0.12, -0.6, -0.1)
+    s = degrees(stops(spark, d))
+    at = lambda k: [(F.col("lon") + x[k % 8]), (F.col("lat") + y[k % 8])]
+    sides = F.array(*(F.struct(at(k)[0].alias("x1"), at(k)[1].alias("y1"), at(k + 1)[0].alias("x2"), at(k + 1)[1].alias("y2")) for k in range(8)))
+    return s.select("stop_id", F.inline(sides))
+
+
+@plan("j16_points_by_cover", f"""WITH {PLACE}, {_STARS.format("id", "(SELECT id, lat_e6 / 1e6 AS lat, lon_e6 / 1e6 AS lon FROM place)")} SELECT id, stop_id FROM held""")
+def points_by_cover(spark, d):
+    """Places in stars, most of them settled by a cell that lies inside as a whole."""
+    return regions.points_in(degrees(places(spark, d)).select("id", "lat", "lon"), _stars(spark, d), "id", "stop_id", 0.1)
+
+
+@plan("j16_polygons_touching_boxes", f"""WITH {PLACE}, box AS (SELECT id, lon_e6 / 1e6 AS west, lat_e6 / 1e6 AS south, lon_e6 / 1e6 + id % 5 * 0.02 AS east, lat_e6 / 1e6 + id % 7 * 0.03 AS north FROM place), {_STARS.format("id", "(SELECT id, south AS lat, west AS lon FROM box)")}
+SELECT id, stop_id FROM held UNION SELECT id, stop_id FROM box JOIN edge ON NOT (greatest(x1, x2) < west OR least(x1, x2) > east OR greatest(y1, y2) < south OR least(y1, y2) > north)
+WHERE NOT (least((x2 - x1) * (south - y1) - (y2 - y1) * (west - x1), (x2 - x1) * (north - y1) - (y2 - y1) * (west - x1), (x2 - x1) * (south - y1) - (y2 - y1) * (east - x1), (x2 - x1) * (north - y1) - (y2 - y1) * (east - x1)) > 0
+  OR greatest((x2 - x1) * (south - y1) - (y2 - y1) * (west - x1), (x2 - x1) * (north - y1) - (y2 - y1) * (west - x1), (x2 - x1) * (south - y1) - (y2 - y1) * (east - x1), (x2 - x1) * (north - y1) - (y2 - y1) * (east - x1)) < 0)""")
+def polygons_touching_boxes(spark, d):
+    """Boxes at places, some of them lines or points, and the stars that they touch."""
+    p, k = degrees(places(spark, d)), F.col("id")
+    boxes = p.select("id", F.col("lon").alias("west"), F.col("lat").alias("south"), (F.col("lon") + k % 5 * 0.02).alias("east"), (F.col("lat") + k % 7 * 0.03).alias("north"))
+    return regions.boxes_touching(boxes, _stars(spark, d), "id", "stop_id", 0.1)
+
+
 @plan("j17_box_intersection", f"WITH {STOP}, box AS (SELECT {_BOX} FROM stop) SELECT stop_id FROM box WHERE south <= 43 AND 41 <= north AND (CASE WHEN west > east THEN west <= 9 OR 6 <= east ELSE west <= 9 AND 6 <= east END)")
 def box_intersection(spark, d):
     s = degrees(stops(spark, d))
