@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trekmill.functions import geo
 from trekmill.functions.text import search_key
-from trekmill.operators import poi, regions, relational, spatial
+from trekmill.operators import addresses, poi, regions, relational, spatial
 from trekmill.plans.base import HAVERSINE, PLACE, PLANAR, STOP, degrees, places, plan, stops, table
 
 P_LAT, P_LON = 42.0, 9.0
@@ -420,6 +420,32 @@ def address_search(spark, d):
     return k.where(F.col("key").startswith("red") | F.col("key").contains(" red")).withColumn("kind", kind).orderBy("kind", "key", "id").limit(40)
 
 
+_ADDRESS = """street AS (SELECT p_partkey AS street_id, p_name AS name, p_brand AS city, trim(regexp_replace(strip_accents(lower(p_name)), '[^a-z0-9]+', ' ', 'g')) AS key FROM part),
+address AS (SELECT l_orderkey * 10 + l_linenumber AS address_id, l_partkey AS street_id, CAST(l_orderkey % 15 AS VARCHAR) || CASE l_linenumber % 3 WHEN 0 THEN 'B' WHEN 1 THEN '' ELSE 'c' END AS number, 45000000 + (l_orderkey * 7919) % 30000 AS lat, 9000000 + (l_suppkey * 104729 + l_linenumber * 37) % 40000 AS lon FROM lineitem),
+hit AS (SELECT *, CASE WHEN starts_with(key, 'red') THEN 0 ELSE 1 END AS kind FROM street WHERE starts_with(key, 'red') OR contains(key, ' red')), top AS (SELECT *, row_number() OVER (ORDER BY kind, key, street_id) AS place FROM hit)"""
+
+
+def _addresses(spark, d):
+    p, n, o = table(spark, d, "part"), F.col("l_linenumber"), F.col("l_orderkey")
+    streets = p.select(F.col("p_partkey").alias("street_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("city"))
+    number = F.concat((o % 15).cast("string"), F.when(n % 3 == 0, "B").when(n % 3 == 1, "").otherwise("c"))
+    return streets, table(spark, d, "lineitem").select((o * 10 + n).alias("address_id"), F.col("l_partkey").alias("street_id"), number.alias("number"), (45_000_000 + o * 7919 % 30_000).alias("lat"), (9_000_000 + (F.col("l_suppkey") * 104_729 + n * 37) % 40_000).alias("lon"))
+
+
+@plan("q9_house_number", f"""WITH {_ADDRESS} SELECT place, street_id, name, city, arg_min(number, address_id) AS number, arg_min(lat, address_id) AS lat, arg_min(lon, address_id) AS lon FROM top JOIN address USING (street_id) WHERE place <= 500 AND lower(number) = '7b' GROUP BY place, street_id, name, city ORDER BY place LIMIT 20""")
+def search_house_number(spark, d):
+    """Addresses with a house number in streets that begin so, or have a word that does."""
+    return addresses.search(*_addresses(spark, d), "Red 7b", 20)
+
+
+@plan("q9_street_points", f"""WITH {_ADDRESS}, a AS (SELECT * FROM top JOIN address USING (street_id) WHERE place <= 20), r AS (SELECT street_id, lat, lon, row_number() OVER (PARTITION BY street_id ORDER BY lat) AS ra, row_number() OVER (PARTITION BY street_id ORDER BY lon) AS ro, count(*) OVER (PARTITION BY street_id) AS n FROM a),
+m AS (SELECT street_id, max(CASE WHEN ra = n // 2 + 1 THEN lat END) AS mlat, max(CASE WHEN ro = n // 2 + 1 THEN lon END) AS mlon FROM r GROUP BY street_id)
+SELECT place, street_id, name, city, NULL::VARCHAR AS number, arg_min(lat, (pow(lat - mlat, 2) + pow(lon - mlon, 2), address_id)) AS lat, arg_min(lon, (pow(lat - mlat, 2) + pow(lon - mlon, 2), address_id)) AS lon FROM a JOIN m USING (street_id) GROUP BY place, street_id, name, city""")
+def search_street_points(spark, d):
+    """Streets by name, each at the address nearest its median."""
+    return addresses.search(*_addresses(spark, d), "  RED", 20)
+
+
 @plan("x7_majority", "WITH c AS (SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY ALL), b AS (SELECT c_mktsegment, max(n) AS most, arg_min(c_nationkey, (-n, c_nationkey)) AS winner FROM c GROUP BY 1) SELECT c_mktsegment, winner, coalesce(string_agg(c_nationkey, ',' ORDER BY c_nationkey) FILTER (c_nationkey <> winner AND n >= most * 0.9), '') AS runners_up FROM c JOIN b USING (c_mktsegment) GROUP BY ALL")
 def majority(spark, d):
     """The nation that most customers of a segment come from, and those close behind."""

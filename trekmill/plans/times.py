@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trekmill.functions import clock
-from trekmill.operators import relational, temporal
+from trekmill.operators import relational, temporal, timetable
 from trekmill.plans.base import EVENT, events, plan, table
 from trekmill.streaming import navigation
 
@@ -235,14 +235,16 @@ def ranked_alerts(spark, d):
     return found.orderBy(rank, F.desc("newest"), "user_id", "event_type").limit(20)
 
 
-@plan("a15_pattern_interning", """WITH p AS (SELECT l_orderkey, string_agg(l_suppkey % 4 || ':' || l_linenumber, ',' ORDER BY l_linenumber, l_suppkey % 4) AS pattern FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey)
-SELECT pattern, count(*) AS trips, min(l_orderkey) AS first_trip FROM p GROUP BY pattern""")
+@plan("a15_pattern_interning", """WITH c AS (SELECT l_orderkey AS trip, l_linenumber AS seq, min(l_suppkey % 4) AS stop FROM lineitem GROUP BY ALL), p AS (SELECT trip, string_agg(stop || ':' || seq, ',' ORDER BY seq) AS pattern FROM c GROUP BY trip)
+SELECT pattern, count(*) AS trips, min(trip) AS first_trip FROM p GROUP BY pattern""")
 def pattern_interning(spark, d):
-    """Trips with equal ordered stop lists share a pattern."""
-    stop = F.struct("l_linenumber", (F.col("l_suppkey") % 4).alias("s"))
-    p = table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(stop)).alias("stops"))
-    text = F.array_join(F.transform("stops", lambda x: F.concat_ws(":", x.s, x.l_linenumber)), ",")
-    return p.groupBy(text.alias("pattern")).agg(F.count("*").alias("trips"), F.min("l_orderkey").alias("first_trip"))
+    """Whole trips with equal ordered stop lists and offsets share a pattern."""
+    calls = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("trip_id"), F.col("l_linenumber").alias("seq")).agg(F.min(F.col("l_suppkey") % 4).alias("stop_id"))
+    trips, kinds = timetable.patterns(calls.withColumn("minute", F.col("seq")))
+    starts = trips.groupBy("pattern", "start").agg(F.count("*").alias("trips"), F.min("trip_id").alias("first_trip"))
+    lists = kinds.groupBy("pattern").agg(F.sort_array(F.collect_list(F.struct("seq", "stop_id", "offset"))).alias("s"))
+    text = F.array_join(F.transform("s", lambda x: F.concat_ws(":", x.stop_id, x.offset + F.col("start"))), ",")
+    return starts.join(lists, "pattern").select(text.alias("pattern"), "trips", "first_trip")
 
 
 @plan("x19_parallel_arrays", f"WITH {EVENT}, a AS (SELECT user_id, list(day ORDER BY event_id) AS days, list(CASE WHEN event_id % 7 > 0 THEN event_id END ORDER BY event_id) AS ids FROM event GROUP BY user_id), z AS (SELECT user_id, unnest(days) AS day, unnest(ids) AS id FROM a) SELECT user_id, day, id FROM z WHERE id IS NOT NULL AND day >= DATE '2024-01-15'")
