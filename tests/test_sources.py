@@ -110,3 +110,12 @@ def test_text_columns(spark):
     assert one(T.intent(F.lit("Where are hotels?"), {"sleep": ["hotel"], "eat": ["food"]})) == ["sleep"]
     assert one(T.in_language(F.from_json(F.lit('[{"lang":"fr","text":"b"}]'), "array<struct<lang:string,text:string>>"), "it")) is None
     assert one(T.house_number(F.lit("Via Roma 12b"))) == "12b" and one(T.house_number(F.lit("Via Roma"))) == ""
+
+
+def test_snapshots_beyond_the_bounds_are_left_out_whole(monkeypatch):
+    trip = b"\x1a\x02\x0a\x00"  # an entity with an empty trip update
+    snapshot = b"".join(b"\x12" + bytes([len(trip)]) + trip for _ in range(3))
+    assert len(list(realtime.trip_updates(snapshot))) == 3
+    monkeypatch.setattr(realtime, "MOST_ENTITIES", 2)
+    with pytest.raises(ValueError, match="too many"):
+        list(realtime.trip_updates(snapshot))

@@ -48,3 +48,10 @@ def test_upper_median_of_ties_and_spread(spark):
     rows = [(g, x) for g, xs in groups.items() for x in xs] + [("ties", None), ("none", None)]
     got = {r.g: r.m for r in spatial.upper_median(spark.createDataFrame(rows, "g string, x double"), ["g"], "x", "m").collect()}
     assert got == {g: sorted(xs)[len(xs) // 2] for g, xs in groups.items()}
+
+
+def test_nearest_box(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 9.0)], "id int, lat double, lon double")
+    boxes = spark.createDataFrame([("b", -1.0, -1.0, 1.0, 1.0), ("a", -2.0, -2.0, 2.0, 2.0), ("c", 8.0, -1.0, 10.0, 1.0), ("d", None, 0.0, 9.0, 9.0)], "net string, west double, south double, east double, north double")
+    assert {r.id: r.net for r in spatial.nearest_box(points, boxes, "net").collect()} == {1: "a", 2: "c"}
+    assert {r.net for r in spatial.nearest_box(points, boxes.limit(0), "net").collect()} == {None}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trekmill.functions.geo import METERS_A_DEGREE, haversine_m, planar_m, segment_m
+from trekmill.functions.geo import METERS_A_DEGREE, box_distance_m, haversine_m, planar_m, segment_m
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -73,6 +73,17 @@ def nearest(a: DataFrame, b: DataFrame, key: str, b_key: str, meters: float) ->
     return pairs.groupBy(key).agg(F.min(F.struct(F.round("meters", 3).alias("meters"), F.col(b_key))).alias("m")).select(key, f"m.{b_key}", "m.meters")
 
 
+def nearest_box(points: DataFrame, boxes: DataFrame, name: str) -> DataFrame:
+    """points (lat, lon, ...) with `name` of the nearest box (name, west, south, east, north); of equal ones, in whole meters, the least.
+
+    For a few boxes, such as networks: they are gathered in one row that goes to every task, so points aren't paired in a join.
+    Boxes with a null bound count for nothing; without boxes the name is null.
+    """
+    few = boxes.where("west is not null and south is not null and east is not null and north is not null").agg(F.collect_list(F.struct(name, "west", "south", "east", "north")).alias("_boxes"))
+    far = lambda b: F.struct(F.round(box_distance_m(F.col("lat"), F.col("lon"), b.west, b.south, b.east, b.north)).alias("m"), b[name].alias("name"))
+    return points.join(F.broadcast(few)).withColumn(name, F.array_min(F.transform("_boxes", far))["name"]).drop("_boxes")
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, key: str, name: str) -> DataFrame:
     """(key, name, distance): the nearest segment (ax, ay, bx, by) of each point (x, y) in reach, in plane units.
 

@@ -334,11 +334,9 @@ def nearest_embassies(spark, d):
 
 @plan("t10_nearest_network", f"WITH {PLACE}, {STOP}, net AS (SELECT nation, min(lat_e6) / 1e6 AS s, max(lat_e6) / 1e6 AS n, min(lon_e6) / 1e6 AS w, max(lon_e6) / 1e6 AS e FROM stop GROUP BY nation) SELECT id, arg_min(net.nation, (round({PLANAR.format(lat1='lat', lon1='lon', lat2='least(greatest(lat, s), n)', lon2='least(greatest(lon, w), e)')}), net.nation)) AS network FROM (SELECT id, lat_e6 / 1e6 AS lat, lon_e6 / 1e6 AS lon FROM place) p CROSS JOIN net GROUP BY id")
 def nearest_network(spark, d):
-    """Networks are few (a box for each): their boxes are one row's array, met without pairing rows in a join."""
-    net = stops(spark, d).groupBy("nation").agg(*(f("lat_e6").alias(n) for f, n in ((F.min, "s"), (F.max, "n"))), *(f("lon_e6").alias(n) for f, n in ((F.min, "w"), (F.max, "e"))))
-    boxes = F.from_json(F.lit("[" + ",".join(r.asDict().__repr__().replace("'", '"') for r in net.collect()) + "]"), "array<struct<nation:int,s:long,n:long,w:long,e:long>>")
-    far = lambda b: F.struct(F.round(geo.box_distance_m(F.col("lat"), F.col("lon"), b.w / 1e6, b.s / 1e6, b.e / 1e6, b.n / 1e6)).alias("m"), b.nation.alias("nation"))
-    return degrees(places(spark, d)).select("id", F.array_min(F.transform(boxes, far)).nation.alias("network"))
+    """The network whose box of stops is nearest to each place."""
+    at = degrees(stops(spark, d)).groupBy(F.col("nation").alias("network")).agg(F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+    return spatial.nearest_box(degrees(places(spark, d)), at, "network").select("id", "network")
 
 
 @plan("g4_tiles", f"WITH {PLACE} SELECT id, CAST(floor((lon_e6 / 1e6 + 180) / 360 * 1024) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat_e6 / 1e6)) + 1 / cos(radians(lat_e6 / 1e6))) / pi()) / 2 * 1024) AS BIGINT) AS y FROM place")

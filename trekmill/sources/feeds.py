@@ -129,7 +129,7 @@ def wiki_pages(spark: SparkSession, path: str, titles: DataFrame) -> DataFrame:
     return pages.where("ns = 0").select("title", F.col("revision.text._VALUE").alias("text")).join(titles, "title", "left_semi")
 
 
-#: Fixed values of the weather service's feed: severities, message types, events for ships alone, and words that tell a kind.
+#: The feed's severities and message types; of the product, events that it takes as for ships alone and words that tell a kind.
 SEVERITIES = {"Minor": 0, "Moderate": 1, "Severe": 2, "Extreme": 3}
 MESSAGES = ("Alert", "Update")
 MARINE = (

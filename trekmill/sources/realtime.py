@@ -50,22 +50,29 @@ def _signed(value: int) -> int:
 
 
 def trip_updates(data: bytes) -> Iterator[tuple]:
-    """(stamp, trip_id, start_date, route_id, relationship, stop_sequence, stop_id, delay, time, stop_relationship)."""
+    """(stamp, trip_id, start_date, route_id, relationship, stop_sequence, stop_id, delay, time, stop_relationship).
+
+    A snapshot beyond the bounds on its size, trips or a trip's stops is an error, so that none is read in part.
+    """
     if len(data) > MOST_BYTES:
         raise ValueError("snapshot too large")
     stamp, updates = None, []
     for number, value in fields(data):
         if number == 1:
             stamp = next((v for n, v in fields(value) if n == 3), None)
-        elif number == 2 and len(updates) < MOST_ENTITIES:
+        elif number == 2:
             updates += [v for n, v in fields(value) if n == 3]
+            if len(updates) > MOST_ENTITIES:
+                raise ValueError("too many trips")
     for update in updates:
         trip, stops = {}, []
         for number, value in fields(update):
             if number == 1:
                 trip = dict(fields(value))
-            elif number == 2 and len(stops) < MOST_STOPS:
+            elif number == 2:
                 stops.append(dict(fields(value)))
+                if len(stops) > MOST_STOPS:
+                    raise ValueError("too many stops")
         text = lambda d, n: d[n].decode("utf-8", "replace") if n in d else None
         head = (stamp, text(trip, 1), text(trip, 3), text(trip, 5), trip.get(4, 0))
         if not stops:
