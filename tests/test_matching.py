@@ -49,3 +49,30 @@ def test_merged_embassies(spark):
     missions = spark.createDataFrame([("IT", 11, "embassy", "06-1234567", "Ambasciata", "a", False), ("IT", 12, "other", None, "Consulate of Chile", "b", False), ("IT", 13, "embassy", None, "Embassy of Spain", "c", True)], "host string, mission_id long, kind string, phone string, name string, site string, local boolean")
     got = matching.merge_embassies(pois, missions, ["host"], ["phone", "site"]).orderBy(F.col("kind").asc_nulls_first(), F.desc("local"), "name_key").collect()
     assert [(r.poi_id, r.mission_id, r.kind, r.phone, r.site, r.local) for r in got] == [(2, None, None, None, "mine", True), (1, 11, 1, "+39 06 1234567", "a", True), (None, 13, 1, None, "c", True), (None, 12, 3, None, "b", False)]
+
+
+def brute_terms(body, vocabulary):
+    """A loop over all terms, each looked for from the start until a place is free."""
+    low, taken, out = "".join(c.lower() if len(c.lower()) == 1 else c for c in body or ""), [], []
+    for term in sorted(set(vocabulary), key=lambda t: (-len(t), t)):
+        at = low.find(term.lower())
+        while at >= 0:
+            end = at + len(term)
+            bounded = (at == 0 or not low[at - 1].isalnum()) and (end == len(low) or not low[end].isalnum())
+            if bounded and all(end <= a or at >= b for a, b in taken):
+                taken.append((at, end))
+                out.append((term, at, end))
+                break
+            at = low.find(term.lower(), at + 1)
+    return out
+
+
+def test_terms_against_a_loop_over_all_of_them(spark):
+    rng = random.Random(6)
+    words = ["old", "town", "old town", "town hall", "hall", "a", "old town hall", "\u00fcber", "hall.", "t"]
+    bodies = [" ".join(rng.choice([*words, "Old", "TOWN", "halls", "x", "\u0130"]) for _ in range(rng.randrange(0, 12))) for _ in range(200)] + [None, "", "town-hall old_town"]
+    got = {}
+    for r in matching.term_links(spark.createDataFrame(list(enumerate(bodies)), "section_id long, body string"), words).collect():
+        got.setdefault(r.section_id, []).append((r.term, r.start, r.end))
+    assert got == {i: found for i, b in enumerate(bodies) if (found := brute_terms(b, words))}
+    assert matching.term_links(spark.createDataFrame([(1, "a")], "section_id long, body string"), []).count() == 0

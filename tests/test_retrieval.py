@@ -102,3 +102,10 @@ def test_query_against_brute_force(spark):
         stems = {w if len(w) == 4 else w[:5] if len(w) < 8 else w[:6] for w in words}
         sections = [(r.turn, r.text, r.turn % 4 == 1, r.turn > 1) for r in own if r.role == "assistant"]
         assert (g.context, g.used) == brute(sections, stems, asked if g.conv_id % 5 == 0 else None, 2000)
+
+
+def test_paragraph_packing_query_against_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = {r.doc_id: r.text for r in QUERIES["s8_paragraph_packing"](spark, d).collect()}
+    assert got == {i: relevant(t, ["the", "und", "les", "que"], 600) if t is not None else None for i, t in texts.items()}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -119,25 +121,41 @@ def name_clusters(stops: DataFrame, meters: float = 100.0, rounds: int = 60) ->
     raise RuntimeError("clusters have not settled")
 
 
+def place_terms(body: str, automaton, terms: list[str]) -> list[tuple[str, int, int]]:
+    """(term, start, end) in a body: longest terms first, without overlap, each at the first place that is free for it."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in body)  # as long as body
+    found = []
+    for last, n in automaton.iter(low):
+        start, end = last + 1 - len(terms[n]), last + 1
+        if (start == 0 or not low[start - 1].isalnum()) and (end == len(low) or not low[end].isalnum()):
+            found.append((n, start, end))
+    used, taken, starts = set(), [], []
+    for n, start, end in sorted(found):
+        if n in used:
+            continue
+        at = bisect(starts, start)  # taken spans are kept in order and apart, so only the neighbours can overlap
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+            used.add(n)
+            starts.insert(at, start)
+            taken.insert(at, (start, end, n))
+    return [(terms[n], start, end) for start, end, n in sorted(taken, key=lambda t: t[2])]
+
+
 def term_links(sections: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(section_id, term, start, end): longest terms first, without overlap, each once in a section; a bounded vocabulary."""
-    ordered = sorted(vocabulary, key=lambda t: (-len(t), t))
+    """(section_id, term, start, end): longest terms first, without overlap, each once in a section; a bounded vocabulary.
+
+    Letters' case doesn't count, and a term isn't part of a longer run of letters or digits. All places of all terms are found in
+    one pass over a section, whatever the number of terms.
+    """
+    ordered = sorted({t for t in vocabulary if t}, key=lambda t: (-len(t), t))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for n, term in reversed(list(enumerate(ordered))):  # of terms that differ in case alone the first stays
+            automaton.add_word("".join(c.lower() if len(c.lower()) == 1 else c for c in term), n)
+        automaton.make_automaton()
         for batch in batches:
-            out = []
-            for section, body in zip(batch.section_id, batch.body, strict=True):
-                low, taken = "".join(c.lower() if len(c.lower()) == 1 else c for c in body or ""), []  # as long as body
-                for term in ordered:
-                    at = low.find(term.lower())
-                    while at >= 0:
-                        end = at + len(term)
-                        bounded = (at == 0 or not low[at - 1].isalnum()) and (end == len(low) or not low[end].isalnum())
-                        if bounded and all(end <= a or at >= b for a, b in taken):
-                            taken.append((at, end))
-                            out.append((section, term, at, end))
-                            break
-                        at = low.find(term.lower(), at + 1)
+            out = [(section, *found) for section, body in zip(batch.section_id, batch.body, strict=True) if body and ordered for found in place_terms(body, automaton, ordered)]
             yield pd.DataFrame(out, columns=["section_id", "term", "start", "end"])
 
     return sections.select("section_id", "body").mapInPandas(run, "section_id long, term string, start int, end int")
