@@ -109,3 +109,22 @@ def test_paragraph_packing_query_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     got = {r.doc_id: r.text for r in QUERIES["s8_paragraph_packing"](spark, d).collect()}
     assert got == {i: relevant(t, ["the", "und", "les", "que"], 600) if t is not None else None for i, t in texts.items()}
+
+
+def test_precedence_against_the_rules_one_by_one(spark):
+    rng = random.Random(12)
+    asked, scored = [], []
+    for q in range(80):
+        asked.append((q, rng.choice([None, True, False]), rng.choice([None, True, False]), rng.choice([None, True, False]), rng.choice(["it", "en"])))
+        scored += [(q, i, float(rng.randrange(1, 9)), rng.choice(["country", "city", "general"]), rng.choice(["history", "climate", "food", None])) for i in range(rng.randrange(1, 9))]
+    got = {}
+    found = retrieval.rank_sections(spark.createDataFrame(scored, "query int, id int, score double, kind string, category string"), spark.createDataFrame(asked, "query int, country_first boolean, history_or_climate boolean, general_question boolean, language string"))
+    for r in sorted(found.collect(), key=lambda r: (r.query, r.nth)):
+        got.setdefault(r.query, []).append(r.id)
+    for q, country_first, about, general, language in asked:
+        own = [(i, s * 0.1 if kind == "city" and about is False and cat in ("history", "climate") else s, kind) for o, i, s, kind, cat in scored if o == q]
+        top = sorted((x for x in own if x[2] != "general"), key=lambda x: (country_first is not None and (x[2] == "country") != country_first, -x[1], x[0]))[:3]
+        world = min((x for x in own if x[2] == "general"), key=lambda x: (-x[1], x[0]), default=None)
+        ratio = 1 if language == "it" or general else 2
+        first = world and (not top or (country_first is not False and world[1] > ratio * max(x[1] for x in top)))
+        assert got[q] == [x[0] for x in ([world] if first else []) + top]

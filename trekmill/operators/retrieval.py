@@ -57,6 +57,33 @@ def pack(sections: DataFrame, by: list[str], order: list, size: str, budget: int
     return sections.withColumn("used", run).where(F.col("used") <= budget)
 
 
+#: Weight of a city's history and climate where the question isn't about them; how far the general guide must lead to come first.
+OFF_TOPIC, GENERAL_LEAD = 0.1, 2.0
+
+
+def rank_sections(scored: DataFrame, questions: DataFrame, query: str = "query", key: str = "id", limit: int = 3) -> DataFrame:
+    """(query, key, nth): the sections that a question is answered from, in order.
+
+    scored: query, key, score, kind ('country', 'city' or 'general'), category; questions: query, country_first (null: neither),
+    history_or_climate, general_question, language. Of the country's and the cities' sections the `limit` best count, those of the kind that goes
+    first before the others, then by score; of equal ones the least key goes first. The best general page stands before them if there are none, or if no city is
+    asked for first and its score is above theirs times GENERAL_LEAD (times one in Italian and for general questions).
+    """
+    asked = scored.join(questions, query)
+    off = (F.col("kind") == "city") & ~F.coalesce("history_or_climate", F.lit(True)) & F.col("category").isin("history", "climate")
+    asked = asked.withColumn("score", F.when(off, F.col("score") * OFF_TOPIC).otherwise(F.col("score")))
+    behind = F.coalesce((F.col("kind") == "country") != F.col("country_first"), F.lit(False))
+    group = Window.partitionBy(query, F.col("kind") == "general")
+    ranked = asked.withColumn("nth", F.row_number().over(group.orderBy(behind, F.desc("score"), key)))
+    ranked = ranked.where(F.col("nth") <= F.when(F.col("kind") == "general", 1).otherwise(limit))  # a few rows a question from here on
+    best = F.max(F.when(F.col("kind") != "general", F.col("score"))).over(Window.partitionBy(query))
+    lead = F.when((F.col("language") == "it") | F.coalesce("general_question", F.lit(False)), 1.0).otherwise(GENERAL_LEAD)
+    first = best.isNull() | (F.coalesce("country_first", F.lit(True)) & (F.col("score") > lead * best))
+    kept = ranked.withColumn("goes_first", first).where((F.col("kind") != "general") | F.col("goes_first"))
+    place = F.row_number().over(Window.partitionBy(query).orderBy(F.col("kind") != "general", "nth"))
+    return kept.select(query, key, place.alias("nth"))
+
+
 #: Room below which another section would be a scrap only; characters of a note; share of a general page before others.
 LEAST_ROOM, NOTE_ROOM, GENERAL_SHARE = 50, 500, 0.7
 

@@ -162,6 +162,21 @@ def top_sections(spark, d):
     return _searched(spark, d).select("query", "id", n.cast("long").alias("n")).where("n <= 6")
 
 
+@plan("q7_ranked_sections", f"""{_BM25}, a AS (SELECT DISTINCT query, CAST(right(query, 1) AS INTEGER) % 3 AS k FROM q), qs AS (SELECT query, CASE k WHEN 0 THEN true WHEN 1 THEN false END AS country_first, k = 1 AS history_or_climate, k = 2 AS general_question FROM a),
+x AS (SELECT query, id, round(score, 6) AS raw, CASE id % 3 WHEN 0 THEN 'country' WHEN 1 THEN 'city' ELSE 'general' END AS kind, CASE id % 4 WHEN 0 THEN 'history' WHEN 1 THEN 'climate' ELSE 'food' END AS category FROM r),
+y AS (SELECT x.*, country_first, general_question, CASE WHEN kind = 'city' AND NOT history_or_climate AND category IN ('history', 'climate') THEN raw * 0.1 ELSE raw END AS score FROM x JOIN qs USING (query)),
+z AS (SELECT *, row_number() OVER (PARTITION BY query, kind = 'general' ORDER BY coalesce((kind = 'country') <> country_first, false), score DESC, id) AS nth FROM y),
+t AS (SELECT *, max(score) FILTER (kind <> 'general') OVER (PARTITION BY query) AS best FROM z WHERE nth <= CASE WHEN kind = 'general' THEN 1 ELSE 3 END)
+SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY kind <> 'general', nth) AS nth FROM t WHERE kind <> 'general' OR best IS NULL OR (coalesce(country_first, true) AND score > CASE WHEN general_question THEN 1 ELSE 2 END * best)""")
+def ranked_sections(spark, d):
+    """The sections that each question is answered from: off-topic ones weigh less, a kind may go first, the general guide has to lead."""
+    pick = lambda by, *cases: F.coalesce(*(F.when(by == i, F.lit(v)) for i, v in enumerate(cases)))
+    found = _searched(spark, d).withColumns({"score": F.round("score", 6), "kind": pick(F.col("id") % 3, "country", "city", "general"), "category": pick(F.col("id") % 4, "history", "climate", "food", "food")})
+    k = F.right("query", F.lit(1)).cast("int") % 3
+    asked = found.select("query").distinct().select("query", F.when(k == 0, True).when(k == 1, False).alias("country_first"), (k == 1).alias("history_or_climate"), (k == 2).alias("general_question"), F.lit("en").alias("language"))
+    return retrieval.rank_sections(found, asked).select("query", "id", F.col("nth").cast("long").alias("nth"))
+
+
 @plan("q8_context_packing", "SELECT doc_id, used FROM (SELECT doc_id, CAST(sum(n_chars + 2) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents) WHERE used <= 2000")
 def context_packing(spark, d):
     return retrieval.pack(table(spark, d, "documents").select("doc_id", "source", "n_chars"), ["source"], ["n_chars", "doc_id"], "n_chars", 2000).select("doc_id", "used")
