@@ -125,7 +125,8 @@ def clip_to_box(ring: Column, west: Column, south: Column, east: Column, north:
 
 
 def ring_area(ring: Column) -> Column:
-    """Unsigned area in square degrees."""
-    ends = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    parts = F.zip_with(ring, ends, lambda p, q: p.lon * q.lat - q.lon * p.lat)
+    """Unsigned area in square degrees. Corners count from the first one, so that a small ring far from 0, 0 keeps its digits."""
+    first = F.get(ring, F.lit(0))
+    near = F.transform(ring, lambda p: F.struct((p.lat - first.lat).alias("lat"), (p.lon - first.lon).alias("lon")))
+    parts = F.zip_with(near, F.concat(F.slice(near, 2, F.size(near)), F.slice(near, 1, 1)), lambda p, q: p.lon * q.lat - q.lon * p.lat)
     return F.abs(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)) / 2
