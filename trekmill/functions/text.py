@@ -128,7 +128,7 @@ def url_path(title: Column) -> Column:
 
 def paragraphs(text: Column, least: int) -> Column:
     """array of chunks: neighbouring paragraphs are joined until a chunk has `least` characters; the rest is the last."""
-    parts = F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"\n+"), lambda p: F.trim(p)), lambda p: p != "")  # F.trim itself would take the index as characters to trim
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(s: Column, p: Column) -> Column:
