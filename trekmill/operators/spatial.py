@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekmill.functions.geo import METERS_A_DEGREE, box_distance_m, haversine_m, planar_m, segment_m
+from trekmill.operators.regions import points_in
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -97,21 +98,20 @@ def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, key: s
     return pairs.groupBy(key).agg(F.min(F.struct("distance", name)).alias("m")).select(key, f"m.{name}", "m.distance")
 
 
+def ring_edges(polygons: DataFrame, polygon: str) -> DataFrame:
+    """(polygon, x1, y1, x2, y2) from (polygon, ring: array of struct<lat,lon>)."""
+    ring = F.col("ring")
+    sides = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda p, q: F.struct(p.lon.alias("x1"), p.lat.alias("y1"), q.lon.alias("x2"), q.lat.alias("y2")))
+    return polygons.select(polygon, F.inline(sides))
+
+
 def inside(points: DataFrame, polygons: DataFrame, key: str, polygon: str, cell: float = 0.25) -> DataFrame:
     """(key, polygon) of points (lat, lon) in polygons (one row for each, `ring`: array of struct<lat,lon>, holes by even-odd).
 
-    A polygon is dealt to the cells of its box, so a point meets only polygons whose box reaches its cell. Of those it meets the
-    edges that cross its band of latitude, and is inside if a ray to the east crosses an odd number.
+    A polygon is dealt to the cells that it reaches: a point in a cell that is inside as a whole is in, at the boundary the edges
+    of its row of cells are asked.
     """
-    ring = F.col("ring")
-    side = lambda of, axis: of(F.transform(ring, lambda p: p[axis]))
-    cells = lambda axis: F.sequence(_cell(side(F.array_min, axis), cell), _cell(side(F.array_max, axis), cell))
-    boxes = polygons.select(polygon, F.explode(cells("lat")).alias("_band"), cells("lon").alias("_lons")).select(polygon, "_band", F.explode("_lons").alias("_cx"))
-    met = points.withColumns({"_band": _cell(F.col("lat"), cell), "_cx": _cell(F.col("lon"), cell)}).join(boxes, ["_band", "_cx"])
-    edges = polygons.select(polygon, F.explode(F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda p, q: F.struct(p.lat.alias("y1"), p.lon.alias("x1"), q.lat.alias("y2"), q.lon.alias("x2")))).alias("e")).select(polygon, "e.*")
-    edges = edges.where("y1 <> y2").withColumn("_band", F.explode(F.sequence(_cell(F.least("y1", "y2"), cell), _cell(F.greatest("y1", "y2"), cell))))
-    crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    return met.join(edges, [polygon, "_band"]).where(crosses).groupBy(key, polygon).count().where("count % 2 = 1").select(key, polygon)
+    return points_in(points, ring_edges(polygons, polygon), key, polygon, cell)
 
 
 def grid_representatives(points: DataFrame, key: str, cell: Column, by: list[str] | None = None) -> DataFrame:
