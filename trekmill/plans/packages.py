@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trekmill.functions import text
-from trekmill.operators import alerts, catalog, relational, spatial
+from trekmill.operators import alerts, catalog, relational, regions, spatial
 from trekmill.plans.base import EVENT, PLACE, PLANAR, STOP, degrees, events, places, plan, stops, table
 from trekmill.sources import feeds
 
@@ -332,7 +332,7 @@ def promotion(spark, d):
     corner = lambda dx, dy: F.struct((F.col("lat") + dy).alias("lat"), (F.col("lon") + dx).alias("lon"))
     rings = degrees(stops(spark, d)).select("stop_id", F.array(corner(-0.4, -0.3), corner(0.5, -0.1), corner(0, 0.35)).alias("ring"))
     p = degrees(places(spark, d))
-    hit = spatial.inside(p, rings, "id", "stop_id").select("id").distinct().withColumn("hit", F.lit(2))
+    hit = regions.points_in_any(p, spatial.ring_edges(rings, "stop_id"), "id", "stop_id", 0.1).withColumn("hit", F.lit(2))
     return p.join(hit, "id", "left").select("id", (F.col("id") % 3 + F.coalesce("hit", F.lit(0))).alias("fame"))
 
 
