@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekmill.functions.geo import METERS_A_DEGREE, box_distance_m, haversine_m, planar_m, segment_m
-from trekmill.operators.regions import points_in
+from trekmill.operators.lineage import written
+from trekmill.operators.regions import points_in, touched
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -68,10 +73,42 @@ def drop_near(a: DataFrame, b: DataFrame, meters: float, same: list[str]) -> Dat
     return left.alias("a").join(right.alias("b"), on, "left_anti").drop("_cy", "_cx")
 
 
+def _least(pairs: DataFrame, key: str, far: str, name: str) -> DataFrame:
+    """(key, name, far): the least pair of each key, ties to the lesser name. Pairs are made twice: that is cheaper than a sort of them."""
+    best = pairs.groupBy(key).agg(F.min(far).alias("_best"))
+    return pairs.select(key, name, far).join(best, key).where(F.col(far) == F.col("_best")).groupBy(key).agg(F.min(name).alias(name), F.first(far).alias(far))
+
+
+def _halvings(b: DataFrame, cy: Column, cx: Column, most: int = 12) -> int:
+    """How often a cell's side is to be halved so that a row of b shares its cell with two others or so, where rows are as dense as around most."""
+    dense = b.groupBy(cy, cx).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0] or 1.0  # one row
+    return min(most, max(0, math.ceil(math.log(dense / 3, 4))))
+
+
+def _in_widening_reach(a: DataFrame, key: str, find: Callable[[DataFrame, float], DataFrame], reach: float, halvings: int, least: float, far: str) -> DataFrame:
+    """find(a, reach), by way of small reaches: rows of a that find something leave, the others ask again in twice the reach.
+
+    What is found nearer than the reach by `least`, the distance's rounding, is what the whole reach would give, ties included.
+    """
+    parts, left = [], a
+    for n in range(halvings, 0, -1):
+        within = reach / 2**n
+        parts.append(written(find(left, within).where(F.col(far) < within - least)))
+        left = left.join(parts[-1].select(key), key, "left_anti")
+    return reduce(DataFrame.unionByName, [*parts, find(left, reach)])
+
+
 def nearest(a: DataFrame, b: DataFrame, key: str, b_key: str, meters: float) -> DataFrame:
-    """For each row of a the nearest row of b in reach, ties to the lesser b_key; (key, b_key, meters)."""
-    pairs = within_distance(a, b, meters)
-    return pairs.groupBy(key).agg(F.min(F.struct(F.round("meters", 3).alias("meters"), F.col(b_key))).alias("m")).select(key, f"m.{b_key}", "m.meters")
+    """For each row of a the nearest row of b in reach, ties to the lesser b_key; (key, b_key, meters).
+
+    key tells the rows of a apart. Where rows of b are dense, small reaches are tried first.
+    """
+
+    def find(some: DataFrame, reach: float) -> DataFrame:
+        return _least(within_distance(some, b, reach).withColumn("meters", F.round("meters", 3)), key, "meters", b_key)
+
+    step = meters / METERS_A_DEGREE
+    return _in_widening_reach(a, key, find, meters, _halvings(b, _cell(F.col("b_lat"), step), _cell(F.col("b_lon"), step)), 0.002, "meters")
 
 
 def nearest_box(points: DataFrame, boxes: DataFrame, name: str) -> DataFrame:
@@ -88,14 +125,19 @@ def nearest_box(points: DataFrame, boxes: DataFrame, name: str) -> DataFrame:
 def nearest_segment(points: DataFrame, segments: DataFrame, reach: float, key: str, name: str) -> DataFrame:
     """(key, name, distance): the nearest segment (ax, ay, bx, by) of each point (x, y) in reach, in plane units.
 
-    A segment is dealt to the cells of its box, a point to its own and those around it.
+    A segment is dealt to the cells that it touches, a point to its own and those around it. Where segments are dense, small
+    reaches are tried first. name tells segments apart, key points.
     """
-    cells = lambda lo, hi: F.sequence(_cell(F.least(lo, hi), reach), _cell(F.greatest(lo, hi), reach))
-    parts = segments.withColumn("_cx", F.explode(cells(F.col("ax"), F.col("bx")))).withColumn("_cy", F.explode(cells(F.col("ay"), F.col("by"))))
-    pairs = _around(points, "y", "x", reach).join(parts, ["_cy", "_cx"])
-    far = segment_m(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    pairs = pairs.withColumn("distance", F.round(far, 6)).where(F.col("distance") <= reach)
-    return pairs.groupBy(key).agg(F.min(F.struct("distance", name)).alias("m")).select(key, f"m.{name}", "m.distance")
+    edges = segments.select(name, F.col("ax").alias("x1"), F.col("ay").alias("y1"), F.col("bx").alias("x2"), F.col("by").alias("y2"))
+
+    def find(some: DataFrame, within: float) -> DataFrame:
+        parts = touched(edges, name, within).withColumnsRenamed({"cy": "_cy", "cx": "_cx"})
+        pairs = _around(some, "y", "x", within).join(parts, ["_cy", "_cx"])
+        far = segment_m(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
+        pairs = pairs.withColumn("distance", F.round(far, 6)).where(F.col("distance") <= within)
+        return _least(pairs, key, "distance", name)
+
+    return _in_widening_reach(points, key, find, reach, _halvings(segments, _cell(F.col("ay"), reach), _cell(F.col("ax"), reach)) + 2, 2e-6, "distance")
 
 
 def ring_edges(polygons: DataFrame, polygon: str) -> DataFrame:
