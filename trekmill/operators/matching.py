@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekmill.functions.geo import planar_m
@@ -25,45 +25,89 @@ def kind_order(kind: Column) -> Column:
     return F.when(kind.isNotNull(), F.when(at > 0, at).otherwise(len(MISSION_KINDS)).cast("int"))
 
 
-def embassy_candidates(pois: DataFrame, missions: DataFrame, by: list[str]) -> DataFrame:
-    """(by, poi_id, mission_id, rank, kind): pairs with equal phone suffix (0), or of one kind and with names that fit (1).
+def _ready(df: DataFrame, key: str, by: list[str]) -> DataFrame:
+    names = F.col("names") if "names" in df.columns else F.array("name")
+    words = F.transform(F.filter(names, lambda n: n.isNotNull()), lambda n: F.sort_array(F.array_distinct(F.filter(terms(n), lambda w: F.length(w) > 1))))
+    return df.select(*by, F.col(key), kind_order(F.col("kind")).alias("kind"), phone_suffix(F.col("phone")).alias("tel"), F.array_distinct(F.filter(words, lambda w: F.size(w) > 0)).alias("names"))
 
-    Both sides: by, id, kind, phone, and name or an array of `names`. A place without kind fits any mission. Names fit if their
-    word sets are equal, or one holds the other, which has two words or more or belongs to a place whose kind is known; words of one letter
-    don't count. kind is the mission's place in MISSION_KINDS.
 
-    Pairs meet by phone, or by a word: all words of the name that is held are shared, so its rarest one is, and only that is
-    looked for among the other name's words. How rare a word is within `by` is counted over both sides.
-    """
+def _both_ready(pois: DataFrame, missions: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    return _ready(pois, "poi_id", by), _ready(missions, "mission_id", by).withColumn("kind", F.coalesce("kind", F.lit(len(MISSION_KINDS))))
 
-    def ready(df: DataFrame, key: str) -> DataFrame:
-        names = F.col("names") if "names" in df.columns else F.array("name")
-        words = F.transform(F.filter(names, lambda n: n.isNotNull()), lambda n: F.sort_array(F.array_distinct(F.filter(terms(n), lambda w: F.length(w) > 1))))
-        return df.select(*by, F.col(key), kind_order(F.col("kind")).alias("kind"), phone_suffix(F.col("phone")).alias("tel"), F.array_distinct(F.filter(words, lambda w: F.size(w) > 0)).alias("names"))
 
-    p = ready(pois, "poi_id")
-    m = ready(missions, "mission_id").withColumn("kind", F.coalesce("kind", F.lit(len(MISSION_KINDS))))
-    by_tel = p.where("tel is not null").join(m.select(*by, "mission_id", "tel", F.col("kind").alias("kind_m")), [*by, "tel"]).select(*by, "poi_id", "mission_id", F.lit(0).alias("rank"), F.col("kind_m").alias("kind"))
+def _by_name(p: DataFrame, m: DataFrame, by: list[str], key: str = "poi_id") -> DataFrame:
+    """(by, key, mission_id, kind): pairs of one kind and with names that fit; repeated if several names do."""
 
     def words_of(df: DataFrame, key: str) -> DataFrame:
         return df.select(*by, key, "kind", F.explode("names").alias("w")).select("*", F.explode("w").alias("word"))
 
-    p_words, m_words = words_of(p, "poi_id"), words_of(m, "mission_id").withColumnsRenamed({"kind": "kind_m", "w": "w_m"})
+    p_words, m_words = words_of(p, key), words_of(m, "mission_id").withColumnsRenamed({"kind": "kind_m", "w": "w_m"})
     common = p_words.select(*by, "word").unionByName(m_words.select(*by, "word")).groupBy(*by, "word").agg(F.count("*").alias("n"))
 
     def rarest(words: DataFrame, own: list[str]) -> DataFrame:
         return words.join(common, [*by, "word"]).groupBy(*by, *own).agg(F.min_by("word", F.struct("n", "word")).alias("word"))
 
-    own_p, own_m = ["poi_id", "kind", "w"], ["mission_id", "kind_m", "w_m"]
+    own_p, own_m = [key, "kind", "w"], ["mission_id", "kind_m", "w_m"]
     held_in = (F.size("w") <= F.size("w_m")) & (F.size(F.array_except("w", "w_m")) == 0)
     holds = (F.size("w_m") <= F.size("w")) & (F.size(F.array_except("w_m", "w")) == 0)
     met = rarest(p_words, own_p).join(m_words, [*by, "word"]).where(held_in).unionByName(rarest(m_words, own_m).join(p_words, [*by, "word"]).where(holds))
     least = F.least(F.size("w"), F.size("w_m"))
     fits = (F.col("kind").isNull() | (F.col("kind") == F.col("kind_m"))) & ((F.col("w") == F.col("w_m")) | (least >= 2) | F.col("kind").isNotNull())
-    by_name = met.where(fits).select(*by, "poi_id", "mission_id", F.lit(1).alias("rank"), F.col("kind_m").alias("kind"))
+    return met.where(fits).select(*by, key, "mission_id", F.col("kind_m").alias("kind"))
+
+
+def embassy_candidates(pois: DataFrame, missions: DataFrame, by: list[str]) -> DataFrame:
+    """(by, poi_id, mission_id, rank, kind): pairs with equal phone suffix (0), or of one kind and with names that fit (1).
+
+    Both sides: by, id, kind, phone, and name or an array of `names`. A place without kind fits any mission. Names fit if their
+    word sets are equal, or one holds the other, which has two words or more or belongs to a place whose kind is known; words of one letter
+    don't count. kind is the mission's place in MISSION_KINDS.
+
+    Pairs meet by phone, or by a word: all words of the name that is held are shared, so its rarest one is, and only that is
+    looked for among the other name's words. How rare a word is within `by` is counted over both sides.
+    """
+    p, m = _both_ready(pois, missions, by)
+    by_tel = p.where("tel is not null").join(m.select(*by, "mission_id", "tel", F.col("kind").alias("kind_m")), [*by, "tel"]).select(*by, "poi_id", "mission_id", F.lit(0).alias("rank"), F.col("kind_m").alias("kind"))
+    by_name = _by_name(p, m, by).withColumn("rank", F.lit(1))
     return by_tel.unionByName(by_name).groupBy(*by, "poi_id", "mission_id").agg(F.min("rank").alias("rank"), F.first("kind").alias("kind"))
 
 
+def embassy_pairs(pois: DataFrame, missions: DataFrame, by: list[str]) -> DataFrame:
+    """(by, poi_id, mission_id): greedy_pairs of embassy_candidates, whose pairs are never formed.
+
+    Places of one phone have one list of missions, and so have those of one kind and one set of names: a place asks along its
+    phone's list, then along its names'. In each round the n-th place that asks along a list asks for the n-th mission of those
+    that the first one may still get, as the places before it leave none of the earlier ones. A mission is held for the least
+    place that has asked; others ask again, along the next list once theirs is used up. What is held when nobody asks any more is
+    the sequential result. Each round takes a row for each place that still asks and a row for each place in a list.
+    """
+    p, m = _both_ready(pois.dropna(subset=by), missions, by)
+    tel, names = (F.to_json(F.struct(*by, *c)) for c in (["tel"], ["kind", "names"]))
+    p = p.withColumns({"next": F.when(F.size("names") > 0, names), "list": F.when(F.col("tel").isNotNull(), tel)})
+    of_names = _by_name(p.where("next is not null").select(*by, "kind", "names", F.col("next").alias("list")).distinct(), m, by, "list")
+    of_tel = m.where("tel is not null").select(*by, tel.alias("list"), "mission_id", "kind")
+    lists = written(of_names.unionByName(of_tel).distinct())
+    used = lists.select("list").distinct()
+    known = used.select(F.col("list").alias("next"), F.lit(True).alias("_n"))
+    asking = p.select(*by, "poi_id", "list", "next").join(used.withColumn("_l", F.lit(True)), "list", "left").join(known, "next", "left")
+    asking = asking.select(*by, "poi_id", F.when(F.col("_l"), F.col("list")).alias("list"), F.when(F.col("_n"), F.col("next")).alias("next")).where("list is not null or next is not null")
+    asking = written(asking.select(*by, "poi_id", F.coalesce("list", "next").alias("list"), F.when(F.col("list").isNotNull(), F.col("next")).alias("next")))
+    held = written(asking.select(*by, F.lit(None).cast(missions.schema["mission_id"].dataType).alias("mission_id"), "poi_id", "list", "next").limit(0))
+    while not asking.isEmpty():
+        first = asking.groupBy("list").agg(F.min("poi_id").alias("_first"))
+        free = lists.join(first, "list").join(held.select(*by, "mission_id", F.col("poi_id").alias("_holder")), [*by, "mission_id"], "left").where("_holder is null or _holder > _first")
+        free = free.select("list", "mission_id", F.row_number().over(Window.partitionBy("list").orderBy("kind", "mission_id")).alias("_n"))
+        nth = asking.withColumn("_n", F.row_number().over(Window.partitionBy("list").orderBy("poi_id")))
+        asked = nth.join(free, ["list", "_n"], "left").select(*by, "mission_id", "poi_id", "list", "next")
+        turns = asked.where("mission_id is not null").unionByName(held)
+        best = turns.groupBy(*by, "mission_id").agg(F.min("poi_id").alias("_best"))
+        done = turns.join(best, [*by, "mission_id"]).select(*by, "mission_id", "poi_id", "list", "next", (F.col("poi_id") == F.col("_best")).alias("_held"))
+        through = asked.where("mission_id is null and next is not null").select(*by, "mission_id", "poi_id", F.col("next").alias("list"), F.lit(None).cast("string").alias("next"), F.lit(False).alias("_held"))
+        now = written(done.unionByName(through))
+        held, asking = now.where("_held").drop("_held"), now.where("not _held").drop("_held", "mission_id")
+    return held.select(*by, "poi_id", "mission_id")
+
+
 def greedy_pairs(candidates: DataFrame, by: list[str], order: tuple[str, ...] = ("rank", "kind"), taker: str = "poi_id", offer: str = "mission_id") -> DataFrame:
     """(by, taker, offer): one-to-one pairs, as if takers came one by one in order and each took its first offer that is free.
 
@@ -90,7 +134,7 @@ def merge_embassies(pois: DataFrame, missions: DataFrame, by: list[str], fields:
 
     local: true for places; for missions their own column `local`, else false. Sort by kind (nulls first), local first, name_key.
     """
-    pairs = greedy_pairs(embassy_candidates(pois, missions, by), by)
+    pairs = embassy_pairs(pois, missions, by)
     flag = F.coalesce("local", F.lit(False)) if "local" in missions.columns else F.lit(False)
     m = missions.select(*by, "mission_id", F.col("name").alias("name_m"), F.coalesce(kind_order(F.col("kind")), F.lit(len(MISSION_KINDS))).alias("kind_m"), flag.alias("local_m"), *[F.col(f).alias(f"{f}_m") for f in fields])
     found = pois.join(pairs, [*by, "poi_id"], "left").join(m, [*by, "mission_id"], "left")

@@ -295,7 +295,7 @@ def _missions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def embassies(spark, d):
     """Missions paired one to one with places of their country, by phone, then by name."""
     pois, missions = _missions(spark, d)
-    return matching.greedy_pairs(matching.embassy_candidates(pois, missions, ["host"]), ["host"])
+    return matching.embassy_pairs(pois, missions, ["host"])
 
 
 @plan("q12_embassies", f"""WITH RECURSIVE {_MISSIONS}, pair AS (SELECT host, poi_id, mission_id FROM turn WHERE mission_id IS NOT NULL)
