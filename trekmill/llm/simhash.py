@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
@@ -15,6 +16,7 @@ from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
 from trekmill.llm.common import LOWER, cut, small_batches, splittable, words_of
 from trekmill.llm.graph import components
 from trekmill.llm.hashing import chunks, doubled, joined_words, mixed
+from trekmill.operators.lineage import written
 
 SEED = 42
 BITS = 64
@@ -22,6 +24,10 @@ BITS = 64
 BLOCK = 1 << 15
 #: Blocks of 32 bits of the SimHash that finds similar texts (an even number).
 BLOCKS = 6
+#: Texts, about, from which the commonest shingles are learned, and how many of these are put last. Both bear on speed alone.
+LEARNED_TEXTS, COMMON_SHINGLES = 5_000, 20_000
+#: Shingles that similar texts are asked to share among their first ones (fewer where texts are short); it bears on speed alone.
+SHARED = 8
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -166,13 +172,72 @@ def _candidates(texts: DataFrame) -> DataFrame:
     return same.unionByName(near).distinct()
 
 
+def _commonest(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Rising hashes of the commonest shingles of some texts."""
+
+    @pandas_udf(ArrayType(LongType()))
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
+
+    share = min(1.0, LEARNED_TEXTS / max(docs.count(), 1))
+    some = docs.where(F.shiftrightunsigned(F.xxhash64("text"), 1).cast("double") <= share * 2.0**63).select("text").distinct()
+    counts = some.select(F.explode(shingles("text")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n > 1")
+    return np.sort(counts.orderBy(F.desc("n"), "w").limit(COMMON_SHINGLES).toArrow()["w"].to_numpy().view(np.uint64))
+
+
+def _needed(n: Column, least: Fraction) -> Column:
+    """Shingles that a text with n of them shares with any that is similar."""
+    return F.floor((n * least.numerator + least.denominator - 1) / least.denominator).cast("int")
+
+
+def _leads(docs: DataFrame, keys: DataFrame, place: list[str], shingle: int, least: Fraction) -> DataFrame:
+    """(id, n, lead): of each text with words how many shingles it has, and the first of them, common ones last.
+
+    Texts with n and m shingles that are similar share `_needed` of either, so l of the first n - needed + l of each.
+    """
+    common = docs.sparkSession.sparkContext.broadcast(_commonest(docs, shingle))
+
+    @pandas_udf("n int, lead array<long>")
+    def leads(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch:
+                s = shingle_set(text, shingle)
+                need = -(-len(s) * least.numerator // least.denominator)
+                late = common.value[np.searchsorted(common.value[:-1], s)] == s if len(common.value) else np.zeros(len(s), bool)
+                first = np.concatenate((s[~late], s[late]))[: len(s) - need + min(need, SHARED)]
+                out.append((len(s), first.view(np.int64)))
+            yield pd.DataFrame(out, columns=["n", "lead"])
+
+    first = docs.join(splittable(keys), place).select("id", leads("text").alias("of")).select("id", "of.*").where("n > 0")
+    return written(first.dropDuplicates(["id"]))
+
+
+def _pairs_left(leads: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
+    """(hi, lo): all pairs of ids that may be alike and have no root in common yet; no pair that is alike is left out.
+
+    Pairs of different roots meet by a shingle of their leads, and one of the two at least hasn't the least root that the shingle
+    is met by. Shingles that texts of one root alone have, as most of a group's have, form no pair.
+    """
+    of_root = leads.join(splittable(roots.select(F.col("node").alias("id"), "root")), "id", "left")
+    of_root = of_root.select("id", "n", F.coalesce("root", "id").alias("root"), F.explode("lead").alias("w"))
+    met = of_root.groupBy("w").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("w", "least")
+    met = written(of_root.join(splittable(met), "w"))
+    x = met.where("root > least").select("w", F.col("id").alias("a"), F.col("n").alias("an"), F.col("root").alias("ar"))
+    y = splittable(met.select("w", F.col("id").alias("b"), F.col("n").alias("bn"), F.col("root").alias("br"), (F.col("root") == F.col("least")).alias("first")))
+    sizes = (F.col("an") * least.denominator >= F.col("bn") * least.numerator) & (F.col("bn") * least.denominator >= F.col("an") * least.numerator)
+    found = x.join(y, "w").where("ar <> br and (first or a > b)").where(sizes)
+    found = found.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"), F.least(_needed(F.least("an", "bn"), least), F.lit(SHARED)).alias("l"))
+    return found.groupBy("hi", "lo", "l").agg(F.count("*").alias("c")).where("c >= l").select("hi", "lo")
+
+
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near copies: the one of the least doc_id, of those that share it the least text hash.
 
     Near copies are texts whose sets of word shingles (A-Z in lower case; fewer words: the whole sequence) have a Jaccard
     similarity of `similarity` or more, and what they are linked with. Candidates meet by ball hashing on the blocks of a
-    SimHash of 192 bits, and each pair is verified on the shingles; the README gives the measured recall. Texts without a
-    word are alike. Rows without a doc_id come last; of rows that repeat both doc_id and text one stays. Documents are told
+    SimHash of 192 bits, and each pair is verified on the shingles. What these don't connect meets by its first shingles, which
+    leaves no link out, and is verified likewise. Texts without a word are alike. Rows without a doc_id come last; of rows that repeat both doc_id and text one stays. Documents are told
     apart by doc_id and text. All columns stay; an empty table stays empty.
     """
     small_batches(docs)
@@ -182,18 +247,24 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     texts = rows.groupBy("_hash").agg(F.min(F.struct("_no_id", "_doc")).alias("first"), F.first("blocks").alias("blocks"))
     texts = texts.select("first.*", "_hash", "blocks").orderBy(*place)
     texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))  # in order of place
-    pairs = cut(_candidates(texts.select("id", "blocks")))
-    asked = pairs.select(F.explode(F.array("hi", "lo")).alias("id")).distinct()
+    keys = texts.drop("blocks")
 
     @pandas_udf(BinaryType())
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([shingle_set(t, shingle).tobytes() for t in batch], dtype=object)
 
-    keys = texts.drop("blocks").join(splittable(asked), "id")
-    packed = keyed.join(splittable(keys), list(place)).select("id", sets("text").alias("set")).groupBy("id").agg(F.first("set").alias("set"))
-    hi, lo = (splittable(packed).select(F.col("id").alias(c), F.col("set").alias(f"{c}_set")) for c in ("hi", "lo"))
-    alike = pairs.join(hi, "hi").join(lo, "lo").where(_similarities("hi_set", "lo_set") >= similarity).select("hi", "lo")
-    others = components(alike).select(F.col("node").alias("id"))
-    kept = texts.drop("blocks").join(splittable(others), "id", "left_anti").select(*place)
+    def alike(pairs: DataFrame) -> DataFrame:
+        asked = keys.join(splittable(pairs.select(F.explode(F.array("hi", "lo")).alias("id")).distinct()), "id")
+        packed = keyed.join(splittable(asked), list(place)).select("id", sets("text").alias("set")).groupBy("id").agg(F.first("set").alias("set"))
+        hi, lo = (splittable(packed).select(F.col("id").alias(c), F.col("set").alias(f"{c}_set")) for c in ("hi", "lo"))
+        return cut(pairs.join(hi, "hi").join(lo, "lo").where(_similarities("hi_set", "lo_set") >= similarity).select("hi", "lo"))
+
+    least = Fraction(str(similarity))
+    links = alike(cut(_candidates(texts.select("id", "blocks"))))
+    others = components(links)
+    more = alike(cut(_pairs_left(_leads(keyed, keys, list(place), shingle, least), others, least)))
+    if not more.isEmpty():
+        others = components(links.unionByName(more))
+    kept = keys.join(splittable(others.select(F.col("node").alias("id"))), "id", "left_anti").select(*place)
     return docs.withColumns(place).join(splittable(kept), list(place), "left_semi").dropDuplicates(list(place)).select(docs.columns)
