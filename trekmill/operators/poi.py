@@ -172,8 +172,9 @@ def places(rows: DataFrame, tags: str = "tags", keys: tuple[str, ...] = KEYS, ru
     """
     rules = rules or Rules()
     found = F.filter(F.transform(F.filter(F.array(*map(F.lit, keys)), lambda k: F.map_contains_key(F.col(tags), k)), lambda k: candidate(F.col(tags), k, rules)), lambda c: c.isNotNull())
-    best = rows.withColumn(to, found).where(F.size(to) > 0)
-    return best.withColumn(to, F.coalesce(F.get(F.filter(to, lambda c: c.package.isNotNull()), F.lit(0)), F.get(F.col(to), F.lit(0))))
+    best = F.transform(F.array(found), lambda f: F.coalesce(F.get(F.filter(f, lambda c: c.package.isNotNull()), F.lit(0)), F.get(f, F.lit(0))))
+    # a generator's result, so that no filter on it works it out again
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns if c != to), F.explode(F.array(F.get(best, F.lit(0)))).alias(to)).where(F.col(to).isNotNull())
 
 
 def published(rows: DataFrame, tags: str = "tags", **options) -> DataFrame:
