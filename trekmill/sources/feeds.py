@@ -109,9 +109,13 @@ def cap_alerts(raw: DataFrame, column: str = "body") -> DataFrame:
 
     The start is the onset, else the effective, else the sent time.
     """
-    x = lambda path: F.xpath_string(column, F.lit(path))
-    part = lambda name: F.nullif(x(f"//*[local-name()='{name}']"), F.lit(""))
-    rows = raw.where(part("status").eqNullSafe("Actual") & ~part("msgType").eqNullSafe("Cancel"))
+    names = ["status", "msgType", "identifier", "event", "severity", "onset", "effective", "sent", "expires"]
+    apart = "\x01"  # no XML has it
+    every = "concat(" + f", '{apart}', ".join(f"string(//*[local-name()='{n}'])" for n in names) + ")"
+    # a generator's result, so that each message is parsed once whatever is asked of it
+    rows = raw.select(F.explode(F.array(F.split(F.xpath_string(column, F.lit(every)), apart))).alias("parts"))
+    part = lambda name: F.nullif(F.get("parts", F.lit(names.index(name))), F.lit(""))
+    rows = rows.where(part("status").eqNullSafe("Actual") & ~part("msgType").eqNullSafe("Cancel"))
     return rows.select(part("identifier").alias("id"), part("event").alias("event"), part("severity").alias("severity"), F.coalesce(part("onset"), part("effective"), part("sent")).cast("timestamp").alias("starts"), part("expires").cast("timestamp").alias("ends"))
 
 
