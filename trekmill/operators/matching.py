@@ -147,13 +147,17 @@ def name_clusters(stops: DataFrame, meters: float = 100.0, rounds: int = 60) ->
     """(stop_id, cluster): stops of one folded name, linked at up to so many meters across networks; cluster is the least id.
 
     stops: stop_id, network, name, lat, lon. Labels go along links, and from each stop's label to that one's own, until none
-    changes; so a long chain takes few rounds.
+    changes; so a long chain takes few rounds. Stops of one name, network and place are one in this, by their least id: if one has a
+    link, all have.
     """
-    named = stops.withColumn("key", fold(F.col("name"))).withColumns({"cy": F.floor(F.col("lat") * 500), "cx": F.floor(F.col("lon") * 250)})
+    own = ["key", "network", "lat", "lon"]
+    every = stops.withColumn("key", fold(F.col("name"))).select("stop_id", *own)
+    heads = cut(every.groupBy(*own).agg(F.min("stop_id").alias("stop_id")))
+    named = heads.withColumns({"cy": F.floor(F.col("lat") * 500), "cx": F.floor(F.col("lon") * 250)})
     near = named.select("key", F.col("stop_id").alias("other"), F.col("network").alias("network_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy"), "cx").withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)))
     links = named.join(near, ["key", "cy", "cx"]).where("network <> network_b").where(planar_m(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")) <= meters).select("stop_id", "other")
     links = cut(links)
-    labels = cut(stops.select("stop_id", F.col("stop_id").alias("cluster")))
+    labels = cut(heads.select("stop_id", F.col("stop_id").alias("cluster")))
     for _ in range(rounds):
         offered = links.join(labels.withColumnsRenamed({"stop_id": "other", "cluster": "c"}), "other").groupBy("stop_id").agg(F.min("c").alias("c"))
         new = cut(labels.join(offered, "stop_id", "left").select("stop_id", F.least("cluster", "c").alias("cluster"), F.col("cluster").alias("was")))
@@ -161,7 +165,9 @@ def name_clusters(stops: DataFrame, meters: float = 100.0, rounds: int = 60) ->
         new = cut(new.join(above, "cluster").select("stop_id", F.col("top").alias("cluster"), (F.col("top") < F.col("was")).alias("changed")))
         labels = new.drop("changed")
         if new.where("changed").isEmpty():
-            return labels
+            met = links.join(labels.withColumnsRenamed({"stop_id": "other", "cluster": "c"}), "other").groupBy("stop_id").agg(F.min("c").alias("c"))
+            linked = cut(heads.join(met, "stop_id").select(*own, "c"))
+            return every.join(linked, own, "left").select("stop_id", F.least("stop_id", "c").alias("cluster"))
     raise RuntimeError("clusters have not settled")
 
 
