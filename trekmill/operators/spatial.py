@@ -54,7 +54,9 @@ def within_distance(a: DataFrame, b: DataFrame, meters: float) -> DataFrame:
     180 degrees and near the poles meet like others. Rows without a place pair with none.
     """
     step = meters / METERS_A_DEGREE * 1.01
-    pairs = _on_globe(a, "lat", "lon", step).join(_around_on_globe(b, "b_lat", "b_lon", step), ["_cy", "_cx"])
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda df: df.repartition(n, "_cy", "_cx")  # noqa: E731  # small inputs make many pairs: no tasks are to be joined into one
+    pairs = dealt(_on_globe(a, "lat", "lon", step)).join(dealt(_around_on_globe(b, "b_lat", "b_lon", step)), ["_cy", "_cx"])
     far = haversine_m(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))
     return pairs.withColumn("meters", far).where(F.col("meters") <= meters).drop("_cy", "_cx")
 
