@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go when the action that wrote them ends, not when the driver next collects garbage.
+
+    For steps whose results are all cut or written, so that nothing reads those files again. The session's own setting comes back.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def small_batches(df: DataFrame, rows: int = BATCH_ROWS) -> None:
     """Lets Spark hand Python at most so many texts at once in this session; a smaller setting of the user's stays.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType
 
-from trekmill.llm.common import LOWER, cut, small_batches, splittable, words_of
+from trekmill.llm.common import LOWER, cut, freed_shuffles, small_batches, splittable, words_of
 from trekmill.llm.graph import components
 from trekmill.llm.hashing import chunks, doubled, joined_words, mixed
 from trekmill.operators.lineage import written
@@ -191,9 +191,10 @@ def _needed(n: Column, least: Fraction) -> Column:
 
 
 def _leads(docs: DataFrame, keys: DataFrame, place: list[str], shingle: int, least: Fraction) -> DataFrame:
-    """(id, n, lead): of each text with words how many shingles it has, and the first of them, common ones last.
+    """(id, n, lead): of each text how many shingles it has, and the first of them, common ones last.
 
-    Texts with n and m shingles that are similar share `_needed` of either, so l of the first n - needed + l of each.
+    Texts with n and m shingles that are similar share `_needed` of either, so l of the first n - needed + l of each. Leads are
+    taken where the texts are read, so that no text is shuffled for them. A filter on them would take them once more.
     """
     common = docs.sparkSession.sparkContext.broadcast(_commonest(docs, shingle))
 
@@ -209,8 +210,8 @@ def _leads(docs: DataFrame, keys: DataFrame, place: list[str], shingle: int, lea
                 out.append((len(s), first.view(np.int64)))
             yield pd.DataFrame(out, columns=["n", "lead"])
 
-    first = docs.join(splittable(keys), place).select("id", leads("text").alias("of")).select("id", "of.*").where("n > 0")
-    return written(first.dropDuplicates(["id"]))
+    first = docs.select(*place, leads("text").alias("of")).groupBy(*place).agg(F.first("of").alias("of"))
+    return written(first.join(splittable(keys), place).select("id", "of.*"))
 
 
 def _pairs_left(leads: DataFrame, roots: DataFrame, least: Fraction) -> DataFrame:
@@ -246,7 +247,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     rows = keyed.select(*place, _blocks("text").alias("blocks"))
     texts = rows.groupBy("_hash").agg(F.min(F.struct("_no_id", "_doc")).alias("first"), F.first("blocks").alias("blocks"))
     texts = texts.select("first.*", "_hash", "blocks").orderBy(*place)
-    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))  # in order of place
+    with freed_shuffles(docs.sparkSession):
+        texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))  # in order of place
     keys = texts.drop("blocks")
 
     @pandas_udf(BinaryType())
@@ -261,10 +263,11 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         return cut(pairs.join(hi, "hi").join(lo, "lo").where(_similarities("hi_set", "lo_set") >= similarity).select("hi", "lo"))
 
     least = Fraction(str(similarity))
-    links = alike(cut(_candidates(texts.select("id", "blocks"))))
-    others = components(links)
-    more = alike(cut(_pairs_left(_leads(keyed, keys, list(place), shingle, least), others, least)))
-    if not more.isEmpty():
-        others = components(links.unionByName(more))
+    with freed_shuffles(docs.sparkSession):
+        links = alike(cut(_candidates(texts.select("id", "blocks"))))
+        others = components(links)
+        more = alike(cut(_pairs_left(_leads(keyed, keys, list(place), shingle, least), others, least)))
+        if not more.isEmpty():
+            others = components(links.unionByName(more))
     kept = keys.join(splittable(others.select(F.col("node").alias("id"))), "id", "left_anti").select(*place)
     return docs.withColumns(place).join(splittable(kept), list(place), "left_semi").dropDuplicates(list(place)).select(docs.columns)
