@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trekmill.operators.lineage import cut, written
+from trekmill.operators.relational import numbered
 
 
 def earliest_arrivals(calls: DataFrame, footpaths: DataFrame, access: DataFrame, rounds: int = 4, change: int = 1) -> DataFrame:
@@ -39,6 +40,8 @@ def itineraries(arrivals: DataFrame, target: DataFrame) -> DataFrame:
     return there.withColumn("before", before).where("before is null or arrival < before").select("round", "arrival")
 
 
+#: More stops than there can be: arrivals times this plus a stop's number are whole numbers of 63 bits.
+_STOPS = 1 << 32
 _LABEL = ["query_id", "stop_id", "round", "by_vehicle", "arrival", "from_stop", "from_round", "from_vehicle", "departure", "trip_id", "from_seq", "to_seq"]
 
 
@@ -53,9 +56,14 @@ def journeys(calls: DataFrame, footpaths: DataFrame, access: DataFrame, egress:
     A round boards once more where the last one arrived better than before, at the first such call of a trip, then rides and walks.
     What doesn't beat the stop's best arrival, or the target's, goes at once. Every label keeps where it came from, and journeys
     are put together by joins backwards. Of equal arrivals the ride goes before the walk, then the least trip, then its first call.
+
+    What minima are taken of is one number, so they are hash aggregates whose memory is their groups': calls are numbered by arrival,
+    trip and place once, stops that were ridden to once a round. The rest of a label is joined to its number.
     """
     for flag in ("can_board", "can_alight"):
         calls = calls.withColumn(flag, F.coalesce(flag, F.lit(True)) if flag in calls.columns else F.lit(True))
+    calls = calls.select("trip_id", F.col("seq").cast("long").alias("seq"), "stop_id", F.col("arrival").cast("long").alias("arrival"), F.col("departure").cast("long").alias("departure"), "can_board", "can_alight")
+    calls = written(numbered(calls, ["arrival", "trip_id", "seq"], "nth"))
     none = {c: F.lit(None).cast(t) for c, t in (("from_stop", calls.schema["stop_id"].dataType), ("from_round", "int"), ("from_vehicle", "boolean"), ("departure", "long"), ("trip_id", calls.schema["trip_id"].dataType), ("from_seq", "long"), ("to_seq", "long"))}
     start = access.groupBy("query_id", "stop_id").agg(F.min(F.col("depart") + F.col("walk")).cast("long").alias("arrival"))
     frontier = written(start.withColumns({"round": F.lit(0), "by_vehicle": F.lit(False), **none}).select(_LABEL))
@@ -71,22 +79,25 @@ def journeys(calls: DataFrame, footpaths: DataFrame, access: DataFrame, egress:
         both = found.join(best, ["query_id", "stop_id"], "left").join(target, "query_id")
         return both.where(F.col("arrival") < F.least(F.coalesce("best", far), F.coalesce("by", far))).drop("best", "by")
 
-    def least(found: DataFrame, order: list[str]) -> DataFrame:
-        rest = [c for c in found.columns if c not in ("query_id", "stop_id", *order)]
-        return found.groupBy("query_id", "stop_id").agg(F.min(F.struct(*order, *rest)).alias("l")).select("query_id", "stop_id", "l.*")
-
     for k in range(1, rounds + 1):
         ready = F.col("f.arrival") + F.when(F.col("f.by_vehicle"), change).otherwise(0)
-        boarded = calls.where("can_board").alias("c").join(frontier.alias("f"), F.col("c.stop_id") == F.col("f.stop_id")).where(F.col("c.departure") >= ready)
-        place = F.struct(F.col("c.seq").cast("long").alias("from_seq"), F.col("c.stop_id").alias("from_stop"), F.col("c.departure").cast("long").alias("departure"), F.col("f.by_vehicle").alias("from_vehicle"))
-        boarded = boarded.groupBy(F.col("f.query_id").alias("query_id"), F.col("c.trip_id").alias("trip_id")).agg(F.min(place).alias("b"))
-        out = calls.where("can_alight").select("trip_id", F.col("seq").cast("long").alias("to_seq"), "stop_id", F.col("arrival").cast("long").alias("arrival"))
-        ridden = out.join(boarded, "trip_id").where("to_seq > b.from_seq").select("query_id", "stop_id", "arrival", "trip_id", "to_seq", "b.*")
-        ridden = written(least(better(ridden, known), ["arrival", "trip_id", "to_seq"]).withColumns({"round": F.lit(k), "by_vehicle": F.lit(True), "from_round": F.lit(k - 1)}).select(_LABEL))
-        ways = ridden.select("query_id", F.col("stop_id").alias("from_stop"), F.col("arrival").alias("departure")).join(footpaths, F.col("from_stop") == F.col("from_id"))
-        walked = ways.select("query_id", F.col("to_id").alias("stop_id"), (F.col("departure") + F.col("walk") + change).cast("long").alias("arrival"), "from_stop", "departure")
+        boardable = calls.where("can_board").alias("c").join(frontier.alias("f"), F.col("c.stop_id") == F.col("f.stop_id")).where(F.col("c.departure") >= ready)
+        boarded = written(boardable.groupBy("f.query_id", "c.trip_id").agg(F.min("c.seq").alias("from_seq")))
+        out = calls.where("can_alight and arrival is not null").select("trip_id", F.col("seq").alias("to_seq"), "stop_id", "arrival", "nth")
+        first = out.join(boarded, "trip_id").where("to_seq > from_seq").groupBy("query_id", "stop_id").agg(F.min("nth").alias("nth"))
+        first = better(first.join(out.drop("stop_id"), "nth").select("query_id", "stop_id", "arrival", "trip_id", "to_seq"), known).join(boarded, ["query_id", "trip_id"])
+        place = F.struct(F.col("c.stop_id").alias("from_stop"), "c.departure", F.col("f.by_vehicle").alias("from_vehicle"))
+        places = first.select("query_id", "trip_id", "from_seq").distinct().alias("b").join(calls.where("can_board").alias("c"), (F.col("b.trip_id") == F.col("c.trip_id")) & (F.col("b.from_seq") == F.col("c.seq")))
+        places = places.join(frontier.alias("f"), (F.col("c.stop_id") == F.col("f.stop_id")) & (F.col("b.query_id") == F.col("f.query_id"))).where(F.col("c.departure") >= ready)
+        places = places.groupBy("b.query_id", "b.trip_id").agg(F.min(place).alias("at"))  # of calls with the same seq
+        ridden = first.join(places, ["query_id", "trip_id"]).select("query_id", "stop_id", "arrival", "trip_id", "to_seq", "from_seq", "at.*")
+        ridden = written(ridden.withColumns({"round": F.lit(k), "by_vehicle": F.lit(True), "from_round": F.lit(k - 1)}).select(_LABEL))
+        numbers = numbered(ridden.select(F.col("stop_id").alias("from_stop")).distinct(), ["from_stop"], "stop_nth")
+        ways = written(ridden.select("query_id", F.col("stop_id").alias("from_stop"), F.col("arrival").alias("departure")).join(numbers, "from_stop"))
+        met = ways.join(footpaths, F.col("from_stop") == F.col("from_id")).select("query_id", F.col("to_id").alias("stop_id"), ((F.col("departure") + F.col("walk") + change).cast("long") * _STOPS + F.col("stop_nth")).alias("key"))
+        walked = met.groupBy("query_id", "stop_id").agg(F.min("key").alias("key")).withColumns({"arrival": F.shiftright("key", 32), "stop_nth": F.pmod("key", F.lit(_STOPS))}).drop("key")
         both = known.unionByName(ridden.select("query_id", "stop_id", "arrival"))
-        walked = least(better(walked, both), ["arrival", "from_stop"]).withColumns({**{c: none[c] for c in ("trip_id", "from_seq", "to_seq")}, "round": F.lit(k), "by_vehicle": F.lit(False), "from_round": F.lit(k), "from_vehicle": F.lit(True)}).select(_LABEL)
+        walked = better(walked, both).join(ways, ["query_id", "stop_nth"]).withColumns({**{c: none[c] for c in ("trip_id", "from_seq", "to_seq")}, "round": F.lit(k), "by_vehicle": F.lit(False), "from_round": F.lit(k), "from_vehicle": F.lit(True)}).select(_LABEL)
         made = written(ridden.unionByName(walked))  # a walk is there only if it beats the ride to its stop
         labels.append(made)
         best_label = F.min(F.struct("arrival", (~F.col("by_vehicle")).alias("walked"))).alias("l")
@@ -102,7 +113,7 @@ def journeys(calls: DataFrame, footpaths: DataFrame, access: DataFrame, egress:
     at = all_ends.select("query_id", "rides", F.lit(1).alias("back"), "stop_id", F.col("rides").alias("round"), "by_vehicle")
     legs = [all_ends.select("query_id", "rides", F.lit(0).alias("back"), F.lit("walk").alias("kind"), F.col("stop_id").alias("from_stop"), none["from_stop"].alias("to_stop"), F.col("arrival").alias("departure"), F.col("total").alias("arrival"), *[none[c].alias(c) for c in ("trip_id", "from_seq", "to_seq")])]
     for _ in range(2 * rounds):  # a ride and a walk a round at most
-        met = at.join(all_labels, ["query_id", "stop_id", "round", "by_vehicle"]).where("from_stop is not null")
+        met = written(at.join(all_labels, ["query_id", "stop_id", "round", "by_vehicle"]).where("from_stop is not null"))  # else joins would be nested
         legs.append(met.select("query_id", "rides", "back", F.when(F.col("by_vehicle"), "ride").otherwise("walk").alias("kind"), "from_stop", F.col("stop_id").alias("to_stop"), "departure", "arrival", "trip_id", "from_seq", "to_seq"))
         at = met.select("query_id", "rides", (F.col("back") + 1).alias("back"), F.col("from_stop").alias("stop_id"), F.col("from_round").alias("round"), F.col("from_vehicle").alias("by_vehicle"))
     rode = written(_union(legs))
