@@ -31,7 +31,7 @@ def wiki_texts(spark, d):
 
 @plan("s11_html_text")
 def html_texts(spark, d):
-    return table(spark, d, "pages").select("page_id", markup.html_to_text("html").alias("text"))
+    return markup.paged(table(spark, d, "pages")).select("page_id", markup.html_to_text("html").alias("text"))
 
 
 @plan("s12_heading_categories", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'safety' WHEN '2-HIGH' THEN 'health' WHEN '3-MEDIUM' THEN 'transport' END AS category FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')")
