@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trekmill.operators.lineage import written
 from trekmill.operators.temporal import as_of
 
 #: A delay of so many seconds is an error of the feed.
@@ -83,6 +84,8 @@ def resolve(calls: DataFrame, trips: DataFrame, stops: DataFrame) -> DataFrame:
     start_time. Rows of deleted trips go, estimated rows stay as they are. A cancelled trip or skipped stop cancels; a stop
     without data has no delay; else the stop's own delay counts, or its time against the schedule in whole minutes (not an
     arrival's), or what is carried forward. Minutes are rounded half up; delays of a day or more don't count.
+
+    The matched calls and the places asked for are written, since several joins read them; trips and stops are read several times too.
     """
     calls = calls.withColumns({c: F.lit(None).cast(t) for c, t in (("route_id", "string"), ("direction_id", "int"), ("start_time", "int")) if c not in calls.columns})
     calls = calls.withColumns({"trip_id": F.col("trip_id").cast("string"), "route_id": F.col("route_id").cast("string")})
@@ -94,9 +97,9 @@ def resolve(calls: DataFrame, trips: DataFrame, stops: DataFrame) -> DataFrame:
     same = F.lit(True)
     for k in _RUN:
         same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"r.{k}"))
-    met = calls.alias("c").join(found.alias("r"), same & ~F.coalesce(F.col("c.estimated"), F.lit(False)), "left").where("not coalesce(r.deleted, false)").select("c.*", "r.trip_ref", "r.off")
+    met = written(calls.alias("c").join(found.alias("r"), same & ~F.coalesce(F.col("c.estimated"), F.lit(False)), "left").where("not coalesce(r.deleted, false)").select("c.*", "r.trip_ref", "r.off"))
     keys = ["trip_ref", "stop_id", "scheduled"]
-    asked = met.where("trip_ref is not null").select(*keys).distinct()
+    asked = written(met.where("trip_ref is not null").select(*keys).distinct())
     told = carried(passages(asked, stops), stops, trips)
     late = F.least(F.greatest(F.floor((F.col("at.time") - F.col("scheduled")) / 60) * 60, F.lit(-ABSURD)), F.lit(ABSURD))
     seconds = F.when(F.col("at.no_data"), None).otherwise(F.coalesce(F.col("at.delay"), F.when(~F.col("at.from_arrival"), late), F.col("carried")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trekmill.functions import clock, geo, markup
 from trekmill.operators import journeys, live, matching, relational, spatial, timetable
+from trekmill.operators.lineage import written
 from trekmill.plans.base import HAVERSINE, PLACE, PLANAR, STOP, degrees, places, plan, stops, table
 
 #: Calls of trips: one for each order and line number, at a supplier's stop.
@@ -100,8 +101,8 @@ fstop AS (SELECT trip_ref, seq AS pos, stop_id, CASE WHEN (of + seq) % 6 > 0 THE
 
 
 def _feed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    calls = _calls(spark, d)
-    run = calls.groupBy("trip_id").agg((F.min("minute") * 60).cast("int").alias("start_time"))
+    calls = written(_calls(spark, d))
+    run = written(calls.groupBy("trip_id").agg((F.min("minute") * 60).cast("int").alias("start_time")))
     t, none, day = F.col("trip_id"), F.lit(None), F.lit(TODAY).cast("date")
     row = lambda n, id_, date, route, start, cancelled, deleted, delay: [(t * 10 + n).alias("trip_ref"), id_.cast("string").alias("trip_id"), date.cast("date").alias("start_date"), route.cast("string").alias("route_id"), none.cast("int").alias("direction_id"), start.cast("int").alias("start_time"), cancelled.alias("cancelled"), deleted.alias("deleted"), delay.cast("long").alias("delay"), t.alias("of")]
     no = F.lit(False)
@@ -113,7 +114,7 @@ def _feed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     noise = of * 31 + seq * 17
     stops = met.select("trip_ref", seq.alias("pos"), "stop_id", F.when((of + seq) % 6 > 0, F.unix_timestamp(day.cast("timestamp")) + F.col("minute") * 60 + noise % 1500 - 300).alias("time"), F.when((of + seq) % 4 > 0, noise % 1200 - 200 + F.when(of % 29 == 0, 90_000).otherwise(0)).alias("delay"), ((of + seq) % 23 == 0).alias("skipped"), ((of * 3 + seq) % 13 == 0).alias("no_data"), ((of + seq) % 3 == 0).alias("from_arrival"))
     asked = calls.join(run, "trip_id").select("trip_id", "seq", "stop_id", day.alias("day"), (F.unix_timestamp(day.cast("timestamp")) + F.col("minute") * 60).alias("scheduled"), (F.col("minute") - 600).alias("in_minutes"), (t % 31 == 0).alias("estimated"), (t % 50).cast("string").alias("route_id"), "start_time")
-    return asked, trips.drop("of"), stops
+    return asked, trips.drop("of"), written(stops)
 
 
 @plan("q1_realtime", f"""WITH {FEED}, asked AS (SELECT c.*, r.start_time, epoch(DATE '{TODAY}') + minute * 60 AS scheduled, c.trip_id % 31 = 0 AS estimated,
