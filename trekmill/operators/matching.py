@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from trekmill.functions.geo import planar_m
 from trekmill.functions.text import fold, phone_suffix, terms
 from trekmill.operators.lineage import cut, written
+from trekmill.operators.relational import numbered
 
 
 #: Kinds of missions in their order; any other is a consulate.
 MISSION_KINDS = ("embassy", "consulate_general", "consulate")
 
+#: Places of a group that take their turns in one task. Bears on speed and memory alone.
+BLOCK_PLACES = 20_000
+
 
 def kind_order(kind: Column) -> Column:
     """Place of a mission's kind in MISSION_KINDS; null stays null, an unknown kind counts as the last."""
@@ -75,12 +79,13 @@ def embassy_candidates(pois: DataFrame, missions: DataFrame, by: list[str]) -> D
 def embassy_pairs(pois: DataFrame, missions: DataFrame, by: list[str]) -> DataFrame:
     """(by, poi_id, mission_id): greedy_pairs of embassy_candidates, whose pairs are never formed.
 
-    Places of one phone have one list of missions, and so have those of one kind and one set of names: a place asks along its
-    phone's list, then along its names'. In each round the n-th place that asks along a list asks for the n-th mission of those
-    that the first one may still get, as the places before it leave none of the earlier ones. A mission is held for the least
-    place that has asked; others ask again, along the next list once theirs is used up. What is held when nobody asks any more is
-    the sequential result. Each round takes a row for each place that still asks and a row for each place in a list.
+    Places of one phone have one list of missions, and so have those of one kind and one set of names: a place takes the first free
+    mission of its phone's list, else of its names'. A list of n missions is used up after n places that ask for nothing after it, so
+    later ones are left out at once. The others take their turns in blocks of BLOCK_PLACES of each group, one block after another and
+    all groups side by side; a task holds one block, and of each list that it asks the first BLOCK_PLACES missions that are free.
+    So there are as many rounds as the largest group has blocks, however the lists are interwoven.
     """
+    spark = pois.sparkSession
     p, m = _both_ready(pois.dropna(subset=by), missions, by)
     tel, names = (F.to_json(F.struct(*by, *c)) for c in (["tel"], ["kind", "names"]))
     p = p.withColumns({"next": F.when(F.size("names") > 0, names), "list": F.when(F.col("tel").isNotNull(), tel)})
@@ -92,19 +97,38 @@ def embassy_pairs(pois: DataFrame, missions: DataFrame, by: list[str]) -> DataFr
     asking = p.select(*by, "poi_id", "list", "next").join(used.withColumn("_l", F.lit(True)), "list", "left").join(known, "next", "left")
     asking = asking.select(*by, "poi_id", F.when(F.col("_l"), F.col("list")).alias("list"), F.when(F.col("_n"), F.col("next")).alias("next")).where("list is not null or next is not null")
     asking = written(asking.select(*by, "poi_id", F.coalesce("list", "next").alias("list"), F.when(F.col("list").isNotNull(), F.col("next")).alias("next")))
-    held = written(asking.select(*by, F.lit(None).cast(missions.schema["mission_id"].dataType).alias("mission_id"), "poi_id", "list", "next").limit(0))
-    while not asking.isEmpty():
-        first = asking.groupBy("list").agg(F.min("poi_id").alias("_first"))
-        free = lists.join(first, "list").join(held.select(*by, "mission_id", F.col("poi_id").alias("_holder")), [*by, "mission_id"], "left").where("_holder is null or _holder > _first")
-        free = free.select("list", "mission_id", F.row_number().over(Window.partitionBy("list").orderBy("kind", "mission_id")).alias("_n"))
-        nth = asking.withColumn("_n", F.row_number().over(Window.partitionBy("list").orderBy("poi_id")))
-        asked = nth.join(free, ["list", "_n"], "left").select(*by, "mission_id", "poi_id", "list", "next")
-        turns = asked.where("mission_id is not null").unionByName(held)
-        best = turns.groupBy(*by, "mission_id").agg(F.min("poi_id").alias("_best"))
-        done = turns.join(best, [*by, "mission_id"]).select(*by, "mission_id", "poi_id", "list", "next", (F.col("poi_id") == F.col("_best")).alias("_held"))
-        through = asked.where("mission_id is null and next is not null").select(*by, "mission_id", "poi_id", F.col("next").alias("list"), F.lit(None).cast("string").alias("next"), F.lit(False).alias("_held"))
-        now = written(done.unionByName(through))
-        held, asking = now.where("_held").drop("_held"), now.where("not _held").drop("_held", "mission_id")
+    length = written(lists.groupBy("list").agg(F.count("*").alias("_length")))
+    nth = F.row_number().over(Window.partitionBy("list").orderBy("poi_id"))
+
+    def within(asking: DataFrame) -> DataFrame:
+        return asking.withColumn("_nth", nth).join(length, "list").withColumn("_within", F.col("_nth") <= F.col("_length")).drop("_nth", "_length")
+
+    early = written(within(asking.where("next is not null")))
+    late = early.where("not _within").select(*by, "poi_id", F.col("next").alias("list"), F.lit(None).cast("string").alias("next"))
+    last = within(asking.where("next is null").unionByName(late)).where("_within")
+    turns = numbered(early.where("_within").unionByName(last).drop("_within"), [*by, "poi_id"], "_nth")
+    first = turns.groupBy(*by).agg(F.min("_nth").alias("_first"))
+    turns = written(turns.join(first, by).withColumn("_block", F.expr(f"(_nth - _first) div {BLOCK_PLACES}")).drop("_first"))
+    id_type = {c: df.schema[c].dataType.simpleString() for c, df in (("poi_id", pois), ("mission_id", missions))}
+    schema = ", ".join([f"`{c}` {pois.schema[c].dataType.simpleString()}" for c in by] + [f"{c} {t}" for c, t in id_type.items()])
+
+    def taken(key: tuple, places: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
+        left = {name: iter(g.mission_id) for name, g in free.sort_values("_n").groupby("list")}
+        used, out = set(), []
+        for place in places.sort_values("_nth").itertuples(index=False):
+            found = next((m for name in (place.list, place.next) for m in left.get(name, ()) if m not in used), None)
+            if found is not None:
+                used.add(found)
+                out.append((*key, place.poi_id, found))
+        return pd.DataFrame(out, columns=[*by, *id_type])
+
+    held = written(spark.createDataFrame([], schema))
+    for block in range((turns.agg(F.max("_block")).first()[0] or 0) + 1):
+        now = turns.where(F.col("_block") == block)
+        asked = now.select(F.explode(F.array("list", "next")).alias("list")).distinct()
+        free = lists.join(asked, "list", "left_semi").join(held.select(*by, "mission_id"), [*by, "mission_id"], "left_anti")
+        free = free.withColumn("_n", F.row_number().over(Window.partitionBy("list").orderBy("kind", "mission_id"))).where(F.col("_n") <= BLOCK_PLACES).drop("kind")
+        held = held.unionByName(written(now.groupBy(*by).cogroup(free.groupBy(*by)).applyInPandas(taken, schema)))
     return held.select(*by, "poi_id", "mission_id")
 
 
